@@ -5,8 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .spec import ExperimentSpec, all_metrics
 
@@ -31,6 +36,18 @@ def row_numbers(row_id: Column | str) -> list[Column]:
     return [F.conv(F.substring(digest, start, 7), 16, 10).cast("bigint") + 1 for start in (1, 8)]
 
 
+def _steps(replicates: int, seed: int) -> list[list[int]]:
+    """Powers of the multipliers, one pair of factors per replicate."""
+    return [[pow(m, s, PRIME) for s in range(seed + 1, seed + replicates + 1)]
+            for m in MULTIPLIERS]
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Even out the rows over tasks before each is weighted many times."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "row_id")
+
+
 def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
                seed: int = 0) -> DataFrame:
     """One row per (input row, replicate) with a positive ``weight``.
@@ -39,9 +56,9 @@ def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
     started from the row's digest, so weights depend on the id alone: they
     are the same however rows are partitioned, retried or joined.
     """
-    steps = range(seed + 1, seed + replicates + 1)
-    pairs = [F.struct(*[F.lit(pow(m, s, PRIME)).cast("bigint").alias(name)
-                        for m, name in zip(MULTIPLIERS, ("p", "q"))]) for s in steps]
+    p, q = _steps(replicates, seed)
+    pairs = [F.struct(F.lit(a).cast("bigint").alias("p"), F.lit(b).cast("bigint").alias("q"))
+             for a, b in zip(p, q)]
     x, y = row_numbers(row_id)
     drawn = rows.withColumns({"_x": x, "_y": y}).select(
         *rows.columns, "_x", "_y", F.posexplode(F.array(*pairs)).alias("replicate", "_step"))
@@ -54,6 +71,57 @@ def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
     )
 
 
+def weighted_sums(rows: DataFrame, keys: list[str], columns: list[str], replicates: int,
+                  row_id: str = "row_id", seed: int = 0) -> DataFrame:
+    """Sums of weight * column per (keys, replicate), with the weights above.
+
+    Exploding each row costs an aggregate update per row and replicate. Here a
+    task turns a few thousand rows at a time into a weight matrix and adds its
+    product with the columns to one small array per key, so it needs memory
+    for keys * replicates * columns only and sends as many rows to the final
+    sum. The number of distinct keys must be bounded, as that of arms is.
+    """
+    p, q = (np.array(s, dtype=np.int64) for s in _steps(replicates, seed))
+    limits = [k for k in poisson_limits() if k < PRIME]
+    chunk = max(1, 1_000_000 // replicates)
+    n_keys = len(keys)
+
+    def partial(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, part in frame.groupby(keys, sort=False, dropna=False):
+                x = part["_x"].to_numpy(np.int64)
+                y = part["_y"].to_numpy(np.int64)
+                values = part[columns].to_numpy(np.float64)
+                total = totals.setdefault(key, np.zeros((replicates, len(columns))))
+                for i in range(0, len(x), chunk):
+                    u = np.multiply.outer(x[i:i + chunk], p)
+                    u += np.multiply.outer(y[i:i + chunk], q)
+                    u %= PRIME
+                    weight = np.zeros(u.shape, dtype=np.float64)
+                    for limit in limits:
+                        weight += u >= limit
+                    total += weight.T @ values[i:i + chunk]
+        for key, total in totals.items():
+            out = pd.DataFrame(total, columns=columns)
+            for name, part_of_key in zip(keys, key):
+                out[name] = part_of_key
+            out["replicate"] = np.arange(replicates, dtype=np.int32)
+            yield pa.RecordBatch.from_pandas(
+                out[[*keys, "replicate", *columns]], schema=result, preserve_index=False)
+
+    x, y = row_numbers(row_id)
+    given = rows.select(*keys, x.alias("_x"), y.alias("_y"),
+                        *[F.col(c).cast("double").alias(c) for c in columns])
+    schema = StructType([
+        *given.schema.fields[:n_keys], StructField("replicate", IntegerType()),
+        *[StructField(c, DoubleType()) for c in columns]])
+    result = to_arrow_schema(schema)
+    return given.mapInArrow(partial, schema).groupBy(*keys, "replicate").agg(
+        *[F.sum(c).alias(c) for c in columns])
+
+
 def _units(member_rows: DataFrame, metrics: Sequence[str], cells: int | None) -> DataFrame:
     """Resampling units with the sum and count of each metric.
 
@@ -79,15 +147,13 @@ def replicate_means(member_rows: DataFrame, specs: Sequence[ExperimentSpec],
                     seed: int = 0) -> DataFrame:
     """Mean of each metric per (experiment, metric, arm, replicate).
 
-    Weighted sums combine before the shuffle, so a task sends at most
-    replicates * arms rows however many rows it read.
+    A task sends at most replicates * arms rows to the final sum however many
+    rows it read.
     """
     metrics = all_metrics(specs)
     units = _units(member_rows, metrics, cells)
-    w = F.col("weight")
-    sums = replicated(units, replicates, seed=seed).groupBy("experiment", "arm", "replicate").agg(
-        *[F.sum(w * F.col(f"{m}_{end}")).alias(f"{m}_{end}")
-          for m in metrics for end in ("sum", "count")])
+    columns = [f"{m}_{end}" for m in metrics for end in ("sum", "count")]
+    sums = weighted_sums(_spread(units), ["experiment", "arm"], columns, replicates, seed=seed)
     means = F.array(*[
         F.struct(F.lit(m).alias("metric"),
                  F.try_divide(F.col(f"{m}_sum"), F.col(f"{m}_count")).alias("stat"))
@@ -102,14 +168,18 @@ def replicate_means(member_rows: DataFrame, specs: Sequence[ExperimentSpec],
 def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """Weighted median per (experiment, metric, arm, replicate).
 
-    The first aggregate counts weights per value range; the running count
-    tells which range holds the median of each replicate. Only values of such
-    ranges are then shuffled. The table of ranges has at most two rows per
-    replicate and arm, a bound set by the parameters, so it is broadcast.
+    ``long`` needs value ranges, a few hundred: a task keeps one number per
+    range and replicate. The first pass adds up weights per value range; the running sum tells
+    which range holds the median of each replicate. Only rows of such ranges
+    are then drawn one by one and shuffled. The table of ranges has at most
+    two rows per replicate and arm, a bound set by the parameters, so it is
+    broadcast.
     """
     keys = ["experiment", "metric", "arm", "replicate"]
-    drawn = replicated(long, replicates, seed=seed)
-    per_range = drawn.groupBy(*keys, "value_range").agg(F.sum("weight").alias("w"))
+    rows = _spread(long.select("experiment", "metric", "arm", "row_id", "value", "value_range"))
+    per_range = weighted_sums(rows.withColumn("w", F.lit(1.0)),
+                              ["experiment", "metric", "arm", "value_range"], ["w"],
+                              replicates, seed=seed).where(F.col("w") > 0)
     across = Window.partitionBy(*keys).orderBy("value_range")
     group = Window.partitionBy(*keys)
     middle = (F.col("total") - 1) / 2
@@ -122,8 +192,11 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0) ->
                | ((F.col("skip") <= F.col("high")) & (F.col("high") < F.col("upto"))))
         .select(*keys, "value_range", "skip", "low", "high")
     )
+    hit = wanted.select("experiment", "metric", "arm", "value_range").distinct()
+    close = rows.join(F.broadcast(hit), ["experiment", "metric", "arm", "value_range"], "left_semi")
     near = (
-        drawn.join(F.broadcast(wanted), [*keys, "value_range"])
+        replicated(close, replicates, seed=seed)
+        .join(F.broadcast(wanted), [*keys, "value_range"])
         .groupBy(*keys, "value_range", "skip", "low", "high", "value")
         .agg(F.sum("weight").alias("w"))
     )

@@ -59,7 +59,7 @@ def run_experiments(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str
     ``df`` is read several times (value ranges, moments, ranks, resampling);
     stage it first if it is expensive to compute.
     """
-    rows = members(df, specs, id_col, ranges=True)
+    rows = members(df, specs, id_col, ranges=None)
     tests = with_significance(hypothesis_statistics(rows, specs), alpha)
     intervals = difference_intervals(
         replicate_means(rows, specs, replicates, cells, seed), level)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adquanta.functions.safe import present
-from adquanta.operators.quantiles import with_value_ranges
+from adquanta.operators.quantiles import SELECT_ROWS, with_value_ranges
 
 
 @dataclass(frozen=True)
@@ -52,11 +52,13 @@ def all_metrics(specs: Sequence[ExperimentSpec]) -> list[str]:
 
 
 def members(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str = "ad_id",
-            ranges: bool = False) -> DataFrame:
+            ranges: bool | int | None = False) -> DataFrame:
     """One row per (experiment, arm, row): ``row_id`` and the metric columns.
 
     One scan serves all experiments; a row takes part in several of them.
-    With ``ranges`` the value range of each metric is added.
+    ``ranges`` adds the value range of each metric, which rank statistics of
+    large tables need: a number of ranges, yes, no, or ``None`` to count the
+    rows and decide.
     """
     metrics = all_metrics(specs)
     slots = [
@@ -69,8 +71,10 @@ def members(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str = "ad_id
         *[F.when(present(m), F.col(m).cast("double")).alias(m) for m in metrics],
         F.array_compact(F.array(*slots)).alias("_slots"),
     ).where(F.size("_slots") > 0)
+    if ranges is None:
+        ranges = df.count() > SELECT_ROWS
     if ranges:
-        rows = with_value_ranges(rows, metrics)
+        rows = with_value_ranges(rows, metrics, ranges=None if ranges is True else ranges)
     kept = [c for c in rows.columns if c != "_slots"]
     return rows.select(F.explode("_slots").alias("_m"), *kept).select(
         "_m.experiment", "_m.arm", *kept)

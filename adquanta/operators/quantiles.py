@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from adquanta.functions.safe import present
 
-# Rows that a single task may sort in the last step of a selection.
-SELECT_ROWS = 200_000
+# Rows whose values a single task may hold in an exact quantile aggregate.
+SELECT_ROWS = 1_000_000
 # Half width, as a share of the rows, of the first interval around a quantile.
 BRACKET = 1e-4
 
@@ -49,15 +49,9 @@ def _order_statistic(df: DataFrame, value: str, rank: int, rows: int, max_rows:
         else:
             skipped = below + at_lo + inside + at_hi
             df, rank, rows = df.where(v > hi), rank - skipped, rows - skipped
-    # At most max_rows rows are left, so one ordered window is safe.
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    running = F.sum("_n").over(Window.orderBy(value))
-    return (
-        counts.select(v, running.alias("_upto"))
-        .where(F.col("_upto") > rank)
-        .agg(F.min(value))
-        .first()[0]
-    )
+    # The middle of the rank's step, so that no rounding picks a neighbour.
+    step = (rank + 0.5) / rows
+    return df.agg(F.expr(f"percentile_disc({step!r}D) WITHIN GROUP (ORDER BY `{value}`)")).first()[0]
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
@@ -65,12 +59,16 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
     """Exact quantiles with linear interpolation, like ``df.approxQuantile``.
 
     Only counts and single values reach the driver. Null and NaN are ignored;
-    an empty column gives ``None``.
+    an empty column gives ``None``. Up to ``max_rows`` rows one built-in
+    aggregate holds all values; larger columns are narrowed down first.
     """
     clean = df.select(F.col(value).cast("double").alias(value)).where(present(value))
     rows = clean.count()
     if rows == 0:
         return [None for _ in probabilities]
+    if rows <= max_rows:
+        points = F.array(*[F.lit(float(p)) for p in probabilities])
+        return list(clean.agg(F.percentile(value, points)).first()[0])
     found: dict[int, float] = {}
     out = []
     for p in probabilities:
@@ -111,21 +109,28 @@ def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
     return out.withColumns({v + suffix: F.col(v + suffix).cast("int") for v in values})
 
 
-def with_running_counts(hist: DataFrame, keys: list[str], value: str, range_col: str,
+def with_running_counts(hist: DataFrame, keys: list[str], value: str, range_col: str | None,
                         counts: list[str]) -> DataFrame:
     """Running totals over a value histogram, group by group.
 
     ``hist`` has one row per (keys, range, value). Windows are partitioned by
     keys and range, so a group with a large share of the rows is spread over
-    its ranges; the second window sees one row per range. Adds for each count
-    column ``<c>_before`` (items with a smaller value) and ``<c>_total``.
+    its ranges; the second window sees one row per range. Without ranges, for
+    a histogram known to be small, one window per group does. Adds for each
+    count column ``<c>_before`` (items with a smaller value) and ``<c>_total``.
     """
+    group = Window.partitionBy(*keys)
+    if range_col is None:
+        order = group.orderBy(value)
+        return hist.withColumns({
+            f"{c}_{end}": column for c in counts for end, column in (
+                ("before", F.sum(c).over(order) - F.col(c)), ("total", F.sum(c).over(group)))
+        })
     inside = Window.partitionBy(*keys, range_col).orderBy(value)
     local = hist.withColumns({
         f"{c}_before": F.sum(c).over(inside) - F.col(c) for c in counts
     })
-    across = Window.partitionBy(*keys).orderBy(range_col)
-    group = Window.partitionBy(*keys)
+    across = group.orderBy(range_col)
     totals = hist.groupBy(*keys, range_col).agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     for c in counts:
         totals = totals.withColumns({
@@ -157,10 +162,19 @@ def quantile_from_counts(value: str, count: str, p: float) -> Column:
     return at(low) + weight * (at(high) - at(low))
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str,
-                      named: dict[str, float], ranges: int | None = None) -> DataFrame:
-    """Exact interpolated quantiles per group; also ``n``, the group's rows."""
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
+                      ranges: int | None = None, max_rows: int = SELECT_ROWS) -> DataFrame:
+    """Exact interpolated quantiles per group; also ``n``, the group's rows.
+
+    Up to ``max_rows`` rows the built-in aggregate holds the values of a
+    group; a larger table is counted by value and spread over value ranges.
+    """
     clean = df.select(*keys, F.col(value).cast("double").alias(value)).where(present(value))
+    if clean.count() <= max_rows:
+        points = F.array(*[F.lit(float(p)) for p in named.values()])
+        found = clean.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.percentile(value, points).alias("_q"))
+        return found.select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(named)])
     hist = (
         with_value_ranges(clean, [value], "_range", ranges)
         .groupBy(*keys, f"{value}_range", value)

@@ -12,7 +12,6 @@ from adquanta.functions.features import (
     with_platform_columns,
 )
 from adquanta.functions.labels import PRIORITIES
-from adquanta.functions.safe import ratio
 from adquanta.operators import kpis
 from adquanta.operators.distributions import box_summary, histogram
 from adquanta.operators.joins import with_group_mean
@@ -181,8 +180,12 @@ limits AS (SELECT avg(roas) + 3 * stddev_samp(roas) AS a,
 SELECT ad_id, {r('roas', 6)} AS roas, revenue_per_click FROM feats, limits
 WHERE roas > a OR revenue_per_click > b""")
 def anomaly_3sigma(spark, sf_dir):
-    df = features(spark, sf_dir).select("ad_id", "roas", "revenue_per_click")
-    return rounded(above_sigma(df, ["roas", "revenue_per_click"]), {"roas": 6})
+    return anomaly_over(campaigns(spark, sf_dir))
+
+
+def anomaly_over(df):
+    used = with_features(df).select("ad_id", "roas", "revenue_per_click")
+    return rounded(above_sigma(used, ["roas", "revenue_per_click"]), {"roas": 6})
 
 
 # Joins and ordered results -----------------------------------------------
@@ -194,7 +197,12 @@ SELECT ad_id, platform, {r('platform_avg_roas', 6)} AS platform_avg_roas,
 FROM campaigns JOIN dim USING (platform)""")
 def join_platform_delta(spark, sf_dir):
     base = stage(campaigns(spark, sf_dir).select("ad_id", "platform", "roas"), "campaigns")
-    out = with_group_mean(base, "platform", "roas", "platform_avg_roas", "roas_delta").drop("roas")
+    return join_over(base)
+
+
+def join_over(df):
+    out = with_group_mean(df.select("ad_id", "platform", "roas"), "platform", "roas",
+                          "platform_avg_roas", "roas_delta").drop("roas")
     return rounded(out, {"platform_avg_roas": 6, "roas_delta": 6})
 
 
@@ -204,8 +212,11 @@ SELECT ad_id, {r('roas', 6)} AS roas, {r('revenue', 2)} AS revenue FROM campaign
 WHERE roas > q ORDER BY campaigns.revenue DESC, ad_id
 LIMIT (SELECT least(10000, count(*) // 10) FROM campaigns)""")
 def topk_above_q75(spark, sf_dir):
-    base = stage(campaigns(spark, sf_dir).select("ad_id", "roas", "revenue"), "campaigns")
-    top = top_above_quantile(base, "roas", 0.75, "revenue", "ad_id")
+    return topk_over(stage(campaigns(spark, sf_dir).select("ad_id", "roas", "revenue"), "campaigns"))
+
+
+def topk_over(df):
+    top = top_above_quantile(df.select("ad_id", "roas", "revenue"), "roas", 0.75, "revenue", "ad_id")
     return rounded(top, {"roas": 6, "revenue": 2})
 
 
@@ -368,8 +379,11 @@ SELECT advertiser, platform, target_age, CAST(sum(impressions) AS BIGINT) AS tot
        {r('avg(roas)', 6)} AS avg_roas, count(ad_id) AS campaigns
 FROM campaigns GROUP BY advertiser, platform, target_age""")
 def bench_groupby(spark, sf_dir):
-    return rounded(kpis.three_key_report(campaigns(spark, sf_dir)),
-                   {"total_spent": 3, "avg_ctr": 6, "avg_roas": 6})
+    return groupby_over(campaigns(spark, sf_dir))
+
+
+def groupby_over(df):
+    return rounded(kpis.three_key_report(df), {"total_spent": 3, "avg_ctr": 6, "avg_roas": 6})
 
 
 def _pivot_name(platform: str) -> str:
@@ -381,7 +395,11 @@ SELECT advertiser, """ + ", ".join(
     r(f"coalesce(sum(revenue) FILTER (platform = '{p}'), 0)", 2) + f" AS {_pivot_name(p)}"
     for p in PLATFORMS) + " FROM campaigns GROUP BY advertiser")
 def pivot_revenue(spark, sf_dir):
-    wide = kpis.pivot_sum(campaigns(spark, sf_dir), "advertiser", "platform", PLATFORMS, "revenue")
+    return pivot_over(campaigns(spark, sf_dir))
+
+
+def pivot_over(df):
+    wide = kpis.pivot_sum(df, "advertiser", "platform", PLATFORMS, "revenue")
     return wide.select(
         "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in PLATFORMS])
 
@@ -461,3 +479,9 @@ def dist_box(spark, sf_dir):
     base = stage(df.select("advertiser", "is_multi_platform", "roas"), "campaigns")
     out = box_summary(base, ["advertiser", "is_multi_platform"], "roas", cap=0.95)
     return rounded(out, dict.fromkeys(["q1", "median", "q3", "whisker_low", "whisker_high"], 6))
+
+
+# The five relational operations of the baseline, over a campaign table that
+# has been loaded before.
+OPERATIONS = {"groupby": groupby_over, "topk": topk_over, "join": join_over,
+              "anomaly": anomaly_over, "pivot": pivot_over}

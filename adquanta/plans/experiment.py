@@ -43,7 +43,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(campaigns(spark, sf_dir).select(*COLUMNS), "campaigns")
 
 
-def member_rows(spark: SparkSession, sf_dir: str, ranges: bool = False,
+def member_rows(spark: SparkSession, sf_dir: str, ranges: bool | int | None = False,
                 specs: list[ExperimentSpec] = SPECS) -> DataFrame:
     return members(staged(spark, sf_dir), specs, "ad_id", ranges)
 
@@ -192,7 +192,7 @@ SELECT experiment, metric, n_a, n_b, {r('mean_a', 4)} AS mean_a, {r('mean_b', 4)
        {r('median_a', 4)} AS median_a, {r('median_b', 4)} AS median_b,
        {r('std_a', 4)} AS std_a, {r('std_b', 4)} AS std_b FROM mom""")
 def ab_describe(spark, sf_dir):
-    long = samples(member_rows(spark, sf_dir, ranges=True), SPECS)
+    long = samples(member_rows(spark, sf_dir, ranges=None), SPECS)
     moments = arm_moments(long, report.KEYS)
     medians = rank_statistics(long, report.KEYS).select(*report.KEYS, "median_a", "median_b")
     names = [f"{m}_{s}" for m in ("mean", "median", "std") for s in "ab"]
@@ -219,7 +219,7 @@ def ab_welch(spark, sf_dir):
 SELECT experiment, metric, {r('u_statistic', 1)} AS u_statistic, {r('tie_term', 0)} AS tie_term,
        {r('u_z', 6)} AS u_z FROM u2""")
 def ab_mannwhitney(spark, sf_dir):
-    long = samples(member_rows(spark, sf_dir, ranges=True), SPECS)
+    long = samples(member_rows(spark, sf_dir, ranges=None), SPECS)
     out = rank_statistics(long, report.KEYS).select(*report.KEYS, "u_statistic", "tie_term", "u_z")
     return rounded(out, {"u_statistic": 1, "tie_term": 0, "u_z": 6})
 
@@ -228,7 +228,7 @@ def ab_mannwhitney(spark, sf_dir):
 SELECT experiment, metric, {r('p_value_ttest', 5)} AS p_value_ttest, {r('p_value_mwu', 5)} AS p_value_mwu
 FROM p_t JOIN p_u USING (experiment, metric)""")
 def ab_pvalue(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
     out = report.with_significance(tests).select(*report.KEYS, "p_value_ttest", "p_value_mwu")
     return rounded(out, {"p_value_ttest": 5, "p_value_mwu": 5})
 
@@ -239,7 +239,7 @@ FROM p_t""")
 def ab_strength(spark, sf_dir):
     """Strength of significance from p-values rounded to 4 places."""
     tests = report.with_significance(
-        report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS))
+        report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS))
     return rounded(tests.select(
         *report.KEYS, strength(F.round("p_value_ttest", 4)).alias("signif_log")), {"signif_log": 4})
 
@@ -255,7 +255,7 @@ SELECT experiment, metric, CASE WHEN mean_b > mean_a THEN group_b ELSE group_a E
 FROM eff JOIN named USING (experiment, metric) JOIN p_t USING (experiment, metric)
 JOIN p_u USING (experiment, metric)""")
 def ab_verdict(spark, sf_dir):
-    rows = member_rows(spark, sf_dir, ranges=True)
+    rows = member_rows(spark, sf_dir, ranges=None)
     tests = report.with_significance(report.hypothesis_statistics(rows, SPECS))
     named = spec_table(rows, SPECS).join(tests, report.KEYS)
     from adquanta.functions.features import relabel
@@ -273,7 +273,7 @@ JOIN p_u USING (experiment, metric)
 WHERE p_value_ttest < 0.05 AND p_value_mwu < 0.05""")
 def ab_significant(spark, sf_dir):
     """Only the hypotheses that both tests support, as the summary lists them."""
-    rows = member_rows(spark, sf_dir, ranges=True)
+    rows = member_rows(spark, sf_dir, ranges=None)
     tests = report.with_significance(report.hypothesis_statistics(rows, SPECS))
     named = spec_table(rows, SPECS).join(tests.where("significant_both"), report.KEYS)
     return report.with_verdict(named).select(
@@ -286,7 +286,7 @@ SELECT experiment, metric, {r('a', 6)} AS bonferroni_alpha, p_value_ttest < a AS
        count(*) FILTER (p_value_ttest < a) OVER (PARTITION BY experiment) AS n_significant_bonferroni
 FROM b""")
 def ab_bonferroni(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
     out = report.with_bonferroni(report.with_significance(tests))
     return rounded(out.select(*report.KEYS, "bonferroni_alpha", "significant_bonferroni",
                               "n_significant_bonferroni"), {"bonferroni_alpha": 6})
@@ -326,7 +326,7 @@ SELECT count(*) AS n_tests, count(*) FILTER (p_value_ttest < 0.05 AND p_value_mw
        {r('0.05e0 / count(*)', 4)} AS family_alpha
 FROM p_t JOIN p_u USING (experiment, metric)""")
 def ab_totals(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
     return report.totals(report.with_significance(tests))
 
 
@@ -416,7 +416,7 @@ def boot_median_ci(spark, sf_dir):
     """Median in place of the mean, for return by number of platforms."""
     spec = [ExperimentSpec("multi_platform", "single", "multi", SPECS[2].where_a, SPECS[2].where_b,
                            ("roas",))]
-    long = samples(member_rows(spark, sf_dir, True, spec), spec)
+    long = samples(member_rows(spark, sf_dir, 256, spec), spec)
     return rounded(_ends(arm_intervals(replicate_medians(long, REPLICATES))), {"lower": 6, "upper": 6})
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from adquanta.experiments.ranks import roc_area
 from adquanta.functions.features import with_features
 from adquanta.models import forest
-from adquanta.operators.quantiles import with_value_ranges
 from adquanta.session import stage
 from adquanta.sources.files import SCORED_COLUMNS
 from adquanta.sources.tables import campaigns, table
@@ -44,10 +43,8 @@ SELECT CAST(p AS BIGINT) AS positives, CAST(q AS BIGINT) AS negatives,
 def ml_auc_rank(spark, sf_dir):
     """Area under the ROC curve of one fixed score column."""
     base = with_features(campaigns(spark, sf_dir)).select("ctr_cr_product", "high_performer")
-    base = stage(base.where("ctr_cr_product is not null"), "scores")
-    ranged = with_value_ranges(base, ["ctr_cr_product"])
-    out = roc_area(ranged, "ctr_cr_product", "high_performer", "ctr_cr_product_range")
-    return rounded(out, {"auc": 6})
+    base = stage(base, "scores")
+    return rounded(roc_area(base, "ctr_cr_product", "high_performer"), {"auc": 6})
 
 
 @query(f"""SELECT count(*) AS n, {r('avg(CAST(quality = toxic AS INTEGER))', 6)} AS accuracy,
