@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from adquanta.session import stage
+
 from .spec import ExperimentSpec, all_metrics
 
 # Prime modulus and two multipliers of well-studied
@@ -57,16 +59,16 @@ def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
     are the same however rows are partitioned, retried or joined.
     """
     p, q = _steps(replicates, seed)
-    pairs = [F.struct(F.lit(a).cast("bigint").alias("p"), F.lit(b).cast("bigint").alias("q"))
-             for a, b in zip(p, q)]
+    first, second = (F.array(*[F.lit(v).cast("bigint") for v in steps]) for steps in (p, q))
     x, y = row_numbers(row_id)
     drawn = rows.withColumns({"_x": x, "_y": y}).select(
-        *rows.columns, "_x", "_y", F.posexplode(F.array(*pairs)).alias("replicate", "_step"))
-    u = (F.col("_x") * F.col("_step.p") + F.col("_y") * F.col("_step.q")) % F.lit(PRIME)
+        *rows.columns, "_x", "_y", F.posexplode(first).alias("replicate", "_p"))
+    step = F.element_at(second, F.col("replicate") + 1)
+    u = (F.col("_x") * F.col("_p") + F.col("_y") * step) % F.lit(PRIME)
     weight = sum(((u >= F.lit(k)).cast("int") for k in poisson_limits()), F.lit(0))
     return (
         drawn.withColumn("weight", weight)
-        .drop("_x", "_y", "_step")
+        .drop("_x", "_y", "_p")
         .where(F.col("weight") > 0)
     )
 
@@ -90,24 +92,32 @@ def weighted_sums(rows: DataFrame, keys: list[str], columns: list[str], replicat
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             frame = batch.to_pandas()
-            for key, part in frame.groupby(keys, sort=False, dropna=False):
-                x = part["_x"].to_numpy(np.int64)
-                y = part["_y"].to_numpy(np.int64)
-                values = part[columns].to_numpy(np.float64)
-                total = totals.setdefault(key, np.zeros((replicates, len(columns))))
-                for i in range(0, len(x), chunk):
-                    u = np.multiply.outer(x[i:i + chunk], p)
-                    u += np.multiply.outer(y[i:i + chunk], q)
+            group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            frame, group = frame.iloc[order], group[order]
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            names = list(frame[keys].iloc[starts].itertuples(index=False, name=None))
+            x, y = frame["_x"].to_numpy(np.int64), frame["_y"].to_numpy(np.int64)
+            values = frame[columns].to_numpy(np.float64)
+            for name, first, last in zip(names, starts, [*starts[1:], len(group)]):
+                total = totals.setdefault(name, np.zeros((replicates, len(columns))))
+                for i in range(first, last, chunk):
+                    end = min(i + chunk, last)
+                    u = np.multiply.outer(x[i:end], p)
+                    u += np.multiply.outer(y[i:end], q)
                     u %= PRIME
                     weight = np.zeros(u.shape, dtype=np.float64)
                     for limit in limits:
                         weight += u >= limit
-                    total += weight.T @ values[i:i + chunk]
-        for key, total in totals.items():
-            out = pd.DataFrame(total, columns=columns)
-            for name, part_of_key in zip(keys, key):
-                out[name] = part_of_key
-            out["replicate"] = np.arange(replicates, dtype=np.int32)
+                    total += weight.T @ values[i:end]
+        some = max(1, 100_000 // replicates)
+        names = list(totals)
+        for i in range(0, len(names), some):
+            part = names[i:i + some]
+            out = pd.DataFrame(np.concatenate([totals[n] for n in part]), columns=columns)
+            for k, column in enumerate(keys):
+                out[column] = [n[k] for n in part for _ in range(replicates)]
+            out["replicate"] = np.tile(np.arange(replicates, dtype=np.int32), len(part))
             yield pa.RecordBatch.from_pandas(
                 out[[*keys, "replicate", *columns]], schema=result, preserve_index=False)
 
@@ -192,6 +202,7 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0) ->
                | ((F.col("skip") <= F.col("high")) & (F.col("high") < F.col("upto"))))
         .select(*keys, "value_range", "skip", "low", "high")
     )
+    wanted = stage(wanted, "median-ranges")
     hit = wanted.select("experiment", "metric", "arm", "value_range").distinct()
     close = rows.join(F.broadcast(hit), ["experiment", "metric", "arm", "value_range"], "left_semi")
     near = (

@@ -89,6 +89,11 @@ def range_count(df: DataFrame) -> int:
     return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranges_for(rows: int, per_range: int = 2_000, most: int = 512) -> int:
+    """Number of ranges when something is kept per range; bounded by ``most``."""
+    return max(4, min(most, rows // per_range))
+
+
 def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
                       ranges: int | None = None) -> DataFrame:
     """Add, for each column, the number of the value range a row falls in.

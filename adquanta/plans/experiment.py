@@ -26,6 +26,7 @@ from adquanta.experiments.spec import (
     spec_table,
 )
 from adquanta.functions.labels import effect_text, strength
+from adquanta.operators.quantiles import ranges_for
 from adquanta.session import stage
 from adquanta.sources.tables import campaigns
 
@@ -43,9 +44,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(campaigns(spark, sf_dir).select(*COLUMNS), "campaigns")
 
 
-def member_rows(spark: SparkSession, sf_dir: str, ranges: bool | int | None = False,
-                specs: list[ExperimentSpec] = SPECS) -> DataFrame:
-    return members(staged(spark, sf_dir), specs, "ad_id", ranges)
+def member_rows(spark: SparkSession, sf_dir: str, ranges: bool | None = False) -> DataFrame:
+    return members(staged(spark, sf_dir), SPECS, "ad_id", ranges)
 
 
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +416,8 @@ def boot_median_ci(spark, sf_dir):
     """Median in place of the mean, for return by number of platforms."""
     spec = [ExperimentSpec("multi_platform", "single", "multi", SPECS[2].where_a, SPECS[2].where_b,
                            ("roas",))]
-    long = samples(member_rows(spark, sf_dir, 256, spec), spec)
+    base = staged(spark, sf_dir)
+    long = samples(members(base, spec, ranges=ranges_for(base.count())), spec)
     return rounded(_ends(arm_intervals(replicate_medians(long, REPLICATES))), {"lower": 6, "upper": 6})
 
 
