@@ -21,7 +21,7 @@ def is_multi(platform: Column | str = "platform") -> Column:
 
 
 def platform_list(platform: Column | str = "platform") -> Column:
-    return F.transform(F.split(col(platform), ","), F.trim)
+    return F.transform(F.split(col(platform), ","), lambda name: F.trim(name))
 
 
 def platform_clean(platform: Column | str = "platform",
