@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -221,6 +221,19 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0) ->
     return near.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("stat"))
 
 
+def replicate_statistic(long: DataFrame, stat: Callable[[str, str], Column],
+                        replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Any statistic per (experiment, metric, arm, replicate).
+
+    ``stat`` gets the names of the value and weight columns and returns an
+    aggregate column. Rows are drawn one by one, and combined before the
+    shuffle if the aggregate allows it.
+    """
+    rows = _spread(long.select("experiment", "metric", "arm", "row_id", "value"))
+    return replicated(rows, replicates, seed=seed).groupBy(
+        "experiment", "metric", "arm", "replicate").agg(stat("value", "weight").alias("stat"))
+
+
 def arm_intervals(stats: DataFrame, level: float = 0.95) -> DataFrame:
     """Percentile interval of the statistic per (experiment, metric, arm)."""
     return stats.groupBy("experiment", "metric", "arm").agg(

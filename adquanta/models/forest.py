@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adquanta.functions.labels import PRIORITIES
 from adquanta.operators.scoring import fixed_priority, rescaled, sigmoid_margin
 
 # Model inputs in order.
@@ -98,6 +99,35 @@ def prioritised(scored: DataFrame) -> DataFrame:
     return rescaled(scored, "conv_score").withColumn("priority", fixed_priority("conv_score"))
 
 
+def training_report(df: DataFrame, scored: DataFrame, metrics: dict[str, float],
+                    top: DataFrame, features: int) -> DataFrame:
+    """One document: size, class balance, quality, priorities, leading features.
+
+    ``top`` is a result of :func:`importances`, bounded by the model's inputs.
+    """
+    rows = df.agg(
+        F.count("*").alias("total_records"),
+        F.count_distinct("advertiser").alias("advertisers"),
+        F.struct(F.count_if(F.col(LABEL) == 1).alias("positive"),
+                 F.count_if(F.col(LABEL) == 0).alias("negative")).alias("class_balance"),
+    )
+    levels = scored.agg(F.struct(
+        F.count("*").alias("scored"),
+        *[F.count_if(F.col("priority") == p).alias(f"{p.lower()}_priority") for p in PRIORITIES],
+    ).alias("scoring"))
+    leading = top.agg(F.array_sort(F.collect_list(F.struct(
+        (-F.round("importance", 4)).alias("order"), "feature", F.round("importance", 4).alias("importance")
+    ))).alias("found")).select(F.transform("found", lambda e: F.struct(
+        e["feature"].alias("feature"), e["importance"].alias("importance"))))
+    return rows.select(
+        "total_records", "advertisers", "class_balance",
+        F.lit(features).alias("features_count"),
+        F.struct(*[F.lit(round(v, 4)).alias(k) for k, v in metrics.items()]).alias("metrics"),
+        levels.scalar().alias("scoring"),
+        leading.scalar().alias("top_features"),
+    )
+
+
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.groupBy(label, prediction).agg(F.count("*").alias("n"))
 

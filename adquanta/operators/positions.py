@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adquanta.session import shared_folder
+from adquanta.session import stage
 
 from .joins import join_dimension
 
@@ -19,15 +19,14 @@ def with_position(df: DataFrame, order: list[str], keys: list[str] | None = None
     An ordered window would put each key (or, without keys, the whole table)
     in a single task. Here the rows are range-partitioned and sorted by keys
     and order columns, which splits a hot key over several tasks; the slice
-    sizes give each slice its offset. The ranged rows go to the reliable
-    checkpoint, so that slices stay the same however often they are read.
+    sizes give each slice its offset. The ranged rows are written to the shared
+    folder, so that slices stay the same however often they are read and
+    whatever executors are lost in between.
     """
     keys = keys or []
-    spark = df.sparkSession
-    shared_folder(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = [*keys, *order]
-    ranged = (
+    sliced = (
         df.repartitionByRange(n, *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_row", F.monotonically_increasing_id())
@@ -35,8 +34,8 @@ def with_position(df: DataFrame, order: list[str], keys: list[str] | None = None
             "_slice": F.shiftrightunsigned("_row", _ROW_BITS),
             "_row": F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
         })
-        .checkpoint()
     )
+    ranged = stage(sliced, "slices")
     # Null keys form a group of their own.
     filled = {f"_k{i}": F.struct(F.col(k)) for i, k in enumerate(keys)}
     ranged = ranged.withColumns(filled) if filled else ranged

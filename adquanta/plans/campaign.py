@@ -51,10 +51,11 @@ def scored(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return tercile_priority(composite_score(base))
 
 
-def squashed(df: DataFrame) -> DataFrame:
+def squashed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """A model-free score on plain columns: margin of return against the cut."""
+    df = campaigns(spark, sf_dir).select("ad_id", "roas", *columns)
     score = sigmoid_margin(F.lit(5.0), F.col("roas"))
-    return rescaled(df.withColumn("conv_score", score), "conv_score")
+    return rescaled(stage(df.withColumn("conv_score", score), "scores"), "conv_score")
 
 
 SQUASHED = CAMPAIGNS + """,
@@ -123,7 +124,7 @@ SELECT ad_id, {r('roas_norm', 6)} AS roas_norm, {r('ctr_pct_norm', 6)} AS ctr_pc
 FROM composite""")
 def score_composite(spark, sf_dir):
     names = ["roas_norm", "ctr_pct_norm", "cr_pct_norm", "ml_score"]
-    base = campaigns(spark, sf_dir).select("ad_id", "roas", "ctr_pct", "cr_pct")
+    base = stage(campaigns(spark, sf_dir).select("ad_id", "roas", "ctr_pct", "cr_pct"), "campaigns")
     return rounded(composite_score(base).select("ad_id", *names), dict.fromkeys(names, 6))
 
 
@@ -136,14 +137,12 @@ def score_priority(spark, sf_dir):
 @query(f"""WITH {SQUASHED}
 SELECT ad_id, {r('conv_score', 6)} AS conv_score FROM squashed""")
 def score_sigmoid(spark, sf_dir):
-    base = campaigns(spark, sf_dir).select("ad_id", "roas")
-    return rounded(squashed(base).select("ad_id", "conv_score"), {"conv_score": 6})
+    return rounded(squashed(spark, sf_dir).select("ad_id", "conv_score"), {"conv_score": 6})
 
 
 @query(f"""WITH {SQUASHED} SELECT ad_id, priority FROM labelled""")
 def score_fixed_cut(spark, sf_dir):
-    base = campaigns(spark, sf_dir).select("ad_id", "roas")
-    return squashed(base).select("ad_id", fixed_priority().alias("priority"))
+    return squashed(spark, sf_dir).select("ad_id", fixed_priority().alias("priority"))
 
 
 # Filters -----------------------------------------------------------------
@@ -180,12 +179,16 @@ limits AS (SELECT avg(roas) + 3 * stddev_samp(roas) AS a,
 SELECT ad_id, {r('roas', 6)} AS roas, revenue_per_click FROM feats, limits
 WHERE roas > a OR revenue_per_click > b""")
 def anomaly_3sigma(spark, sf_dir):
-    return anomaly_over(campaigns(spark, sf_dir))
+    used = features(spark, sf_dir).select("ad_id", "roas", "revenue_per_click")
+    return _outliers(stage(used, "features"))
 
 
 def anomaly_over(df):
-    used = with_features(df).select("ad_id", "roas", "revenue_per_click")
-    return rounded(above_sigma(used, ["roas", "revenue_per_click"]), {"roas": 6})
+    return _outliers(with_features(df).select("ad_id", "roas", "revenue_per_click"))
+
+
+def _outliers(df):
+    return rounded(above_sigma(df, ["roas", "revenue_per_click"]), {"roas": 6})
 
 
 # Joins and ordered results -----------------------------------------------
@@ -315,7 +318,7 @@ SELECT priority, count(ad_id) AS campaigns, {r('avg(cac)', 2)} AS avg_cac,
        {r('avg(roas)', 2)} AS avg_roas, {r('avg(conv_score)', 2)} AS avg_score
 FROM labelled GROUP BY priority""")
 def agg_priority(spark, sf_dir):
-    df = squashed(campaigns(spark, sf_dir).select("ad_id", "cac", "roas"))
+    df = squashed(spark, sf_dir, "cac")
     return kpis.priority_summary(df.withColumn("priority", fixed_priority()))
 
 
@@ -325,8 +328,7 @@ SELECT advertiser, target_age, priority, count(ad_id) AS campaigns, {r('avg(ctr_
        {r('avg(conv_score)', 3)} AS avg_score
 FROM labelled GROUP BY advertiser, target_age, priority""")
 def agg_report(spark, sf_dir):
-    df = squashed(campaigns(spark, sf_dir).select(
-        "ad_id", "advertiser", "target_age", "ctr_pct", "cac", "roas"))
+    df = squashed(spark, sf_dir, "advertiser", "target_age", "ctr_pct", "cac")
     return kpis.segment_report(df.withColumn("priority", fixed_priority()))
 
 

@@ -10,7 +10,7 @@ from adquanta.experiments.ranks import roc_area
 from adquanta.functions.features import with_features
 from adquanta.models import forest
 from adquanta.session import stage
-from adquanta.sources.files import SCORED_COLUMNS
+from adquanta.sources.files import SCORED_COLUMNS, reuse
 from adquanta.sources.tables import campaigns, table
 
 from .common import FEATURES, r, registry, rounded
@@ -20,7 +20,8 @@ QUERIES, SQL, query = registry()
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
     """A forest trained on the training share of the staged feature table."""
-    df = stage(with_features(campaigns(spark, sf_dir)), "features")
+    used = dict.fromkeys(["ad_id", "roas", *forest.CATEGORICAL, *forest.NUMERIC, forest.LABEL])
+    df = stage(with_features(campaigns(spark, sf_dir)).select(*used), "features")
     return forest.forest().fit(df.where(forest.in_train("ad_id"))), df
 
 
@@ -61,13 +62,32 @@ def ml_confusion(spark, sf_dir):
     return forest.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
+def _scored(model: PipelineModel, df: DataFrame) -> DataFrame:
+    scored = stage(forest.predictions(model, df).select(
+        *[c for c in SCORED_COLUMNS if c != "priority"]), "scored")
+    return forest.prioritised(scored).select(*SCORED_COLUMNS)
+
+
+def _holdout(model: PipelineModel, test: DataFrame) -> tuple[dict[str, float], int]:
+    """Quality on the rows kept from training, and how many could be scored."""
+    names = ("high_performer", "rawPrediction", "prediction")
+    with reuse(model.transform(test).select(*names)) as predicted:
+        return forest.holdout_metrics(predicted), predicted.count()
+
+
 @query()
 def ml_score(spark, sf_dir):
     """Every campaign scored by the forest, with its priority."""
+    return _scored(*_fitted(spark, sf_dir))
+
+
+@query()
+def ml_report(spark, sf_dir):
+    """The report document of a training run."""
     model, df = _fitted(spark, sf_dir)
-    scored = stage(forest.predictions(model, df).select(
-        *[c for c in SCORED_COLUMNS if c != "priority"]), "scored")
-    return forest.prioritised(scored).select(*SCORED_COLUMNS)
+    values, _ = _holdout(model, df.where(~forest.in_train("ad_id")))
+    top = forest.importances(model, spark, k=5)
+    return forest.training_report(df, _scored(model, df), values, top, len(forest.feature_names()))
 
 
 @query()
@@ -75,13 +95,7 @@ def ml_metrics(spark, sf_dir):
     """Hold-out quality and the number of rows scored of all rows."""
     model, df = _fitted(spark, sf_dir)
     test = df.where(~forest.in_train("ad_id"))
-    names = ("high_performer", "rawPrediction", "prediction")
-    predicted = model.transform(test).select(*names).persist()
-    try:
-        values = forest.holdout_metrics(predicted)
-        scored = predicted.count()
-    finally:
-        predicted.unpersist()
+    values, scored = _holdout(model, test)
     return test.agg(
         F.count("*").alias("n_total"), F.lit(scored).cast("bigint").alias("n_scored"),
         *[F.lit(v).alias(k) for k, v in values.items()])

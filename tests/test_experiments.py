@@ -15,6 +15,7 @@ from adquanta.experiments.bootstrap import (
     difference_intervals,
     replicate_means,
     replicate_medians,
+    replicate_statistic,
     replicated,
     weighted_sums,
 )
@@ -245,6 +246,18 @@ def test_medians_per_replicate(spark, campaigns, ranges):
     assert all(got[k] == pytest.approx(np.median(v)) for k, v in copies.items())
 
 
+def test_statistic_as_a_callable(spark, campaigns):
+    rows = members(campaigns, SPECS)
+
+    def mean(value, weight):
+        return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
+
+    key = lambda r: (r.experiment, r.metric, r.arm, r.replicate)
+    mine = {key(r): r.stat for r in replicate_statistic(samples(rows, SPECS), mean, 20).collect()}
+    want = {key(r): r.stat for r in replicate_means(rows, SPECS, 20).collect()}
+    assert mine.keys() == want.keys() and all(mine[k] == pytest.approx(want[k]) for k in mine)
+
+
 # Records and reports -----------------------------------------------------
 
 def test_missing_platform_joins_neither_arm(spark, campaigns):

@@ -82,6 +82,19 @@ def test_importances_are_ordered(trained, spark):
     assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
 
 
+def test_training_report(trained, spark, tmp_path):
+    model, df = trained
+    scored = forest.prioritised(forest.predictions(model, df).select("ad_id", "conv_score"))
+    values = {"auc": 0.71234, "accuracy": 0.5, "f1": 0.25}
+    r = forest.training_report(df, scored, values, forest.importances(model, spark, k=5), 18).first()
+    assert r.total_records == r.class_balance.positive + r.class_balance.negative == df.count()
+    s = r.scoring
+    assert s.high_priority + s.medium_priority + s.low_priority == s.scored == scored.count()
+    assert r.metrics.auc == 0.7123 and r.features_count == 18
+    top = [f.importance for f in r.top_features]
+    assert len(top) == 5 and top == sorted(top, reverse=True)
+
+
 def test_leaking_inputs_can_be_left_out():
     names = forest.feature_names()
     assert len(names) == 18

@@ -8,7 +8,7 @@ from adquanta.plans.campaign import OPERATIONS
 from adquanta.session import stage
 from adquanta.sources.tables import campaigns
 
-SLOW = {"ml_metrics", "ml_importance"}  # the same training as ml_score
+SLOW = {"ml_metrics", "ml_importance", "ml_report"}  # the same training as ml_score
 
 
 @pytest.fixture(scope="module")
