@@ -45,9 +45,11 @@ def _steps(replicates: int, seed: int) -> list[list[int]]:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Even out the rows over tasks before each is weighted many times."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "row_id")
+    """Even out the rows over tasks before each is weighted many times.
+
+    Without a fixed number, adaptive execution sizes the partitions.
+    """
+    return rows.repartition("row_id")
 
 
 def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",

@@ -24,10 +24,10 @@ def with_position(df: DataFrame, order: list[str], keys: list[str] | None = None
     whatever executors are lost in between.
     """
     keys = keys or []
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = [*keys, *order]
+    by_range = [partitions, *sort] if partitions else sort
     sliced = (
-        df.repartitionByRange(n, *sort)
+        df.repartitionByRange(*by_range)
         .sortWithinPartitions(*sort)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumns({

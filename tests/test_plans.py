@@ -43,6 +43,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "l_extendedprice" not in text.split("Physical Plan")[1]
 
 
+def test_quantile_cut_reaches_the_scan(spark, sf_dir):
+    loaded = stage(campaigns(spark, sf_dir), "campaigns")
+    text = plan(OPERATIONS["topk"](loaded)).split("Physical Plan")[1]
+    assert "GreaterThan(roas" in text and "TakeOrderedAndProject" in text
+    assert "ReadSchema: struct<ad_id:bigint,revenue:double,roas:double>" in text
+
+
 def test_no_cartesian_products(spark, sf_dir):
     loaded = stage(campaigns(spark, sf_dir), "campaigns")
     for operation in OPERATIONS.values():
