@@ -67,11 +67,15 @@ def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
         *rows.columns, "_x", "_y", F.posexplode(first).alias("replicate", "_p"))
     step = F.element_at(second, F.col("replicate") + 1)
     u = (F.col("_x") * F.col("_p") + F.col("_y") * step) % F.lit(PRIME)
-    weight = sum(((u >= F.lit(k)).cast("int") for k in poisson_limits()), F.lit(0))
+    # At or above the first limit the weight is at least 1; filtering on that
+    # alone keeps the filter to one comparison.
+    first_limit, *limits = poisson_limits()
+    weight = sum(((F.col("_u") >= F.lit(k)).cast("int") for k in limits), F.lit(1))
     return (
-        drawn.withColumn("weight", weight)
-        .drop("_x", "_y", "_p")
-        .where(F.col("weight") > 0)
+        drawn.withColumn("_u", u)
+        .where(F.col("_u") >= F.lit(first_limit))
+        .withColumn("weight", weight)
+        .drop("_x", "_y", "_p", "_u")
     )
 
 

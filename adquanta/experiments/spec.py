@@ -24,10 +24,16 @@ class ExperimentSpec:
     metrics: tuple[str, ...]
 
 
-def campaign_experiments(age_a: str = "25-34", age_b: str = "45-54",
-                         platform_a: str = "Facebook", platform_b: str = "Instagram",
-                         advertiser_a: str = "Forte Bank",
-                         advertiser_b: str = "Kaspi") -> list[ExperimentSpec]:
+# Segments of the standard comparisons.
+AGES = ("25-34", "45-54")
+PLATFORMS = ("Facebook", "Instagram")
+ADVERTISERS = ("Forte Bank", "Kaspi")
+
+
+def campaign_experiments(age_a: str = AGES[0], age_b: str = AGES[1],
+                         platform_a: str = PLATFORMS[0], platform_b: str = PLATFORMS[1],
+                         advertiser_a: str = ADVERTISERS[0],
+                         advertiser_b: str = ADVERTISERS[1]) -> list[ExperimentSpec]:
     """The four standard comparisons, 14 hypotheses in all."""
 
     def equal(column: str, value: str) -> str:
