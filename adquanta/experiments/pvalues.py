@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Ship these functions with the tasks, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Largest n_a * n_b for which the exact distribution of U is counted.
 EXACT_PAIRS = 10_000_000
 

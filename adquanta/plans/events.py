@@ -36,6 +36,8 @@ _COUNTERS = f"""count(*) FILTER (event_type = 'impression') AS impressions,
        {r('sum(cost)', 4)} AS cost, count(*) AS events"""
 _CENTS = {"revenue": 4, "cost": 4}
 
+_TIME = "%Y-%m-%d %H:%M:%S"
+
 _FUNNEL = f"""WITH {AD_EVENTS},
 f AS (SELECT advertiser, count(*) FILTER (event_type = 'impression') AS impressions,
              count(*) FILTER (event_type = 'click') AS clicks,
@@ -193,8 +195,8 @@ def alerts_last(spark, sf_dir):
 # Event time --------------------------------------------------------------
 
 @query(f"""WITH {AD_EVENTS}
-SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start,
-       epoch_us(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR) AS window_end, advertiser, {_COUNTERS}
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '{_TIME}') AS window_start,
+       strftime(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, '{_TIME}') AS window_end, advertiser, {_COUNTERS}
 FROM ad_events GROUP BY 1, 2, 3""")
 def tumbling_funnel(spark, sf_dir):
     return rounded(_ends(time_windows(
@@ -204,20 +206,21 @@ def tumbling_funnel(spark, sf_dir):
 @query(f"""WITH {AD_EVENTS},
 spread AS (SELECT e.*, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS s
            FROM ad_events e, range(4) t(k))
-SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL 1 HOUR) AS window_end, {_COUNTERS}
+SELECT strftime(s, '{_TIME}') AS window_start, strftime(s + INTERVAL 1 HOUR, '{_TIME}') AS window_end, {_COUNTERS}
 FROM spread GROUP BY 1, 2""")
 def sliding_funnel(spark, sf_dir):
     return rounded(_ends(time_windows(ad_events(spark, sf_dir), "1 hour", "15 minutes")), _CENTS)
 
 
 def _ends(windows):
-    """Window ends as microseconds, which all engines compare alike."""
-    return windows.withColumns({c: F.unix_micros(c) for c in ("window_start", "window_end")})
+    """Window ends as text, which all engines compare alike in any session zone."""
+    return windows.withColumns({
+        c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")})
 
 
 @query(f"""WITH {AD_EVENTS},
 w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, {_COUNTERS} FROM ad_events GROUP BY 1)
-SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL 1 HOUR) AS window_end,
+SELECT strftime(s, '{_TIME}') AS window_start, strftime(s + INTERVAL 1 HOUR, '{_TIME}') AS window_end,
        impressions, clicks, conversions, bounces, revenue, cost, events
 FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ad_events) - INTERVAL 10 MINUTE""")
 def stream_tumbling_funnel(spark, sf_dir):
