@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +31,12 @@ def build_session(app_name: str = "adquanta", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, visible to all executors.
 
-    A local session without that setting gets a temporary folder; a cluster
-    session without it is refused, because a machine-local folder would lose
-    data together with its machine.
+    A session without that setting uses a folder in its warehouse, which all
+    executors see as well; no folder of one machine is ever chosen.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="adquanta-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
