@@ -48,7 +48,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a DataFrame that several passes read to the shared folder once.
 
     The passes then scan columnar files with pruning and filter pushdown in
@@ -56,5 +56,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Select the needed columns before staging.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
