@@ -6,6 +6,9 @@ from ..plans.common import registry
 from ..sources.tables import table
 from .compression import quality_scores
 from .exact import exact_duplicates
+from .fm_index import remove_substrings
+from .rules import apply_rules
+from .suffixes import remove_repeats
 
 QUERIES, SQL, query = registry()
 
@@ -13,6 +16,40 @@ QUERIES, SQL, query = registry()
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def repeats_sql(window: int) -> str:
+    """Windows of every text, counted by their words."""
+    return f"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + {window - 1}], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM split)),
+hit AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS p FROM hit),
+flat AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM flat ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)"""
+
+
+@query()
+def op2_quality_rules(spark, sf_dir):
+    """Base counts of every document and the verdict of the certified rules."""
+    out = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "stratum", "rejected_by")
+
+
+@query(repeats_sql(35))
+def op4_substring_dedup(spark, sf_dir):
+    """Every document without the words of windows of 35 words that occur twice."""
+    return remove_substrings(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query(f"""
 WITH texts AS (SELECT doc_id, {LOWER} AS t FROM documents),
 groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
@@ -29,3 +66,9 @@ def op8_exact_dedup(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     """Quality of every document by the compression classifier."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(repeats_sql(50))
+def op10_suffix_dedup(spark, sf_dir):
+    """Every document without the words of windows of 50 words that occur twice."""
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
