@@ -72,8 +72,8 @@ def fit_compression(sample: pd.DataFrame) -> CompressionModel:
     Without two texts of each class there is nothing to compare: every score is
     then the share of label 1, or one half without labels.
     """
+    base = float(sample.attrs["share"])
     sample = sample.assign(raw=sample["text"].str.encode("utf-8"))
-    base = float(sample["y"].mean()) if len(sample) else 0.5
     parts = {y: sample[sample["y"] == y] for y in (0, 1)}
     if min(map(len, parts.values())) < 2:
         return CompressionModel(b"", b"", None, base)
@@ -81,7 +81,8 @@ def fit_compression(sample: pd.DataFrame) -> CompressionModel:
     model = CompressionModel(_dictionary(first[1]), _dictionary(first[0]), None, base)
     rest = pd.concat([p[1::2] for p in parts.values()])
     x = _inputs(model.sizes(list(rest["raw"])))
-    model.calibration = Logistic.fit(x, rest["y"].to_numpy(float))
+    fitted = Logistic.fit(x, rest["y"].to_numpy(float))
+    model.calibration = fitted.for_share(base, float(rest["y"].mean()))
     return model
 
 

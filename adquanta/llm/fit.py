@@ -23,13 +23,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     Ids are chosen on the label table alone, so documents are read once and only
     the chosen ones leave their tasks: at most 2 * ``per_class`` texts, each cut
     to ``max_chars`` characters for fitting. Ids with null or contradicting
-    labels and null texts are left out. Columns: id, text, y.
+    labels and null texts are left out. Columns: id, text, y; ``attrs["share"]``
+    is the share of label 1 among all ids that may be learnt from.
     """
     known = (
         labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("_y"))
         .where("y = _y").drop("_y").withColumn("draw", F.xxhash64("id"))
     )
+    n, ones = known.agg(F.count("*"), F.sum("y")).first()
     ids = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy("draw", "id").limit(per_class)
@@ -38,7 +40,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     # 2 * per_class rows of three numbers: the bound of this broadcast.
     found = texts.where(F.col("text").isNotNull()).join(F.broadcast(ids), "id").toPandas()
     found = found.sort_values(["draw", "id", "text"]).drop_duplicates("id")
-    return found[["id", "text", "y"]].reset_index(drop=True)
+    found = found[["id", "text", "y"]].reset_index(drop=True)
+    found.attrs["share"] = ones / n if n else 0.5
+    return found
 
 
 @dataclass
@@ -76,6 +80,11 @@ class Logistic:
                 break
         return cls(mean, scale, w)
 
+    def for_share(self, share: float, fitted: float) -> Logistic:
+        """The same model where label 1 has another share than in the sample it was fitted on."""
+        odds = [np.log(p / (1 - p)) for p in np.clip((share, fitted), 1e-3, 1 - 1e-3)]
+        return Logistic(self.mean, self.scale, np.r_[self.weights[0] + odds[0] - odds[1], self.weights[1:]])
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:])
 

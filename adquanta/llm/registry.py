@@ -9,6 +9,7 @@ from .exact import exact_duplicates
 from .fm_index import remove_substrings
 from .rules import apply_rules
 from .suffixes import remove_repeats
+from .toxicity import toxicity_scores
 
 QUERIES, SQL, query = registry()
 
@@ -50,6 +51,12 @@ def op4_substring_dedup(spark, sf_dir):
     return remove_substrings(table(spark, sf_dir, "documents"), digest=True)
 
 
+@query()
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every document and the spans it comes from."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(f"""
 WITH texts AS (SELECT doc_id, {LOWER} AS t FROM documents),
 groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)

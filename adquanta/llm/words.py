@@ -74,14 +74,19 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes (A-Z lower-cased on request)."""
+        return self.prefix_hashes((None,), lower)[0]
+
+    def prefix_hashes(self, sizes: tuple[int | None, ...], lower: bool = False) -> list[np.ndarray]:
+        """Hashes of each word's first bytes, for several sizes (None: the whole word)."""
         data = _LOWER[self.data] if lower else self.data
         if not len(self.starts):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64) for _ in sizes]
         up, down = powers(len(data))
         total = np.empty(len(data) + 1, np.uint64)
         total[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        ends = [self.ends if n is None else np.minimum(self.starts + n, self.ends) for n in sizes]
+        return [mix((total[e] - total[self.starts]) * down[self.starts]) for e in ends]
 
     def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``n`` words of one text."""
@@ -96,8 +101,8 @@ class Words:
         return at, mix((total[at + n] - total[at]) * down[at])
 
 
-def split_words(texts: pa.Array) -> Words:
-    """The words of a string array; null has none."""
+def split_words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
+    """The words of a string array; null has none. ``space`` flags the separating bytes."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1 + texts.offset)[texts.offset:] \
@@ -106,7 +111,7 @@ def split_words(texts: pa.Array) -> Words:
     data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None \
         else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     opens, closes = inside.copy(), inside.copy()
