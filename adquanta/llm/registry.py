@@ -7,6 +7,7 @@ from ..sources.tables import table
 from .compression import quality_scores
 from .exact import exact_duplicates
 from .fm_index import remove_substrings
+from .minhash import near_duplicates
 from .rules import apply_rules
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
@@ -57,6 +58,31 @@ def op6_toxicity(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query(f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM split)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id,
+       d.doc_id = min(b) AS kept
+FROM documents d JOIN reach ON d.doc_id = a LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+""")
+def op7_near_dedup(spark, sf_dir):
+    """Near-duplicate classes of all documents, and which document of each stays."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(f"""
 WITH texts AS (SELECT doc_id, {LOWER} AS t FROM documents),
 groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
