@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.common import registry
 from ..sources.tables import table
 from .compression import quality_scores
 from .exact import exact_duplicates
 from .fm_index import remove_substrings
 from .minhash import near_duplicates
+from .packing import pack
 from .rules import apply_rules
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
@@ -38,6 +41,14 @@ SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 FROM split s LEFT JOIN kept k USING (doc_id)"""
 
 
+@query()
+def op1_packing(spark, sf_dir):
+    """Pieces of all documents in sequences of 1024 ids, neighbours on the curve together."""
+    packed = pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 @query()
 def op2_quality_rules(spark, sf_dir):
     """Base counts of every document and the verdict of the certified rules."""
