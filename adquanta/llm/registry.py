@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.common import registry
 from ..sources.tables import table
+from .bpe import decode, encode
 from .compression import quality_scores
 from .exact import exact_duplicates
 from .fm_index import remove_substrings
@@ -57,6 +58,12 @@ def op2_quality_rules(spark, sf_dir):
                       "base_failed", "kept", "stratum", "rejected_by")
 
 
+@query()
+def op3_byte_bpe(spark, sf_dir):
+    """Digests of the ids of every document and of the bytes they decode to."""
+    return decode(encode(table(spark, sf_dir, "documents")), digest=True)
+
+
 @query(repeats_sql(35))
 def op4_substring_dedup(spark, sf_dir):
     """Every document without the words of windows of 35 words that occur twice."""
