@@ -15,6 +15,7 @@ from .packing import pack
 from .rules import apply_rules
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
+from .urls import filter_urls
 
 QUERIES, SQL, query = registry()
 
@@ -70,6 +71,32 @@ def op4_substring_dedup(spark, sf_dir):
     return remove_substrings(table(spark, sf_dir, "documents"), digest=True)
 
 
+@query("""
+WITH split AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*', 0)) AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+    regexp_matches(host, '(^|[.-])(spam|casino|pills|bets|adult|ads)([.-]|$)') AS listed
+  FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM ruled
+""")
+def op5_url_filter(spark, sf_dir):
+    """Rule and verdict of every page's URL."""
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op6_toxicity(spark, sf_dir):
     """Toxicity of every document and the spans it comes from."""
