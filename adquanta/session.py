@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,32 @@ def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 
     The passes then scan columnar files with pruning and filter pushdown in
     place of repeating the joins behind ``df``, and survive executor loss.
-    Select the needed columns before staging.
+    Select the needed columns before staging. The shuffle files behind ``df``
+    are of no more use then; Spark removes them once the driver has collected
+    the plan that made them. It lets go of a plan when the next job has run, so
+    one row is read before the collection is asked for.
     """
-    path = fresh_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    staged = spark.read.schema(schema).parquet(path)
+    staged.head(1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    staged.staged_path = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that no later result reads."""
+    path = getattr(staged, "staged_path", None)
+    if path:
+        remove_path(staged.sparkSession, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark keeps it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
