@@ -8,12 +8,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from adquanta.session import stage
+from adquanta.session import discard, stage
 
 from .spec import ExperimentSpec, all_metrics
 
@@ -44,12 +44,23 @@ def _steps(replicates: int, seed: int) -> list[list[int]]:
             for m in MULTIPLIERS]
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Even out the rows over tasks before each is weighted many times.
+def _drawer(replicates: int, seed: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the weights (rows x replicates) of rows by their two numbers."""
+    p, q = (np.array(s, dtype=np.int64) for s in _steps(replicates, seed))
+    first, second, third, *rest = [k for k in poisson_limits() if k < PRIME]
 
-    Without a fixed number, adaptive execution sizes the partitions.
-    """
-    return rows.repartition("row_id")
+    def draw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        u = np.multiply.outer(x, p)
+        u += np.multiply.outer(y, q)
+        u %= PRIME
+        weight = (u >= first).astype(np.float64)
+        weight += u >= second
+        weight += u >= third
+        high = np.flatnonzero(u >= rest[0])  # one draw in fifty
+        weight.flat[high] += np.searchsorted(np.array(rest), u.flat[high], "right")
+        return weight
+
+    return draw
 
 
 def replicated(rows: DataFrame, replicates: int, row_id: str = "row_id",
@@ -84,13 +95,13 @@ def weighted_sums(rows: DataFrame, keys: list[str], columns: list[str], replicat
     """Sums of weight * column per (keys, replicate), with the weights above.
 
     Exploding each row costs an aggregate update per row and replicate. Here a
-    task turns a few thousand rows at a time into a weight matrix and adds its
-    product with the columns to one small array per key, so it needs memory
-    for keys * replicates * columns only and sends as many rows to the final
-    sum. The number of distinct keys must be bounded, as that of arms is.
+    task draws the weights of a few hundred rows at a time, once for a row
+    however many keys it belongs to, and adds the products with the columns to
+    one small array per key. It needs memory for keys * replicates * columns
+    only and sends as many rows to the final sum. The number of distinct keys
+    must be bounded, as that of arms is.
     """
-    p, q = (np.array(s, dtype=np.int64) for s in _steps(replicates, seed))
-    limits = [k for k in poisson_limits() if k < PRIME]
+    draw = _drawer(replicates, seed)
     chunk = max(1, 1_000_000 // replicates)
     n_keys = len(keys)
 
@@ -99,23 +110,24 @@ def weighted_sums(rows: DataFrame, keys: list[str], columns: list[str], replicat
         for batch in batches:
             frame = batch.to_pandas()
             group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            order = np.argsort(group, kind="stable")
-            frame, group = frame.iloc[order], group[order]
-            starts = np.flatnonzero(np.diff(group, prepend=-1))
-            names = list(frame[keys].iloc[starts].itertuples(index=False, name=None))
-            x, y = frame["_x"].to_numpy(np.int64), frame["_y"].to_numpy(np.int64)
+            firsts = np.unique(group, return_index=True)[1]
+            names = list(frame[keys].iloc[firsts].itertuples(index=False, name=None))
+            xy = frame[["_x", "_y"]].to_numpy(np.int64)
             values = frame[columns].to_numpy(np.float64)
-            for name, first, last in zip(names, starts, [*starts[1:], len(group)]):
-                total = totals.setdefault(name, np.zeros((replicates, len(columns))))
-                for i in range(first, last, chunk):
-                    end = min(i + chunk, last)
-                    u = np.multiply.outer(x[i:end], p)
-                    u += np.multiply.outer(y[i:end], q)
-                    u %= PRIME
-                    weight = np.zeros(u.shape, dtype=np.float64)
-                    for limit in limits:
-                        weight += u >= limit
-                    total += weight.T @ values[i:end]
+            rows, row = np.unique(xy, axis=0, return_inverse=True)
+            order = np.lexsort((group, row.ravel() // chunk))
+            part = row.ravel()[order] // chunk
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(group[order]) != 0)) + 1
+            weights, drawn = None, -1
+            for picked in np.split(order, cuts):
+                if not len(picked):
+                    continue
+                at = int(row.ravel()[picked[0]] // chunk)
+                if at != drawn:
+                    here = rows[at * chunk:(at + 1) * chunk]
+                    weights, drawn = draw(here[:, 0], here[:, 1]), at
+                total = totals.setdefault(names[group[picked[0]]], np.zeros((replicates, len(columns))))
+                total += weights[row.ravel()[picked] - at * chunk].T @ values[picked]
         some = max(1, 100_000 // replicates)
         names = list(totals)
         for i in range(0, len(names), some):
@@ -169,7 +181,7 @@ def replicate_means(member_rows: DataFrame, specs: Sequence[ExperimentSpec],
     metrics = all_metrics(specs)
     units = _units(member_rows, metrics, cells)
     columns = [f"{m}_{end}" for m in metrics for end in ("sum", "count")]
-    sums = weighted_sums(_spread(units), ["experiment", "arm"], columns, replicates, seed=seed)
+    sums = weighted_sums(units, ["experiment", "arm"], columns, replicates, seed=seed)
     means = F.array(*[
         F.struct(F.lit(m).alias("metric"),
                  F.try_divide(F.col(f"{m}_sum"), F.col(f"{m}_count")).alias("stat"))
@@ -181,50 +193,70 @@ def replicate_means(member_rows: DataFrame, specs: Sequence[ExperimentSpec],
     return sums.select("experiment", "arm", "replicate", F.inline(means)).where(wanted)
 
 
-def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
+def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
+                      width: float = 7.0) -> DataFrame:
     """Weighted median per (experiment, metric, arm, replicate).
 
-    ``long`` needs value ranges, a few hundred: a task keeps one number per
-    range and replicate. The first pass adds up weights per value range; the running sum tells
-    which range holds the median of each replicate. Only rows of such ranges
-    are then drawn one by one and shuffled. The table of ranges has at most
-    two rows per replicate and arm, a bound set by the parameters, so it is
-    broadcast.
+    A replicate's median is a value of the sample whose rank is a few square
+    roots of n from the middle. A sketch proposes an interval of ``width``
+    such steps on both sides for each arm; one pass adds up each replicate's
+    weight below it and in all; then only the rows inside, whose number grows
+    with the square root of n, meet per arm, and their running weights give
+    the medians. An interval that misses a median of any replicate is noticed
+    and doubled.
     """
-    keys = ["experiment", "metric", "arm", "replicate"]
-    rows = _spread(long.select("experiment", "metric", "arm", "row_id", "value", "value_range"))
-    per_range = weighted_sums(rows.withColumn("w", F.lit(1.0)),
-                              ["experiment", "metric", "arm", "value_range"], ["w"],
-                              replicates, seed=seed).where(F.col("w") > 0)
-    across = Window.partitionBy(*keys).orderBy("value_range")
-    group = Window.partitionBy(*keys)
-    middle = (F.col("total") - 1) / 2
-    wanted = (
-        per_range
-        .withColumns({"upto": F.sum("w").over(across), "total": F.sum("w").over(group)})
-        .withColumns({"skip": F.col("upto") - F.col("w"),
-                      "low": F.floor(middle), "high": F.ceil(middle)})
-        .where(((F.col("skip") <= F.col("low")) & (F.col("low") < F.col("upto")))
-               | ((F.col("skip") <= F.col("high")) & (F.col("high") < F.col("upto"))))
-        .select(*keys, "value_range", "skip", "low", "high")
-    )
-    wanted = stage(wanted, "median-ranges")
-    hit = wanted.select("experiment", "metric", "arm", "value_range").distinct()
-    close = rows.join(F.broadcast(hit), ["experiment", "metric", "arm", "value_range"], "left_semi")
-    near = (
-        replicated(close, replicates, seed=seed)
-        .join(F.broadcast(wanted), [*keys, "value_range"])
-        .groupBy(*keys, "value_range", "skip", "low", "high", "value")
-        .agg(F.sum("weight").alias("w"))
-    )
-    inside = Window.partitionBy(*keys, "value_range").orderBy("value")
-    near = near.withColumn("upto", F.col("skip") + F.sum("w").over(inside))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("upto") - F.col("w") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
-        return F.max(F.when(hit, F.col("value")))
-
-    return near.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("stat"))
+    keys = ["experiment", "metric", "arm"]
+    arms = long.groupBy(*keys).count().collect()  # as many as the specs declare
+    if not arms:
+        return long.select(*keys, F.lit(0).alias("replicate"), F.col("value").alias("stat"))
+    sketches = []
+    for i, arm in enumerate(arms):
+        here = (F.col("experiment") == arm["experiment"]) & (F.col("metric") == arm["metric"]) \
+            & (F.col("arm") == arm["arm"])
+        away = min(0.5, width / math.sqrt(arm["count"]))
+        sketches.append(F.percentile_approx(
+            F.when(here, F.col("value")), F.array(F.lit(0.5 - away), F.lit(0.5 + away)),
+            F.lit(math.ceil(10 * math.sqrt(arm["count"])))).alias(f"_{i}"))
+    ends = long.agg(*sketches).first()
+    bounds = long.sparkSession.createDataFrame(
+        [(a["experiment"], a["metric"], a["arm"], *ends[i]) for i, a in enumerate(arms)],
+        "experiment string, metric string, arm string, lower double, upper double")
+    # One row per arm of a declared hypothesis.
+    placed = long.select(*keys, "row_id", "value").join(F.broadcast(bounds), keys)
+    total = weighted_sums(
+        placed.select(*keys, "row_id", F.lit(1.0).alias("total"),
+                      (F.col("value") < F.col("lower")).cast("double").alias("skip")),
+        keys, ["total", "skip"], replicates, seed=seed).where(F.col("total") > 0)
+    x, y = row_numbers("row_id")
+    inside = placed.where(F.col("value").between(F.col("lower"), F.col("upper"))).select(
+        *keys, "value", x.alias("_x"), y.alias("_y"))
+    draw = _drawer(replicates, seed)
+
+    def medians(arm: tuple, rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("value")
+        value = rows["value"].to_numpy()
+        px, py = rows["_x"].to_numpy(np.int64), rows["_y"].to_numpy(np.int64)
+        sums = sums.sort_values("replicate")
+        rank = (sums["total"].to_numpy() - 1) / 2
+        skip, which = sums["skip"].to_numpy(), sums["replicate"].to_numpy()
+        upto, found = skip.copy(), np.full((2, len(sums)), np.nan)
+        step = max(1, 4_000_000 // replicates)
+        for i in range(0, len(value), step):
+            running = upto + np.cumsum(draw(px[i:i + step], py[i:i + step])[:, which], axis=0)
+            for end, wanted in enumerate((np.floor(rank), np.ceil(rank))):
+                at = (running <= wanted).sum(0)  # rows before the wanted rank
+                hit = np.isnan(found[end]) & (at < len(running)) & (wanted >= skip)
+                found[end][hit] = value[i + at[hit]]
+            upto = running[-1]
+        return pd.DataFrame({"experiment": arm[0], "metric": arm[1], "arm": arm[2],
+                             "replicate": which, "stat": found.mean(0)})
+
+    stats = stage(inside.groupBy(*keys).cogroup(total.groupBy(*keys)).applyInPandas(
+        medians, "experiment string, metric string, arm string, replicate int, stat double"), "medians")
+    if stats.where(F.isnan("stat")).limit(1).count():
+        discard(stats)
+        return replicate_medians(long, replicates, seed, 2 * width)
+    return stats
 
 
 def replicate_statistic(long: DataFrame, stat: Callable[[str, str], Column],
@@ -235,7 +267,7 @@ def replicate_statistic(long: DataFrame, stat: Callable[[str, str], Column],
     aggregate column. Rows are drawn one by one, and combined before the
     shuffle if the aggregate allows it.
     """
-    rows = _spread(long.select("experiment", "metric", "arm", "row_id", "value"))
+    rows = long.select("experiment", "metric", "arm", "row_id", "value")
     return replicated(rows, replicates, seed=seed).groupBy(
         "experiment", "metric", "arm", "replicate").agg(stat("value", "weight").alias("stat"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,6 @@ from pyspark.sql.types import DoubleType
 # Ship these functions with the tasks, so that workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Largest n_a * n_b for which the exact distribution of U is counted.
-EXACT_PAIRS = 10_000_000
-
-
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
@@ -65,25 +62,46 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache
+def _cumulative_partitions(parts: int) -> tuple[int, list[int]]:
+    """Period L and numerator N with 1 / ((1-q) (1-q)(1-q^2)...(1-q^parts)) = N / (1-q^L)^(parts+1)."""
+    period = math.lcm(*range(1, parts + 1))
+    numerator = [0] * ((parts + 1) * period)
+    numerator[0] = 1
+    for d in (1, *range(1, parts + 1)):
+        # Times (1 - q^L) / (1 - q^d): running sums in steps of d, less those L back.
+        for i in range(d, len(numerator)):
+            numerator[i] += numerator[i - d]
+        for i in range(len(numerator) - 1, period - 1, -1):
+            numerator[i] -= numerator[i - period]
+    return period, numerator
+
+
+def _partitions_up_to(x: int, parts: int) -> int:
+    """Partitions of all numbers up to ``x`` into parts of at most ``parts``."""
+    if x < 0:
+        return 0
+    period, numerator = _cumulative_partitions(parts)
+    return sum(numerator[j] * math.comb((x - j) // period + parts, parts)
+               for j in range(x % period, min(x + 1, len(numerator)), period))
+
+
 def exact_u_two_sided(u: float, n_a: int, n_b: int) -> float:
-    """Exact two-sided p of U without ties.
+    """Exact two-sided p of U without ties, for any size of the larger arm.
 
-    The number of arrangements per U is the coefficient of a product of
-    (1 - q^(n+i)) / (1 - q^i); only the lower tail is expanded.
+    The arrangements per U are the coefficients of a product of
+    (1 - q^(n+i)) / (1 - q^i) over the smaller arm. The numerator has at most
+    2^m signed terms; each leaves a count of partitions in closed form. All
+    numbers are integers up to the last division.
     """
     small, large = sorted((int(n_a), int(n_b)))
     tail = int(math.floor(min(u, n_a * n_b - u)))
-    ways = np.zeros(tail + 1)
-    ways[0] = 1.0
+    terms = {0: 1}
     for i in range(1, small + 1):
-        for start in range(min(i, tail + 1)):
-            ways[start::i] = np.cumsum(ways[start::i])
-        step = large + i
-        if step <= tail:
-            ways[step:] -= ways[:-step].copy()
-    log_all = (math.lgamma(small + large + 1) - math.lgamma(small + 1)
-               - math.lgamma(large + 1))
-    return min(1.0, 2.0 * float(ways.sum()) * math.exp(-log_all))
+        for power, sign in list(terms.items()):
+            terms[power + large + i] = terms.get(power + large + i, 0) - sign
+    ways = sum(sign * _partitions_up_to(tail - power, small) for power, sign in terms.items())
+    return min(1.0, 2 * ways / math.comb(small + large, small))
 
 
 @F.pandas_udf(DoubleType())
@@ -101,7 +119,7 @@ def mann_whitney_p(u: pd.Series, z: pd.Series, n_a: pd.Series, n_b: pd.Series,
     def one(u, z, n_a, n_b, ties):
         if pd.isna(u):
             return None
-        if min(n_a, n_b) <= 8 and ties == 0 and n_a * n_b <= EXACT_PAIRS:
+        if min(n_a, n_b) <= 8 and ties == 0:
             return exact_u_two_sided(u, n_a, n_b)
         return 1.0 if pd.isna(z) else min(1.0, math.erfc(z / math.sqrt(2)))
 

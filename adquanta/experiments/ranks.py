@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from adquanta.functions.safe import present
 from adquanta.operators.quantiles import (
-    SELECT_ROWS,
     quantile_from_counts,
     with_running_counts,
     with_value_ranges,
@@ -22,15 +21,16 @@ def rank_statistics(long: DataFrame, keys: list[str], value: str = "value",
     ranks need no row-level sort and ties cost nothing. The mid-rank of a
     value is the number of smaller items plus half of its own, plus a half.
     ``z`` has the continuity correction and the tie-corrected deviation.
-    Samples without a range column are taken to be small.
+    Samples without a range column get one here.
     """
-    ranged = range_col if range_col in long.columns else None
-    hist = long.groupBy(*keys, *([ranged] if ranged else []), value).agg(
+    if range_col not in long.columns:
+        long = with_value_ranges(long, [value]).withColumnRenamed(f"{value}_range", range_col)
+    hist = long.groupBy(*keys, range_col, value).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(arm) == "a").alias("a"),
         F.count_if(F.col(arm) == "b").alias("b"),
     )
-    running = with_running_counts(hist, keys, value, ranged, ["n", "a", "b"])
+    running = with_running_counts(hist, keys, value, range_col, ["n", "a", "b"])
     n = F.col("n").cast("double")
     mid_rank = F.col("n_before") + (n + 1) / 2
     out = running.groupBy(*keys).agg(
@@ -53,7 +53,7 @@ def rank_statistics(long: DataFrame, keys: list[str], value: str = "value",
         "u_z", F.when(both, F.try_divide(larger - na * nb / 2 - 0.5, spread))).drop("_rank_sum")
 
 
-def roc_area(df: DataFrame, score: str, label: str, max_rows: int = SELECT_ROWS) -> DataFrame:
+def roc_area(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve as U / (positives * negatives), ties halved.
 
     Rows without a score are left out.
@@ -61,8 +61,6 @@ def roc_area(df: DataFrame, score: str, label: str, max_rows: int = SELECT_ROWS)
     arms = df.select(
         F.lit(1).alias("_all"), F.col(score).cast("double").alias("value"),
         F.when(F.col(label) == 1, "a").otherwise("b").alias("arm")).where(present("value"))
-    if arms.count() > max_rows:
-        arms = with_value_ranges(arms, ["value"])
     stats = rank_statistics(arms, ["_all"])
     pairs = F.col("rank_n_a").cast("double") * F.col("rank_n_b")
     return stats.select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adquanta.functions.safe import present
-from adquanta.operators.quantiles import SELECT_ROWS, with_value_ranges
+from adquanta.operators.quantiles import with_value_ranges
 
 
 @dataclass(frozen=True)
@@ -58,13 +58,12 @@ def all_metrics(specs: Sequence[ExperimentSpec]) -> list[str]:
 
 
 def members(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str = "ad_id",
-            ranges: bool | int | None = False) -> DataFrame:
+            ranges: bool | int = False) -> DataFrame:
     """One row per (experiment, arm, row): ``row_id`` and the metric columns.
 
     One scan serves all experiments; a row takes part in several of them.
-    ``ranges`` adds the value range of each metric, which rank statistics of
-    large tables need: a number of ranges, yes, no, or ``None`` to count the
-    rows and decide.
+    ``ranges`` adds the value range of each metric, which rank statistics and
+    medians use: a number of ranges, or yes for one that follows the rows.
     """
     metrics = all_metrics(specs)
     slots = [
@@ -77,8 +76,6 @@ def members(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str = "ad_id
         *[F.when(present(m), F.col(m).cast("double")).alias(m) for m in metrics],
         F.array_compact(F.array(*slots)).alias("_slots"),
     ).where(F.size("_slots") > 0)
-    if ranges is None:
-        ranges = df.count() > SELECT_ROWS
     if ranges:
         rows = with_value_ranges(rows, metrics, ranges=None if ranges is True else ranges)
     kept = [c for c in rows.columns if c != "_slots"]
@@ -90,17 +87,17 @@ def samples(member_rows: DataFrame, specs: Sequence[ExperimentSpec]) -> DataFram
     """Long form: one row per (experiment, metric, arm, value), no missing values."""
     metrics = all_metrics(specs)
     with_range = f"{metrics[0]}_range" in member_rows.columns
-    wanted = F.lit(False)
-    for s in specs:
-        wanted = wanted | ((F.col("experiment") == s.name) & F.col("metric").isin(list(s.metrics)))
 
     def entry(m: str):
         extra = [F.col(f"{m}_range").alias("value_range")] if with_range else []
         return F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), *extra)
 
-    out = member_rows.select(
-        "experiment", "arm", "row_id", F.inline(F.array(*[entry(m) for m in metrics])))
-    return out.where(wanted & F.col("value").isNotNull())
+    # Only the metrics of a row's own experiment are laid out.
+    own = F.lit(None)
+    for s in specs:
+        own = F.when(F.col("experiment") == s.name, F.array(*[entry(m) for m in s.metrics])).otherwise(own)
+    out = member_rows.select("experiment", "arm", "row_id", F.inline(own))
+    return out.where(F.col("value").isNotNull())
 
 
 def spec_table(df: DataFrame, specs: Sequence[ExperimentSpec]) -> DataFrame:

@@ -35,13 +35,16 @@ def in_train(row_id: Column | str, fraction: float = 0.7, seed: int = 42) -> Col
     return uniform < fraction
 
 
-def feature_names(drop: Sequence[str] = ()) -> list[str]:
+def feature_names(drop: Sequence[str] = LEAKING) -> list[str]:
     return [c for c in (*NUMERIC, *(f"{c}_idx" for c in CATEGORICAL)) if c not in drop]
 
 
 def forest(trees: int = 100, depth: int = 8, min_rows: int = 3, seed: int = 42,
-           drop: Sequence[str] = ()) -> Pipeline:
-    """Index, assemble, standardise, classify. Rows with a missing input are skipped."""
+           drop: Sequence[str] = LEAKING) -> Pipeline:
+    """Index, assemble, standardise, classify. Rows with a missing input are skipped.
+
+    Inputs that restate the label are left out; ``drop=()`` takes them in.
+    """
     index = StringIndexer(inputCols=list(CATEGORICAL), handleInvalid="keep",
                           outputCols=[f"{c}_idx" for c in CATEGORICAL])
     assemble = VectorAssembler(inputCols=feature_names(drop), outputCol="features",
@@ -66,7 +69,7 @@ def holdout_metrics(predictions: DataFrame) -> dict[str, float]:
     return {"auc": area, "accuracy": multiclass("accuracy"), "f1": multiclass("f1")}
 
 
-def importances(model: PipelineModel, spark, drop: Sequence[str] = (), k: int = 10) -> DataFrame:
+def importances(model: PipelineModel, spark, drop: Sequence[str] = LEAKING, k: int = 10) -> DataFrame:
     """The ``k`` largest feature importances; one row per model input at most."""
     values = model.stages[-1].featureImportances.toArray()
     rows = [(name, float(v)) for name, v in zip(feature_names(drop), values)]

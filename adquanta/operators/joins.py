@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# About 100 bytes a row keeps a broadcast of this many rows near 20 MB.
-BROADCAST_ROWS = 200_000
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+from adquanta.session import stage
 
 
 def join_dimension(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-                   max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Equi-join of a large table with a dimension that is unique on ``keys``.
+                   staged: bool = False) -> DataFrame:
+    """Equi-join of a large table with a dimension that is unique on ``keys``; null equals null.
 
-    The dimension is broadcast only after a count has shown that it is small.
-    Beyond that the join shuffles with salted keys: every dimension row is
-    repeated once per salt, so a hot key is spread over that many tasks.
+    The dimension is computed once and staged, unless it already is a table
+    (``staged``). Its size in bytes is then known: Spark broadcasts it below
+    its own threshold, and otherwise deals both sides anew, so that adaptive
+    execution can split a key that holds many facts.
     """
-    if fits(dim.select(*keys), max_rows):
-        return facts.join(F.broadcast(dim), keys, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts))
-    salted_facts = facts.withColumn("_salt", salt.cast("int"))
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+    dim = dim if staged else stage(dim, "dimension")
+    named = dim.select(*[F.col(k).alias(f"_key_{k}") for k in keys],
+                       *[F.col(c) for c in dim.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, (facts[k].eqNullSafe(named[f"_key_{k}"]) for k in keys))
+    return facts.join(named, on, how).drop(*[f"_key_{k}" for k in keys])
 
 
-def with_group_mean(df: DataFrame, key: str, value: str, out: str, delta: str | None = None,
-                    max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_group_mean(df: DataFrame, key: str, value: str, out: str, delta: str | None = None) -> DataFrame:
     """Attach the mean of ``value`` per ``key`` and, if named, the difference to it.
 
     Rows with a null key have no partner and drop out, as in an inner join.
@@ -41,7 +36,7 @@ def with_group_mean(df: DataFrame, key: str, value: str, out: str, delta: str |
         .groupBy(key)
         .agg(F.avg(value).alias(out))
     )
-    joined = join_dimension(df, means, [key], max_rows=max_rows)
+    joined = join_dimension(df, means, [key])
     if delta:
         joined = joined.withColumn(delta, F.col(value) - F.col(out))
     return joined

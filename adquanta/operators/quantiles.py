@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from adquanta.functions.safe import present
 
-# Rows whose values a single task may hold in an exact quantile aggregate.
-SELECT_ROWS = 1_000_000
 # Half width, as a share of the rows, of the first interval around a quantile.
 BRACKET = 1e-4
+# Rows between two proposed values that one exact aggregate may hold.
+HELD_ROWS = 500_000
+# Rows that share a value range.
+RANGE_ROWS = 1_000_000
 
 
 def approximate_quantile(value: str | Column, p: float, relative_error: float = 0.05) -> Column:
@@ -21,77 +23,82 @@ def approximate_quantile(value: str | Column, p: float, relative_error: float =
     return F.percentile_approx(value, F.lit(p), F.lit(math.ceil(1 / relative_error)))
 
 
-def _order_statistic(df: DataFrame, value: str, rank: int, rows: int, max_rows: int) -> float:
-    """The value with 0-based ``rank`` in ascending order.
+def _order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int) -> dict[int, float]:
+    """The values with the given 0-based ranks in ascending order.
 
-    While more than ``max_rows`` rows remain, two values close to the rank
-    are taken from a sketch, the rows below, at and between them are counted,
-    and only the part that holds the rank is kept. The counts are exact, so an
-    inaccurate sketch costs passes, not correctness.
+    A sketch proposes two values around every rank; one aggregate counts
+    exactly what lies below and at each of them; one more finds the ranks in
+    the narrow intervals between them: three passes for any number of ranks.
+    Intervals that still hold many rows are narrowed the same way first.
     """
-    v = F.col(value)
-    while rows > max_rows:
-        p = (rank + 0.5) / rows
-        lo, hi = df.approxQuantile(value, [max(p - BRACKET, 0.0), min(p + BRACKET, 1.0)],
-                                   BRACKET / 2)
-        below, at_lo, inside, at_hi = df.agg(
-            F.count_if(v < lo), F.count_if(v == lo),
-            F.count_if((v > lo) & (v < hi)), F.count_if((v == hi) & F.lit(hi > lo)),
-        ).first()
-        if below <= rank < below + at_lo:
-            return lo
-        if rank < below:
-            df, rows = df.where(v < lo), below
-        elif rank < below + at_lo + inside:
-            df, rank, rows = df.where((v > lo) & (v < hi)), rank - below - at_lo, inside
-        elif rank < below + at_lo + inside + at_hi:
-            return hi
+    v, found = F.col(value), {}
+    asked = sorted(set(ranks))
+    points = sorted({min(max((r + 0.5) / rows + d, 0.0), 1.0) for r in asked for d in (-BRACKET, BRACKET)})
+    cuts = sorted(set(df.approxQuantile(value, points, BRACKET / 2)))
+    counts = df.agg(*[c for x in cuts for c in (F.count_if(v < x), F.count_if(v == x))]).first()
+    below, at = counts[0::2], counts[1::2]
+    # Open intervals between neighbouring cuts: (lower, upper, rows below, rows inside).
+    edges = [(None, cuts[0], 0, below[0])]
+    for i, x in enumerate(cuts):
+        after = below[i] + at[i]
+        upper, end = (cuts[i + 1], below[i + 1]) if i + 1 < len(cuts) else (None, rows)
+        edges.append((x, upper, after, end - after))
+    left: dict[int, tuple] = {}
+    for rank in asked:
+        hit = [x for x, b, n in zip(cuts, below, at) if b <= rank < b + n]
+        if hit:
+            found[rank] = hit[0]
         else:
-            skipped = below + at_lo + inside + at_hi
-            df, rank, rows = df.where(v > hi), rank - skipped, rows - skipped
-    # The middle of the rank's step, so that no rounding picks a neighbour.
-    step = (rank + 0.5) / rows
-    return df.agg(F.expr(f"percentile_disc({step!r}D) WITHIN GROUP (ORDER BY `{value}`)")).first()[0]
-
-
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
-                    max_rows: int = SELECT_ROWS) -> list[float | None]:
+            left[rank] = next(e for e in edges if e[2] <= rank < e[2] + e[3])
+
+    def inside(edge: tuple) -> Column:
+        lower, upper = edge[:2]
+        held = F.lit(True) if lower is None else v > lower
+        return held if upper is None else held & (v < upper)
+
+    for edge in {e for e in left.values() if e[3] > HELD_ROWS}:
+        here = {r: e for r, e in left.items() if e == edge}
+        part = _order_statistics(df.where(inside(edge)), value, [r - edge[2] for r in here], edge[3])
+        for r in here:
+            found[r] = part[r - edge[2]]
+            del left[r]
+    if left:
+        # The middle of the rank's step, so that no rounding picks a neighbour.
+        picked = [F.expr(f"percentile_disc({(r - e[2] + 0.5) / e[3]!r}D) WITHIN GROUP (ORDER BY `_in{i}`)")
+                  for i, (r, e) in enumerate(left.items())]
+        held = F.lit(False)
+        for e in left.values():
+            held = held | inside(e)
+        near = df.where(held).select(*[F.when(inside(e), v).alias(f"_in{i}") for i, e in enumerate(left.values())])
+        found.update(zip(left, near.agg(*picked).first()))
+    return found
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation, like ``df.approxQuantile``.
 
-    Only counts and single values reach the driver. Null and NaN are ignored;
-    an empty column gives ``None``. Up to ``max_rows`` rows one built-in
-    aggregate holds all values; larger columns are narrowed down first.
+    Only counts and single values reach the driver, in four passes however many
+    quantiles are asked for. Null and NaN are ignored; an empty column gives
+    ``None``. Runs when called; results are plain numbers, so that they reach
+    scans as filters.
     """
     clean = df.select(F.col(value).cast("double").alias(value)).where(present(value))
     rows = clean.count()
     if rows == 0:
         return [None for _ in probabilities]
-    if rows <= max_rows:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        return list(clean.agg(F.percentile(value, points)).first()[0])
-    found: dict[int, float] = {}
+    places = [(rows - 1) * p for p in probabilities]
+    found = _order_statistics(
+        clean, value, [r for x in places for r in (math.floor(x), math.ceil(x))], rows)
     out = []
-    for p in probabilities:
-        position = (rows - 1) * p
-        low = math.floor(position)
-        ends = (low, min(low + 1, rows - 1)) if position > low else (low,)
-        for rank in ends:
-            if rank not in found:
-                found[rank] = _order_statistic(clean, value, rank, rows, max_rows)
-        weight = position - low
-        out.append(found[low] if len(ends) == 1
-                   else found[low] + weight * (found[ends[1]] - found[low]))
+    for x in places:
+        low, high = found[math.floor(x)], found[math.ceil(x)]
+        out.append(low if low == high else low + (x - math.floor(x)) * (high - low))
     return out
 
 
-def range_count(df: DataFrame) -> int:
-    """Number of value ranges: a few per shuffle partition."""
-    return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def ranges_for(rows: int, per_range: int = 2_000, most: int = 512) -> int:
-    """Number of ranges when something is kept per range; bounded by ``most``."""
-    return max(4, min(most, rows // per_range))
+def range_count(rows: int, per_range: int = RANGE_ROWS) -> int:
+    """Number of value ranges; it grows with the rows, so that a range does not."""
+    return max(8, -(-rows // per_range))
 
 
 def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
@@ -102,7 +109,7 @@ def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
     kept in the plan as constants, so that a row gets the same range in each
     evaluation and no range holds many more distinct values than another.
     """
-    k = ranges or range_count(df)
+    k = ranges or range_count(df.count())
     wide = df.withColumns({f"_d_{v}": F.col(v).cast("double") for v in values})
     probabilities = [i / k for i in range(1, k)]
     limits = wide.approxQuantile([f"_d_{v}" for v in values], probabilities, 1 / (4 * k))
@@ -114,23 +121,16 @@ def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
     return out.withColumns({v + suffix: F.col(v + suffix).cast("int") for v in values})
 
 
-def with_running_counts(hist: DataFrame, keys: list[str], value: str, range_col: str | None,
+def with_running_counts(hist: DataFrame, keys: list[str], value: str, range_col: str,
                         counts: list[str]) -> DataFrame:
     """Running totals over a value histogram, group by group.
 
     ``hist`` has one row per (keys, range, value). Windows are partitioned by
     keys and range, so a group with a large share of the rows is spread over
-    its ranges; the second window sees one row per range. Without ranges, for
-    a histogram known to be small, one window per group does. Adds for each
-    count column ``<c>_before`` (items with a smaller value) and ``<c>_total``.
+    its ranges; the second window sees one row per range. Adds for each count
+    column ``<c>_before`` (items with a smaller value) and ``<c>_total``.
     """
     group = Window.partitionBy(*keys)
-    if range_col is None:
-        order = group.orderBy(value)
-        return hist.withColumns({
-            f"{c}_{end}": column for c in counts for end, column in (
-                ("before", F.sum(c).over(order) - F.col(c)), ("total", F.sum(c).over(group)))
-        })
     inside = Window.partitionBy(*keys, range_col).orderBy(value)
     local = hist.withColumns({
         f"{c}_before": F.sum(c).over(inside) - F.col(c) for c in counts
@@ -168,18 +168,13 @@ def quantile_from_counts(value: str, count: str, p: float) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
-                      ranges: int | None = None, max_rows: int = SELECT_ROWS) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group; also ``n``, the group's rows.
 
-    Up to ``max_rows`` rows the built-in aggregate holds the values of a
-    group; a larger table is counted by value and spread over value ranges.
+    Rows are counted by value and spread over value ranges, so a group that
+    holds most rows is spread too.
     """
     clean = df.select(*keys, F.col(value).cast("double").alias(value)).where(present(value))
-    if clean.count() <= max_rows:
-        points = F.array(*[F.lit(float(p)) for p in named.values()])
-        found = clean.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.percentile(value, points).alias("_q"))
-        return found.select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(named)])
     hist = (
         with_value_ranges(clean, [value], "_range", ranges)
         .groupBy(*keys, f"{value}_range", value)

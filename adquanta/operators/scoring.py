@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adquanta.functions.labels import FIXED_HIGH_CUT, FIXED_MEDIUM_CUT, PRIORITIES, priority
-from adquanta.functions.safe import min_max
+from adquanta.functions.safe import min_max, present
 
 from .quantiles import exact_quantiles
 
@@ -18,14 +18,18 @@ EPSILON = 1e-9
 
 def normalised(df: DataFrame, columns: list[str], suffix: str = "_norm",
                epsilon: float = EPSILON) -> DataFrame:
-    """Min-max rescaled columns; one aggregate finds the ends of all of them."""
+    """Min-max rescaled columns; one aggregate finds the ends of all of them.
+
+    NaN is missing: it is no end, and its rescaled value is null.
+    """
+    known = {c: F.when(present(c), F.col(c)) for c in columns}
     ends = df.agg(F.struct(*[
-        e.alias(f"{c}_{end}") for c in columns
-        for end, e in (("lo", F.min(c)), ("hi", F.max(c)))
+        e.alias(f"{c}_{end}") for c, v in known.items()
+        for end, e in (("lo", F.min(v)), ("hi", F.max(v)))
     ])).scalar()
     return df.withColumns({
-        c + suffix: min_max(F.col(c), ends[f"{c}_lo"], ends[f"{c}_hi"], epsilon)
-        for c in columns
+        c + suffix: min_max(v, ends[f"{c}_lo"], ends[f"{c}_hi"], epsilon)
+        for c, v in known.items()
     })
 
 
@@ -56,6 +60,7 @@ def sigmoid_margin(raw0: Column, raw1: Column, missing: float = 0.5) -> Column:
 
 
 def rescaled(df: DataFrame, score: str) -> DataFrame:
-    """Stretch a score to [0, 1]; a constant score stays as it is."""
-    ends = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
-    return df.withColumn(score, min_max(F.col(score), ends["lo"], ends["hi"]))
+    """Stretch a score to [0, 1]; a constant score stays as it is, NaN becomes null."""
+    known = F.when(present(score), F.col(score))
+    ends = df.agg(F.struct(F.min(known).alias("lo"), F.max(known).alias("hi"))).scalar()
+    return df.withColumn(score, min_max(known, ends["lo"], ends["hi"]))

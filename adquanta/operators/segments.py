@@ -10,9 +10,6 @@ from adquanta.functions.safe import present
 
 from .quantiles import exact_quantiles
 
-# A longer selection list becomes a semi join in place of an IN predicate.
-IN_LIST_LIMIT = 1_000
-
 
 def segment(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
@@ -37,12 +34,7 @@ def selection(df: DataFrame, advertisers: list[str] | None = None,
     ``None`` leaves a filter out; an empty list keeps nothing.
     """
     if advertisers is not None:
-        if len(advertisers) <= IN_LIST_LIMIT:
-            df = df.where(F.col("advertiser").isin(advertisers))
-        else:
-            chosen = df.sparkSession.createDataFrame(
-                [(a,) for a in dict.fromkeys(advertisers)], "advertiser string")
-            df = df.join(chosen, "advertiser", "left_semi")
+        df = df.where(F.col("advertiser").isin(advertisers))
     if platforms is not None:
         wanted = F.array(*[F.lit(p) for p in platforms]).cast("array<string>")
         df = df.where(F.arrays_overlap(platform_list(), wanted))
@@ -65,11 +57,13 @@ def above_sigma(df: DataFrame, columns: list[str], sigmas: float = 3.0) -> DataF
     """Rows above mean + ``sigmas`` sample deviations in any of the columns.
 
     The limits are one scalar subquery, one row computed in one aggregate.
+    NaN is missing: it neither moves a limit nor exceeds one.
     """
     limits = df.agg(F.struct(*[
-        (F.avg(c) + F.lit(sigmas) * F.stddev_samp(c)).alias(c) for c in columns
+        (F.avg(v) + F.lit(sigmas) * F.stddev_samp(v)).alias(c)
+        for c, v in ((c, F.when(present(c), F.col(c))) for c in columns)
     ]).alias("limits")).scalar()
     hit = F.lit(False)
     for c in columns:
-        hit = hit | (F.col(c) > limits[c])
+        hit = hit | (present(c) & (F.col(c) > limits[c]))
     return df.where(hit)

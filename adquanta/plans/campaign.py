@@ -70,9 +70,11 @@ labelled AS (
 # Sources -----------------------------------------------------------------
 
 @query(f"""WITH {CAMPAIGNS}
-SELECT CAST(ad_id AS VARCHAR) AS ad_id, advertiser, country, platform, target_age, target_gender,
-       duration_days, impressions, clicks, conversions,
-       {r('ctr_pct', 6)} AS ctr_pct, {r('roas', 6)} AS roas, {r('budget', 3)} AS budget
+SELECT CAST(ad_id AS VARCHAR) AS ad_id, advertiser, country, strftime(start_date, '%Y-%m-%d %H:%M:%S') AS start_date,
+       CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS collected_at, CAST(NULL AS VARCHAR) AS source,
+       platform, target_age, target_gender, duration_days, impressions, clicks, conversions,
+       {r('ctr_pct', 6)} AS ctr_pct, {r('cr_pct', 6)} AS cr_pct, {r('spent', 3)} AS spent, {r('cpc', 6)} AS cpc,
+       {r('cac', 6)} AS cac, {r('revenue', 2)} AS revenue, {r('roas', 6)} AS roas, {r('budget', 3)} AS budget
 FROM campaigns""")
 def src_csv_roundtrip(spark, sf_dir):
     """The campaign table written as CSV and read back with the fixed schema."""
@@ -82,9 +84,9 @@ def src_csv_roundtrip(spark, sf_dir):
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in CAMPAIGN.fields])
     path = fresh_path(spark, "campaign-csv")
     files.write_csv(full, path)
-    back = files.read_campaigns(spark, path).drop(
-        "start_date", "status", "collected_at", "source", "cr_pct", "spent", "cpc", "cac", "revenue")
-    return rounded(back, {"ctr_pct": 6, "roas": 6, "budget": 3})
+    back = files.read_campaigns(spark, path)
+    return rounded(back, {"ctr_pct": 6, "cr_pct": 6, "spent": 3, "cpc": 6, "cac": 6, "revenue": 2, "roas": 6,
+                          "budget": 3})
 
 
 # Derived columns ---------------------------------------------------------
@@ -292,10 +294,7 @@ FROM feats GROUP BY platform ORDER BY 4 DESC, 1""")
 def kpi_platform(spark, sf_dir):
     """The same report through the SQL view of the features."""
     files.register_view(features(spark, sf_dir), "ads")
-    return spark.sql("""
-        SELECT platform, count(*) AS n, round(avg(ctr_pct), 3) AS ctr, round(avg(roas), 2) AS roas,
-               round(avg(high_performer) * 100, 1) AS pct_high_perf
-        FROM ads GROUP BY platform ORDER BY roas DESC, platform""")
+    return kpis.platform_kpis(spark.table("ads"))
 
 
 def _corr_sql(x: str, y: str) -> str:
@@ -434,6 +433,17 @@ def quantile_sketch(spark, sf_dir):
     return campaigns(spark, sf_dir).agg(approximate_quantile("roas", 0.75).alias("q75"))
 
 
+@query(f"WITH {CAMPAIGNS} SELECT count(roas) AS n, true AS within_bound FROM campaigns")
+def quantile_sketch_error(spark, sf_dir):
+    """Whether the ranks of the approximate quantile enclose the wanted one within the bound."""
+    rows = campaigns(spark, sf_dir)
+    q = rows.agg(approximate_quantile("roas", 0.75)).scalar()
+    counts = rows.agg(F.count("roas").alias("n"), F.count_if(F.col("roas") < q).alias("below"),
+                      F.count_if(F.col("roas") <= q).alias("upto"))
+    wanted, slack = 0.75 * F.col("n"), 0.05 * F.col("n")
+    return counts.select("n", ((F.col("below") - slack <= wanted) & (wanted <= F.col("upto") + slack)).alias("within_bound"))
+
+
 @query(f"""WITH {CAMPAIGNS}
 SELECT (SELECT count(DISTINCT advertiser) FROM campaigns) AS n_advertiser,
        (SELECT count(DISTINCT platform) FROM campaigns) AS n_platform""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adquanta.schemas import EVENTS_TABLE, AD_EVENT
-from adquanta.session import fresh_path
+from adquanta.schemas import AD_EVENT
+from adquanta.session import fresh_path, stage
 from adquanta.sources import topics
-from adquanta.sources.tables import ad_events, as_ad_events
+from adquanta.sources.tables import ad_events, as_ad_events, table
 from adquanta.streaming import run
 from adquanta.streaming.funnel import (
     funnel_counters,
@@ -54,6 +54,22 @@ SELECT advertiser, impressions, clicks, conversions, bounces, events,
 FROM f ORDER BY roas DESC"""
 
 
+def _fed(spark, rows, time, start, parts=3):
+    """Feed a table to a stream in slices of time.
+
+    After each slice the query runs to the end of its input and stops, so that
+    its state passes from batch to batch and over restarts.
+    """
+    source = fresh_path(spark, "source")
+    seconds = F.col(time).cast("timestamp").cast("double")
+    cuts = rows.select(seconds.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(seconds >= low)
+        part = part if high is None else part.where(seconds < high)
+        part.write.mode("append").parquet(source)
+        run.finish(start(topics.file_topic(spark, source, rows.schema)))
+
+
 # Topic -------------------------------------------------------------------
 
 def _messages(spark, sf_dir):
@@ -86,11 +102,9 @@ def event_decode(spark, sf_dir):
 @query(_DECODED)
 def stream_ingest(spark, sf_dir):
     """The same through a stream of message files into a table."""
-    source, sink = fresh_path(spark, "messages"), fresh_path(spark, "ingest")
-    messages = _messages(spark, sf_dir)
-    messages.write.parquet(source)
-    stream = topics.file_topic(spark, source, messages.schema)
-    run.finish(run.start_ingest(topics.decode(stream), sink))
+    sink = fresh_path(spark, "ingest")
+    _fed(spark, stage(_messages(spark, sf_dir), "messages"), "timestamp",
+         lambda stream: run.start_ingest(topics.decode(stream), sink))
     return rounded(run.ingested(spark, sink).select(*_DECODED_COLUMNS), _CENTS)
 
 
@@ -128,9 +142,9 @@ def funnel_metrics(spark, sf_dir):
 @query(_FUNNEL)
 def stream_funnel(spark, sf_dir):
     """The running funnel of a stream over the events table."""
-    stream = as_ad_events(topics.file_topic(spark, f"{sf_dir}/events.parquet", EVENTS_TABLE))
     path = fresh_path(spark, "funnel")
-    run.finish(run.start_running_funnel(stream, path, "advertiser"))
+    _fed(spark, table(spark, sf_dir, "events"), "ts",
+         lambda stream: run.start_running_funnel(as_ad_events(stream), path, "advertiser"))
     return run.running_funnel(spark, path)
 
 
@@ -174,9 +188,9 @@ def count_windows_global(spark, sf_dir):
 @query(f"""{_WINDOWS}
 SELECT advertiser, "window", total, clicks, conversions, {r('ctr', 4)} AS ctr FROM win""")
 def stream_count_windows(spark, sf_dir):
-    stream = as_ad_events(topics.file_topic(spark, f"{sf_dir}/events.parquet", EVENTS_TABLE))
     path = fresh_path(spark, "count-windows")
-    run.finish(run.start_count_windows(stream, path, ["advertiser"], SIZE))
+    _fed(spark, table(spark, sf_dir, "events"), "ts",
+         lambda stream: run.start_count_windows(as_ad_events(stream), path, ["advertiser"], SIZE))
     return rounded(run.counted_windows(spark, path, ["advertiser"]), {"ctr": 4})
 
 
@@ -225,7 +239,7 @@ SELECT strftime(s, '{_TIME}') AS window_start, strftime(s + INTERVAL 1 HOUR, '{_
 FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ad_events) - INTERVAL 10 MINUTE""")
 def stream_tumbling_funnel(spark, sf_dir):
     """Hourly windows that the watermark has closed by the end of the stream."""
-    stream = as_ad_events(topics.file_topic(spark, f"{sf_dir}/events.parquet", EVENTS_TABLE))
     path = fresh_path(spark, "time-windows")
-    run.finish(run.start_time_windows(stream, path, "1 hour"))
+    _fed(spark, table(spark, sf_dir, "events"), "ts",
+         lambda stream: run.start_time_windows(as_ad_events(stream), path, "1 hour"))
     return rounded(_ends(run.ingested(spark, path)), _CENTS)

@@ -18,7 +18,6 @@ from adquanta.experiments.bootstrap import (
 from adquanta.experiments.moments import arm_moments, with_effects
 from adquanta.experiments.ranks import rank_statistics
 from adquanta.experiments.spec import (
-    ExperimentSpec,
     all_metrics,
     campaign_experiments,
     members,
@@ -27,7 +26,6 @@ from adquanta.experiments.spec import (
 )
 from adquanta.functions.features import relabel
 from adquanta.functions.labels import effect_text, strength
-from adquanta.operators.quantiles import ranges_for
 from adquanta.session import stage
 from adquanta.sources.tables import campaigns
 
@@ -37,7 +35,7 @@ QUERIES, SQL, query = registry()
 
 # Segments of the supplied tables that stand in for the standard comparisons.
 SPECS = campaign_experiments("BUILDING", "MACHINERY", "A", "N", "NATION_7", "NATION_8")
-REPLICATES = 200
+REPLICATES = 2000
 COLUMNS = ["ad_id", "advertiser", "platform", "target_age", *all_metrics(SPECS)]
 
 
@@ -45,7 +43,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(campaigns(spark, sf_dir).select(*COLUMNS), "campaigns")
 
 
-def member_rows(spark: SparkSession, sf_dir: str, ranges: bool | None = False) -> DataFrame:
+def member_rows(spark: SparkSession, sf_dir: str, ranges: bool = False) -> DataFrame:
     return members(staged(spark, sf_dir), SPECS, "ad_id", ranges)
 
 
@@ -193,7 +191,7 @@ SELECT experiment, metric, n_a, n_b, {r('mean_a', 4)} AS mean_a, {r('mean_b', 4)
        {r('median_a', 4)} AS median_a, {r('median_b', 4)} AS median_b,
        {r('std_a', 4)} AS std_a, {r('std_b', 4)} AS std_b FROM mom""")
 def ab_describe(spark, sf_dir):
-    long = samples(member_rows(spark, sf_dir, ranges=None), SPECS)
+    long = samples(member_rows(spark, sf_dir, ranges=True), SPECS)
     moments = arm_moments(long, report.KEYS)
     medians = rank_statistics(long, report.KEYS).select(*report.KEYS, "median_a", "median_b")
     names = [f"{m}_{s}" for m in ("mean", "median", "std") for s in "ab"]
@@ -220,7 +218,7 @@ def ab_welch(spark, sf_dir):
 SELECT experiment, metric, {r('u_statistic', 1)} AS u_statistic, {r('tie_term', 0)} AS tie_term,
        {r('u_z', 6)} AS u_z FROM u2""")
 def ab_mannwhitney(spark, sf_dir):
-    long = samples(member_rows(spark, sf_dir, ranges=None), SPECS)
+    long = samples(member_rows(spark, sf_dir, ranges=True), SPECS)
     out = rank_statistics(long, report.KEYS).select(*report.KEYS, "u_statistic", "tie_term", "u_z")
     return rounded(out, {"u_statistic": 1, "tie_term": 0, "u_z": 6})
 
@@ -229,7 +227,7 @@ def ab_mannwhitney(spark, sf_dir):
 SELECT experiment, metric, {r('p_value_ttest', 5)} AS p_value_ttest, {r('p_value_mwu', 5)} AS p_value_mwu
 FROM p_t JOIN p_u USING (experiment, metric)""")
 def ab_pvalue(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
     out = report.with_significance(tests).select(*report.KEYS, "p_value_ttest", "p_value_mwu")
     return rounded(out, {"p_value_ttest": 5, "p_value_mwu": 5})
 
@@ -240,7 +238,7 @@ FROM p_t""")
 def ab_strength(spark, sf_dir):
     """Strength of significance from p-values rounded to 4 places."""
     tests = report.with_significance(
-        report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS))
+        report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS))
     return rounded(tests.select(
         *report.KEYS, strength(F.round("p_value_ttest", 4)).alias("signif_log")), {"signif_log": 4})
 
@@ -256,7 +254,7 @@ SELECT experiment, metric, CASE WHEN mean_b > mean_a THEN group_b ELSE group_a E
 FROM eff JOIN named USING (experiment, metric) JOIN p_t USING (experiment, metric)
 JOIN p_u USING (experiment, metric)""")
 def ab_verdict(spark, sf_dir):
-    rows = member_rows(spark, sf_dir, ranges=None)
+    rows = member_rows(spark, sf_dir, ranges=True)
     tests = report.with_significance(report.hypothesis_statistics(rows, SPECS))
     named = spec_table(rows, SPECS).join(tests, report.KEYS)
     return report.with_verdict(named).select(
@@ -273,7 +271,7 @@ JOIN p_u USING (experiment, metric)
 WHERE p_value_ttest < 0.05 AND p_value_mwu < 0.05""")
 def ab_significant(spark, sf_dir):
     """Only the hypotheses that both tests support, as the summary lists them."""
-    rows = member_rows(spark, sf_dir, ranges=None)
+    rows = member_rows(spark, sf_dir, ranges=True)
     tests = report.with_significance(report.hypothesis_statistics(rows, SPECS))
     named = spec_table(rows, SPECS).join(tests.where("significant_both"), report.KEYS)
     return report.with_verdict(named).select(
@@ -286,7 +284,7 @@ SELECT experiment, metric, {r('a', 6)} AS bonferroni_alpha, p_value_ttest < a AS
        count(*) FILTER (p_value_ttest < a) OVER (PARTITION BY experiment) AS n_significant_bonferroni
 FROM b""")
 def ab_bonferroni(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
     out = report.with_bonferroni(report.with_significance(tests))
     return rounded(out.select(*report.KEYS, "bonferroni_alpha", "significant_bonferroni",
                               "n_significant_bonferroni"), {"bonferroni_alpha": 6})
@@ -326,7 +324,7 @@ SELECT count(*) AS n_tests, count(*) FILTER (p_value_ttest < 0.05 AND p_value_mw
        {r('0.05e0 / count(*)', 4)} AS family_alpha
 FROM p_t JOIN p_u USING (experiment, metric)""")
 def ab_totals(spark, sf_dir):
-    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=None), SPECS)
+    tests = report.hypothesis_statistics(member_rows(spark, sf_dir, ranges=True), SPECS)
     return report.totals(report.with_significance(tests))
 
 
@@ -337,6 +335,24 @@ def ab_report(spark, sf_dir):
         report.run_experiments(staged(spark, sf_dir), SPECS, replicates=REPLICATES))
 
 
+@query(f"""WITH {MOMENTS}{NAMED}{RANKS}{P_VALUES}{REP_MEANS}{CI},
+t AS (SELECT count(*) AS n, count(*) FILTER (p_value_ttest < 0.05 AND p_value_mwu < 0.05) AS hits
+      FROM p_t JOIN p_u USING (experiment, metric))
+SELECT n AS total_hypotheses, hits AS significant_hypotheses, {r('0.05e0 / n', 4)} AS bonferroni_alpha,
+       group_a || ' vs ' || group_b AS name, metric, {r('mean_a', 4)} AS mean_a, {r('mean_b', 4)} AS mean_b,
+       {r('lift_pct', 2)} AS lift_pct, {r('p_value_ttest', 4)} AS p_value_ttest,
+       {r('p_value_mwu', 4)} AS p_value_mwu, {r('cohens_d', 4)} AS cohens_d, {EFFECT} AS effect_size,
+       p_value_ttest < 0.05 AND p_value_mwu < 0.05 AS significant,
+       {r('ci_lower', 4)} AS ci_lower, {r('ci_upper', 4)} AS ci_upper
+FROM t, eff JOIN named USING (experiment, metric) JOIN p_t USING (experiment, metric)
+JOIN p_u USING (experiment, metric) JOIN ci USING (experiment, metric)""")
+def ab_report_fields(spark, sf_dir):
+    """The fields of the nested report document, a row for each test in it."""
+    doc = ab_report(spark, sf_dir)
+    flat = doc.select("total_hypotheses", "significant_hypotheses", "bonferroni_alpha", F.inline("experiments"))
+    return flat.withColumns({"ci_lower": F.col("ci_95")[0], "ci_upper": F.col("ci_95")[1]}).drop("test_no", "ci_95")
+
+
 # Per advertiser ----------------------------------------------------------
 
 _BY_ADVERTISER = CAMPAIGNS + """,
@@ -372,13 +388,15 @@ SELECT experiment AS advertiser, metric,
        CASE WHEN metric = 'conversions' THEN round_even(mean_b, 0) ELSE {r('mean_b', 2)} END AS mean_b,
        n_a, n_b, {r('t_statistic', 3)} AS t_statistic, {r('p_value_ttest', 4)} AS p_value,
        {r('cohens_d', 3)} AS cohens_d, {EFFECT} AS effect_size, least(n_a, n_b) <= 3 AS small_sample,
-       p_value_ttest < 0.05 AS significant
+       p_value_ttest < 0.05 AS significant,
+       {r('-log10(greatest(' + r('p_value_ttest', 4) + ', 1e-10))', 4)} AS signif_log,
+       printf('d=%.2f %s', {r(r('cohens_d', 3), 2)}, {SHORT}) AS d_label
 FROM eff JOIN p_t USING (experiment, metric) ORDER BY 1, 2""")
 def ab_by_advertiser(spark, sf_dir):
     """Single against multi-platform campaigns of each advertiser."""
     base = campaigns(spark, sf_dir).select("advertiser", "platform", "roas", "ctr_pct", "conversions")
     table = report.advertiser_table(report.advertiser_tests(base))
-    return table.drop("signif_log", "d_label").orderBy("advertiser", "metric")
+    return rounded(table, {"signif_log": 4}).orderBy("advertiser", "metric")
 
 
 # Intervals ---------------------------------------------------------------
@@ -402,22 +420,24 @@ def boot_diff_ci(spark, sf_dir):
 
 
 @query(f"""WITH {LONG}{DRAWN},
-one AS (SELECT * FROM long WHERE experiment = 'multi_platform' AND metric = 'roas'),
-copies AS (
-  SELECT experiment, metric, arm, replicate, value, unnest(range(weight)) AS copy
-  FROM one JOIN weights USING (row_id) WHERE weight > 0
+runs AS (
+  SELECT experiment, metric, arm, replicate, value,
+         sum(weight) OVER (PARTITION BY experiment, metric, arm, replicate ORDER BY value, row_id
+                           ROWS UNBOUNDED PRECEDING) AS upto, weight,
+         (sum(weight) OVER (PARTITION BY experiment, metric, arm, replicate) - 1) / 2e0 AS middle
+  FROM long JOIN weights USING (row_id) WHERE weight > 0
 ),
-stats AS (SELECT experiment, metric, arm, replicate, quantile_cont(value, 0.5) AS stat
-          FROM copies GROUP BY 1, 2, 3, 4)
+stats AS (
+  SELECT experiment, metric, arm, replicate,
+         (max(value) FILTER (upto - weight <= floor(middle) AND floor(middle) < upto)
+          + max(value) FILTER (upto - weight <= ceil(middle) AND ceil(middle) < upto)) / 2 AS stat
+  FROM runs GROUP BY 1, 2, 3, 4)
 SELECT experiment, metric, arm, {r('quantile_cont(stat, 0.025)', 6)} AS lower,
        {r('quantile_cont(stat, 0.975)', 6)} AS upper
 FROM stats GROUP BY 1, 2, 3""")
 def boot_median_ci(spark, sf_dir):
-    """Median in place of the mean, for return by number of platforms."""
-    spec = [ExperimentSpec("multi_platform", "single", "multi", SPECS[2].where_a, SPECS[2].where_b,
-                           ("roas",))]
-    base = staged(spark, sf_dir)
-    long = samples(members(base, spec, ranges=ranges_for(base.count())), spec)
+    """Median in place of the mean, for all hypotheses."""
+    long = samples(member_rows(spark, sf_dir), SPECS)
     return rounded(_ends(arm_intervals(replicate_medians(long, REPLICATES))), {"lower": 6, "upper": 6})
 
 

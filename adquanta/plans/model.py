@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from adquanta.experiments.ranks import roc_area
 from adquanta.functions.features import with_features
+from adquanta.functions.labels import FIXED_HIGH_CUT, FIXED_MEDIUM_CUT, PRIORITIES
 from adquanta.models import forest
 from adquanta.session import stage
 from adquanta.sources.files import SCORED_COLUMNS, reuse
@@ -18,11 +19,18 @@ from .common import FEATURES, r, registry, rounded
 QUERIES, SQL, query = registry()
 
 
-def _fitted(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
-    """A forest trained on the training share of the staged feature table."""
-    used = dict.fromkeys(["ad_id", "roas", *forest.CATEGORICAL, *forest.NUMERIC, forest.LABEL])
-    df = stage(with_features(campaigns(spark, sf_dir)).select(*used), "features")
-    return forest.forest().fit(df.where(forest.in_train("ad_id"))), df
+# Fitted models and feature tables of this session, by table folder and inputs.
+_FITS: dict = {}
+
+
+def _fitted(spark: SparkSession, sf_dir: str, drop: tuple[str, ...] = forest.LEAKING) -> tuple[PipelineModel, DataFrame]:
+    """A forest trained on the training share of the staged feature table; fitted once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, drop)
+    if key not in _FITS:
+        used = dict.fromkeys(["ad_id", "roas", *forest.CATEGORICAL, *forest.NUMERIC, forest.LABEL])
+        df = stage(with_features(campaigns(spark, sf_dir)).select(*used), "features")
+        _FITS[key] = forest.forest(drop=drop).fit(df.where(forest.in_train("ad_id"))), df
+    return _FITS[key]
 
 
 @query(f"""WITH {FEATURES}
@@ -105,3 +113,59 @@ def ml_metrics(spark, sf_dir):
 def ml_importance(spark, sf_dir):
     model, _ = _fitted(spark, sf_dir)
     return forest.importances(model, spark)
+
+
+@query()
+def ml_importance_all(spark, sf_dir):
+    """The same with the input that restates the label."""
+    model, _ = _fitted(spark, sf_dir, ())
+    return forest.importances(model, spark, ())
+
+
+# What SQL can say about the results above ---------------------------------
+
+_USABLE = " AND ".join(f"{c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))"
+                       for c in forest.NUMERIC if c not in forest.LEAKING)
+
+
+@query(f"""WITH {FEATURES}
+SELECT ad_id, true AS in_range, true AS cut_fits FROM feats WHERE {_USABLE}""")
+def ml_scored_ids(spark, sf_dir):
+    """Which campaigns are scored, that scores lie in [0, 1] and priorities follow the cuts."""
+    score = F.col("conv_score")
+    wanted = F.when(score >= FIXED_HIGH_CUT, PRIORITIES[0]).when(score >= FIXED_MEDIUM_CUT, PRIORITIES[1]) \
+        .otherwise(PRIORITIES[2])
+    return _scored(*_fitted(spark, sf_dir)).select(
+        "ad_id", score.between(0, 1).alias("in_range"), (F.col("priority") == wanted).alias("cut_fits"))
+
+
+@query(f"""WITH {FEATURES},
+test AS (SELECT *, {_USABLE} AS usable FROM feats
+         WHERE NOT CAST('0x' || substr(md5('42|' || ad_id), 1, 8) AS BIGINT) / 4294967296e0 < 0.7)
+SELECT count(*) AS n_total, count(*) FILTER (usable) AS n_scored, true AS in_range FROM test""")
+def ml_metrics_bounds(spark, sf_dir):
+    """Rows of the hold-out share, and that all measures are shares above one half."""
+    fits = [F.col(c).between(0.5, 1) for c in ("auc", "accuracy", "f1")]
+    return ml_metrics(spark, sf_dir).select("n_total", "n_scored", (fits[0] & fits[1] & fits[2]).alias("in_range"))
+
+
+@query("SELECT unnest([" + ", ".join(f"'{c}'" for c in forest.feature_names()) + "]) AS feature, true AS not_negative, "
+       "1e0 AS total")
+def ml_importance_inputs(spark, sf_dir):
+    """Every input with an importance; they sum to one."""
+    model, _ = _fitted(spark, sf_dir)
+    found = forest.importances(model, spark, k=len(forest.feature_names()))
+    total = found.agg(F.round(F.sum("importance"), 6)).scalar()
+    return found.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
+
+
+@query(f"""WITH {FEATURES}
+SELECT count(*) AS total_records, count(DISTINCT advertiser) AS advertisers,
+       count(*) FILTER (high_performer = 1) AS positive, count(*) FILTER (high_performer = 0) AS negative,
+       count(*) FILTER ({_USABLE}) AS scored, true AS levels_add_up FROM feats""")
+def ml_report_counts(spark, sf_dir):
+    """The counts in the report document."""
+    levels = sum((F.col(f"scoring.{p.lower()}_priority") for p in PRIORITIES), F.lit(0))
+    return ml_report(spark, sf_dir).select(
+        "total_records", "advertisers", "class_balance.positive", "class_balance.negative", "scoring.scored",
+        (levels == F.col("scoring.scored")).alias("levels_add_up"))

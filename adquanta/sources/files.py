@@ -39,10 +39,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Nested rows as JSON lines; a one-row report becomes one document."""
+    """Nested rows as JSON lines, written by all tasks."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A report of one row as one document in one file."""
+    write_json(df.limit(1).coalesce(1), path, mode)
+
+
 # Columns of the scored-campaign file, in order.
 SCORED_COLUMNS = ("ad_id", "advertiser", "platform", "target_age", "target_gender",
                   "ctr_pct", "cr_pct", "cac", "roas", "conv_score", "priority")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from adquanta.operators.positions import with_position
-from adquanta.schemas import AD_EVENT
+from adquanta.schemas import AD_EVENT, WIRE_NAMES
 
 
 def kafka_topic(spark: SparkSession, servers: str, topic: str,
@@ -33,15 +33,21 @@ def file_topic(spark: SparkSession, path: str, schema: StructType,
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     # A pattern that matches the path itself also accepts a single file.
-    return reader.load(f"{path[:-1]}[{path[-1]}]")
+    path = path.rstrip("/")
+    special = "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path[:-1])
+    last = f"\\{path[-1]}" if path[-1] in "]\\^-" else path[-1]
+    return reader.load(f"{special}[{last}]")
 
 
 def to_envelope(events: DataFrame, key: str, fields: list[str], partition: Column,
                 offset: Column, timestamp: Column) -> DataFrame:
-    """Messages with the columns of a Kafka source: key, JSON value and position."""
+    """Messages with the columns of a Kafka source: key, JSON value and position.
+
+    The JSON fields have the names of source records.
+    """
     return events.select(
         F.col(key).cast("binary").alias("key"),
-        F.to_json(F.struct(*fields)).cast("binary").alias("value"),
+        F.to_json(F.struct(*[F.col(f).alias(WIRE_NAMES.get(f, f)) for f in fields])).cast("binary").alias("value"),
         partition.cast("int").alias("partition"),
         offset.cast("bigint").alias("offset"),
         timestamp.alias("timestamp"),
@@ -51,15 +57,26 @@ def to_envelope(events: DataFrame, key: str, fields: list[str], partition: Colum
 def decode(messages: DataFrame, schema: StructType = AD_EVENT) -> DataFrame:
     """Typed event columns next to the position and time of the message.
 
-    Event fields that share a name with the envelope get the prefix ``event_``.
+    Money fields are read under the names that source records use and under
+    their own. Event fields that share a name with the envelope get the prefix
+    ``event_``.
     """
-    body = F.from_json(F.col("value").cast("string"), schema)
+    wire = {f.name: WIRE_NAMES[f.name] for f in schema.fields if f.name in WIRE_NAMES}
+    both = StructType(list(schema.fields))
+    for f in schema.fields:
+        if f.name in wire:
+            both = both.add(wire[f.name], f.dataType)
+    body = F.from_json(F.col("value").cast("string"), both)
     envelope = ("partition", "offset", "timestamp", "key")
     parsed = messages.select(
         "partition", "offset", "timestamp", F.col("key").cast("string").alias("key"),
         body.alias("_body"))
+    def field(name: str) -> Column:
+        own = F.col("_body")[name]
+        return F.coalesce(F.col("_body")[wire[name]], own) if name in wire else own
+
     return parsed.select(*envelope, *[
-        F.col("_body")[f.name].alias(f"event_{f.name}" if f.name in envelope else f.name)
+        field(f.name).alias(f"event_{f.name}" if f.name in envelope else f.name)
         for f in schema.fields
     ])
 

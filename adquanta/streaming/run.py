@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from adquanta.operators.joins import join_dimension
 from adquanta.operators.positions import with_position
+from adquanta.session import remove_path
 
-from .funnel import funnel_counters, time_windows, with_ratios
+from .funnel import COUNTERS, funnel_counters, time_windows, with_ratios
 from .windows import ORDER, WINDOW_SIZE, merge_windows, window_counts, with_window_ctr
 
 WATERMARK = "10 minutes"
@@ -36,6 +37,8 @@ def start_running_funnel(events: DataFrame, path: str, *keys: str, **trigger) ->
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")
+        # A reader may still use the version before; older ones are done with.
+        remove_path(batch.sparkSession, f"{path}/versions/batch={batch_id - 2}")
 
     return (
         funnel_counters(events, *keys).writeStream.outputMode("complete").foreachBatch(save)
@@ -49,7 +52,7 @@ def running_funnel(spark, path: str, cac_when_empty: float | None = None) -> Dat
     versions = spark.read.parquet(f"{path}/versions")
     newest = versions.agg(F.max("batch")).scalar()
     return with_ratios(versions.where(F.col("batch") == newest).drop("batch"),
-                       cac_when_empty).orderBy(F.desc("roas"))
+                       cac_when_empty).orderBy(F.desc("roas"), *[c for c in versions.columns if c not in (*COUNTERS, "batch")])
 
 
 def start_time_windows(events: DataFrame, path: str, size: str, slide: str | None = None,
@@ -78,7 +81,7 @@ def start_count_windows(events: DataFrame, path: str, keys: list[str], size: int
         here = rows.groupBy(*keys).agg(F.count("*").alias("seen"))
         if batch_id > 0:
             before = spark.read.parquet(f"{path}/seen/{batch_id - 1}")
-            rows = join_dimension(rows, before, keys, "left")
+            rows = join_dimension(rows, before, keys, "left", staged=True)
             here = here.unionByName(before).groupBy(*keys).agg(F.sum("seen").alias("seen"))
         else:
             rows = rows.withColumn("seen", F.lit(0))
@@ -86,6 +89,8 @@ def start_count_windows(events: DataFrame, path: str, keys: list[str], size: int
         partial = window_counts(rows.withColumn("position", position), size, keys)
         here.write.mode("overwrite").parquet(f"{path}/seen/{batch_id}")
         partial.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+        # A repeated batch reads the totals of the one before.
+        remove_path(spark, f"{path}/seen/{batch_id - 2}")
 
     return (
         used.writeStream.foreachBatch(save)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adquanta.operators import joins
+from adquanta.operators import distributions, joins, quantiles, scoring, segments
 from adquanta.operators.distributions import box_summary, histogram
 from adquanta.operators.positions import with_position
 from adquanta.operators.quantiles import (
@@ -32,21 +32,22 @@ def clean(values):
     return [(r.g, r.v) for r in values.collect() if r.v is not None and r.v == r.v]
 
 
-@pytest.mark.parametrize("max_rows", [100, 10**6])
-def test_exact_quantiles(values, max_rows):
+@pytest.mark.parametrize("held", [20, 500_000])
+def test_exact_quantiles(values, held, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD_ROWS", held)
     points = [0.0, 0.33, 0.5, 0.66, 0.95, 1.0]
     want = np.quantile([v for _, v in clean(values)], points)
-    assert exact_quantiles(values, "v", points, max_rows) == pytest.approx(list(want), rel=1e-12)
+    assert exact_quantiles(values, "v", points) == pytest.approx(list(want), rel=1e-12)
 
 
 def test_quantiles_of_nothing(values):
     assert exact_quantiles(values.where("v is null"), "v", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("ranges,max_rows", [(5, 0), (64, 0), (None, 10**6)])
-def test_grouped_quantiles(values, ranges, max_rows):
+@pytest.mark.parametrize("ranges", [5, 64, None])
+def test_grouped_quantiles(values, ranges):
     got = {r.g: r for r in grouped_quantiles(
-        values, ["g"], "v", {"a": 0.25, "b": 0.5}, ranges, max_rows).collect()}
+        values, ["g"], "v", {"a": 0.25, "b": 0.5}, ranges).collect()}
     data = clean(values)
     assert set(got) == {g for g, _ in data}
     for g in got:
@@ -57,7 +58,7 @@ def test_grouped_quantiles(values, ranges, max_rows):
 
 def test_grouped_quantiles_keep_a_null_key(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 5.0)], "g string, v double")
-    got = {r.g: r.m for r in grouped_quantiles(df, ["g"], "v", {"m": 0.5}, 4, 0).collect()}
+    got = {r.g: r.m for r in grouped_quantiles(df, ["g"], "v", {"m": 0.5}, 4).collect()}
     assert got == {None: 2.0, "x": 5.0}
 
 
@@ -98,12 +99,48 @@ def test_null_key_has_its_own_positions(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_broadcast(values, how):
-    dim = values.where("g != 'g1'").groupBy("g").agg(F.count("*").alias("n"))
-    small = joins.join_dimension(values, dim, ["g"], how)
-    salted = joins.join_dimension(values, dim, ["g"], how, max_rows=1, salts=5)
+def test_shuffled_join_equals_broadcast(spark, values, how):
+    values = values.union(spark.createDataFrame([(9, None, 1.0), (10, None, 2.0)], values.schema))
+    dim = values.where("g is null or g != 'g1'").groupBy("g").agg(F.count("*").alias("n"))
     key = lambda r: (r.id, r.g, r.n)
-    assert sorted(map(key, small.collect()), key=str) == sorted(map(key, salted.collect()), key=str)
+    small = sorted(map(key, joins.join_dimension(values, dim, ["g"], how).collect()), key=str)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = sorted(map(key, joins.join_dimension(values, dim, ["g"], how).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert small == large
+    assert {(9, None, 2), (10, None, 2)} <= set(small)
+
+
+def test_quantiles_take_few_passes(spark, values):
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(points):
+        spark.sparkContext.setJobGroup(f"quantiles{len(points)}", "passes")
+        exact_quantiles(values, "v", points)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"quantiles{len(points)}"))
+
+    # Adaptive execution may run a pass as several jobs; more quantiles add none.
+    assert jobs([0.1, 0.2, 0.33, 0.45, 0.66, 0.8, 0.9]) <= jobs([0.5]) + 1 <= 11
+
+
+def test_nan_is_missing_in_scores_and_limits(spark):
+    rows = [(i, float(i), 1.0 + i % 3, 2.0 + i % 5) for i in range(20)] + [(20, float("nan"), 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, roas double, ctr_pct double, cr_pct double")
+    scored = {r.id: r for r in scoring.tercile_priority(scoring.composite_score(df)).collect()}
+    assert {r.priority for i, r in scored.items() if i < 20} == {"LOW", "MEDIUM", "HIGH"}
+    assert scored[20].ml_score is None and scored[20].priority == "LOW"
+    high = spark.createDataFrame([(i, 1.0) for i in range(30)] + [(30, 100.0), (31, float("nan"))], "id int, v double")
+    assert [r.id for r in segments.above_sigma(high, ["v"]).collect()] == [30]
+
+
+def test_box_summary_keeps_a_null_group(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(9)] + [("x", 5.0)], "g string, v double")
+    got = {r.g: r.median for r in distributions.box_summary(df, ["g"], "v").collect()}
+    assert got == {None: 4.0, "x": 5.0}
 
 
 def test_group_mean_drops_null_keys(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from adquanta.schemas import BENCHMARK_EVENT, CAMPAIGN
 from adquanta.session import fresh_path, shared_folder, stage
-from adquanta.sources import files
+from adquanta.sources import files, topics
 
 HEADER = ",".join(f.name for f in CAMPAIGN.fields)
 LINE = ('1,Kaspi,KZ,2026-04-01,ACTIVE,2026-04-20,ads,"Facebook, Instagram",25-34,all,10,'
@@ -52,7 +52,7 @@ def test_scored_file_has_the_fixed_columns(spark, tmp_path):
 def test_json_keeps_nulls_and_nesting(spark, tmp_path):
     df = spark.createDataFrame([(1, None, [1.0, 2.0])], "a int, b string, c array<double>")
     files.write_json(df.select(F.struct("a", "b", "c").alias("doc")), str(tmp_path / "j"))
-    text = next((tmp_path / "j").glob("*.json")).read_text()
+    text = "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
     assert json.loads(text) == {"doc": {"a": 1, "b": None, "c": [1.0, 2.0]}}
 
 
@@ -76,3 +76,24 @@ def test_staged_data_lies_in_the_shared_folder(spark):
     back = stage(df, "t")
     assert sorted(map(tuple, back.collect())) == [(i, 2 * i) for i in range(4)]
     assert all("/t-" in f for f in back.inputFiles())
+
+
+def test_source_names_of_money_are_read(spark):
+    body = ('{"event_id": "e", "event_type": "conversion", "revenue_kzt": 5000.5, "cost_kzt": 300.25}',
+            '{"event_id": "f", "event_type": "click", "revenue": 1.5, "cost": 2.5}')
+    rows = [(0, i, None, bytearray(b"k"), bytearray(b.encode())) for i, b in enumerate(body)]
+    messages = spark.createDataFrame(
+        rows, "partition int, offset long, timestamp timestamp, key binary, value binary")
+    got = [(r.revenue, r.cost) for r in topics.decode(messages).orderBy("offset").collect()]
+    assert got == [(5000.5, 300.25), (1.5, 2.5)]
+
+
+@pytest.mark.parametrize("name", ["plain", "odd[1]", "star*", "end]"])
+def test_file_topic_takes_any_path(spark, tmp_path, name):
+    spark.range(3).write.parquet(str(tmp_path / name))
+    for path in (f"{tmp_path}/{name}", f"{tmp_path}/{name}/"):
+        stream = topics.file_topic(spark, path, spark.range(1).schema)
+        query = stream.writeStream.format("memory").queryName("taken").outputMode("append") \
+            .trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("taken").count() == 3
