@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import connected
-from .words import Words, chunks, mix, signed, split_words
+from .words import Words, chunks, mix, signed, split_words, unused
 
 SHINGLE = 5
 BANDS, ROWS = 48, 4   # at similarity 0.75 a pair misses all bands with chance 1e-8
 BINS = BANDS * ROWS
 PERCENT = 75
 # Below this share of equal bins (deviation 0.03) a pair of similarity 0.75 is out of reach.
-LEAST_AGREEMENT = 0.5
-BLOCK = 1_024
+LEAST_AGREEMENT = 0.58
+BLOCK = 4_096            # candidates of a centre that are compared in one place
+BUNDLE_BYTES = 4 << 20   # text of small groups that share a task's call
 
 # Where an empty bin looks for a value: an order of all bins for each bin.
 _ORDER = np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
@@ -107,98 +108,111 @@ def _sketch(docs: DataFrame) -> DataFrame:
         run, f"row bigint, id {kind}, n bigint, node bigint, bands array<bigint>, bins binary")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Add ``linked`` to pairs (a, b) of nodes, from the full sets of their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text_a"):
-                (x, xs), (y, ys) = (shingle_sets(split_words(part.column(c))) for c in ("text_a", "text_b"))
-                linked = np.zeros(part.num_rows, bool)
-                for i in range(part.num_rows):
-                    one, two = x[xs[i]:xs[i + 1]], y[ys[i]:ys[i + 1]]
-                    if len(one) > len(two):
-                        one, two = two, one
-                    if 100 * len(one) < percent * len(two):
-                        continue
-                    at = np.searchsorted(two, one)
-                    at[at == len(two)] = 0
-                    both = int((two[at] == one).sum())
-                    linked[i] = 100 * both >= percent * (len(one) + len(two) - both)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
-
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    joined = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return joined.mapInArrow(run, "a bigint, b bigint, linked boolean")
+def _overlap(one: np.ndarray, two: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one):
+        return 0
+    at = np.searchsorted(two, one)
+    at[at == len(two)] = 0
+    return int((two[at] == one).sum())
 
 
-def _rest(members: DataFrame, centres: DataFrame, refuted: DataFrame, bins: DataFrame) -> DataFrame:
-    """Pairs of refuted members with other members of their buckets that look similar.
+def spanning_links(keys: np.ndarray, bounds: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join whatever confirmed links join among these sets.
 
-    Buckets are cut into blocks of about ``BLOCK`` members; a task compares one
-    block of refuted members with one block of members.
+    With two sides (0 and 1) links within a side are somebody else's business.
+    All sets are compared with the one nearest to the commonest values first;
+    only pairs that look similar and are not joined yet are then confirmed.
+    """
+    n = len(bounds) - 1
+    bins = (signatures(keys, bounds) & np.uint64(255)).astype(np.uint8)
+    parent = list(range(n))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links: list[tuple[int, int]] = []
+
+    def confirm(i: int, j: int) -> None:
+        one, two = keys[bounds[i]:bounds[i + 1]], keys[bounds[j]:bounds[j + 1]]
+        both = _overlap(one, two)
+        if 100 * both >= percent * (len(one) + len(two) - both):
+            parent[find(i)] = find(j)
+            links.append((i, j))
+
+    counts = np.zeros((BINS, 256), np.int64)
+    np.add.at(counts, (np.arange(BINS), bins), 1)
+    hub = int(counts[np.arange(BINS), bins].sum(1).argmax())
+    for i in range(n):
+        if i != hub:
+            confirm(i, hub)
+    cross = side.any() and not side.all()
+    number = np.arange(n)
+    root = np.array([find(j) for j in range(n)])
+    for i in range(n):
+        later = np.flatnonzero((root != root[i]) & (number > i) & ((side != side[i]) | (not cross)))
+        near = later[(bins[later] == bins[i]).mean(1) >= LEAST_AGREEMENT] if len(later) else later
+        before = len(links)
+        for j in near.tolist():
+            if find(i) != find(j):
+                confirm(i, j)
+        if len(links) > before:
+            root = np.array([find(j) for j in range(n)])
+    return links
+
+
+def near_links(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) between the nodes of a sketch, enough to join each class.
+
+    Two nodes of a bucket are both candidates of its centre, so the candidates
+    of a centre meet in one place with their texts: whole, or for very many in
+    pairs of blocks of about ``block`` nodes. What leaves is a spanning forest
+    of confirmed links, never more rows than came.
     """
-    within = members.join(centres.hint("merge"), "key").where("node <> centre")
-    marked = within.join(
-        refuted.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.lit(True).alias("left"))
-        .hint("merge"), ["node", "centre"], "left").select("key", "node", F.coalesce("left", F.lit(False)).alias("left"))
-    marked = marked.distinct()
-    sizes = marked.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("left").cast("long")).alias("u")) \
-        .where("n > 1 and u > 0")
-    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    own = lambda c: F.pmod(F.hash("node"), parts(c))
-    rows = stage(marked.join(sizes.hint("merge"), "key").join(bins.hint("merge"), "node"), "minhash-rest")
-    asked = rows.where("left").select("key", "node", "bins", own("u").alias("i"), spread("n").alias("j"),
-                                      F.lit(True).alias("asks"))
-    given = rows.select("key", "node", "bins", spread("u").alias("i"), own("n").alias("j"),
-                        F.lit(False).alias("asks"))
-    total = rows.count()
-    group = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, total // 20_000)))
-
-    def run(table: pa.Table) -> pa.Table:
-        key = np.asarray(table["key"]) ^ (np.asarray(table["i"]).astype(np.int64) << 40) \
-            ^ (np.asarray(table["j"]).astype(np.int64) << 20)
-        order = np.argsort(key, kind="stable")
-        node = np.asarray(table["node"])[order]
-        asks = np.asarray(table["asks"])[order]
-        got = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in np.split(np.arange(len(order)), cuts):
-            ask, give = part[asks[part]], part[~asks[part]]
-            for i in ask:
-                near = give[(got[give] == got[i]).mean(1) >= LEAST_AGREEMENT]
-                near = near[node[near] != node[i]]
-                ones.append(np.minimum(node[near], node[i]))
-                twos.append(np.maximum(node[near], node[i]))
-        pairs = np.unique(np.stack((np.concatenate(twos), np.concatenate(ones)), 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    both = asked.unionByName(given).withColumn("group", group)
-    return both.groupBy("group").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def near_links(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between the nodes of a sketch."""
     known = sketch.where("node is not null")
     members = known.select(F.explode("bands").alias("key"), "node")
     # Equal sets share their node, so a bucket of copies only has one node and ends here.
     centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_top")) \
         .where("centre < _top").drop("_top")
     stars = stage(
-        members.join(centres.hint("merge"), "key").where("node <> centre")
-        .select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "minhash-stars")
-    chosen = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+        members.join(centres.hint("merge"), "key").select("centre", "node").distinct(), "minhash-stars")
+    chosen = stars.select("node").distinct()
     sample = known.join(chosen.hint("merge"), "node").groupBy("node").agg(F.min("row").alias("row"))
     texts = stage(docs.select("row", "text").join(sample.hint("merge"), "row")
                   .select("node", "text").dropDuplicates(["node"]), "minhash-texts", compression="zstd")
-    checked = stage(_confirm(stars, texts, percent), "minhash-checked")
-    refuted = checked.where("not linked")
-    bins = known.join(sample.hint("merge"), ["node", "row"]).select("node", "bins").dropDuplicates(["node"])
-    rest = _confirm(_rest(members, centres, refuted, bins), texts, percent)
-    return checked.where("linked").select("a", "b").union(rest.where("linked").select("a", "b")).distinct()
+    sizes = stage(stars.groupBy("centre").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "minhash-sizes")
+    size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    bundles = max(1, int(stars.count() * size / BUNDLE_BYTES))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    # A block meets every block once: as the first of a pair, or as the second.
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    placed = stars.join(sizes.hint("merge"), "centre").select(
+        "centre", "node", own.alias("own"), F.explode(places).alias("p"))
+    rows = placed.select("centre", "node", "own", "p.i", "p.j").join(texts.hint("merge"), "node") \
+        .withColumn("bundle", F.pmod(F.xxhash64("centre", "i", "j"), F.lit(bundles)))
+
+    def run(table: pa.Table) -> pa.Table:
+        centre, i, j, own, node = (np.asarray(table[c]) for c in ("centre", "i", "j", "own", "node"))
+        order = np.lexsort((node, j, i, centre))
+        table = table.take(pa.array(order))
+        centre, i, j, own, node = (x[order] for x in (centre, i, j, own, node))
+        cuts = np.flatnonzero((np.diff(centre) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        ends = np.concatenate(([0], cuts, [len(node)])) if len(node) else np.zeros(1, np.int64)
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            keys, bounds = shingle_sets(split_words(table["text"].slice(lo, hi - lo).combine_chunks()))
+            side = (own[lo:hi] != i[lo:hi]).astype(np.int64)
+            found += [(node[lo + x], node[lo + y]) for x, y in spanning_links(keys, bounds, side, percent)]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("bundle").applyInArrow(run, "a bigint, b bigint")
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -235,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
-    kept = _verdicts(docs, id_col, text_col, percent).where("kept").select(F.col("row").alias("_row"))
+    name = unused("_row", docs.columns)
+    kept = _verdicts(docs, id_col, text_col, percent).where("kept").select(F.col("row").alias(name))
     row = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(kept.hint("merge"), row == kept["_row"], "left_semi")
+    return docs.join(kept.hint("merge"), row == kept[name], "left_semi")

@@ -154,3 +154,11 @@ def kept_text(words: Words, doc: int, keep: np.ndarray) -> bytes:
     inside = spot < np.repeat(lengths - 1, lengths)
     out[inside] = data[(np.repeat(starts, lengths) + spot)[inside]]
     return out[:-1].tobytes()
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores put behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
