@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, stage
+from .words import unused
 
 CAPACITY = 100_000  # distinct keys a bucket may hold
 MAX_DEPTH = 14      # the directory has at most 2**14 entries
@@ -125,6 +126,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
     verdict = exact_duplicates(docs, id_col, text_col).where("kept")
-    kept = verdict.select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_sha")).distinct()
+    name, digest = unused("_keep_id", docs.columns), unused("_sha", docs.columns)
+    kept = verdict.select(F.col(id_col).alias(name), F.col("text_sha256").alias(digest)).distinct()
     sha = F.sha2(normalised(text_col).cast("binary"), 256)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep_id"]) & (sha == kept["_sha"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept[name]) & (sha == kept[digest]), "left_semi")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adquanta.llm.compression import CUT, fit_compression, score_quality, PER_CLASS, SAMPLE_CHARS
+from adquanta.llm.compression import CUT, PER_CLASS, SAMPLE_CHARS, fit_compression, score_quality
 from adquanta.llm.exact import drop_exact
 from adquanta.llm.fit import labelled_sample, remainder
 from adquanta.llm.minhash import drop_near
 from adquanta.llm.packing import pack
 from adquanta.llm.suffixes import remove_repeats
+from adquanta.llm.words import unused
 from adquanta.session import stage
 from adquanta.sources.tables import table
 
@@ -19,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality",
                              remainder("doc_id", 5) != 0, PER_CLASS, SAMPLE_CHARS)
-    scored = score_quality(docs, fit_compression(sample), out="_quality")
-    return scored.where(F.col("_quality") >= CUT).drop("_quality")
+    score = unused("_quality", docs.columns)
+    scored = score_quality(docs, fit_compression(sample), out=score)
+    return scored.where(F.col(score) >= CUT).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
