@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators, a document at a time."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -73,3 +74,34 @@ def base_counts(text):
     return {"n_words": len(ws), "word_chars": sum(map(len, ws)),
             "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")),
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeat)}
+
+
+# Shared inputs.
+SCHEMA = "doc_id long, text string, lang string, row string, id string, ids string, kept string, score string, node string, _ranges string"
+
+
+def made_texts():
+    """Texts with copies, shared passages, symbols, repeated lines, long and odd ones."""
+    rng = random.Random(7)
+    vocabulary = [a + b for a in "the an é ß ou ti".split() for b in "ra lo mi nde st".split()]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage = prose(70)
+    texts = [None, "", "   ", "\n\t ", "one", "One", "two words", "a b c d", "A b c d", "a b c d e"]
+    base = prose(120)
+    texts += [base, base, base.upper(), base.capitalize(), base + " tail", base.replace(" ", "  ", 3)]
+    near = base.split(" ")
+    for i in range(12):
+        copy = list(near)
+        copy[i * 9] = f"edit{i}"
+        texts.append(" ".join(copy))
+    texts += [f"{prose(30)} {passage} {prose(40)}" for _ in range(8)]
+    texts += [f"{prose(5)}\n{prose(4)}\n{prose(5)}" for _ in range(10)]
+    texts += ["line x\n" * 30 + "end", "same " * 200, "### | $$$ <a> & % * " * 20, "x" * 5000,
+              "中文字符没有空格" * 50, prose(6000), "AB 	 cd\x0b\x0cef\rgh \x1f i", "tab\tsep " * 40,
+              "naïve café " * 30, "<|endoftext|> is plain text", "\u00a0 \u2003 wide spaces"]
+    return texts
+
+
+def frame(spark, pairs):
+    full = [(d, t, "en", "r", "i", "x", "k", "s", "n", "q") for d, t in pairs]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)

@@ -8,6 +8,7 @@ from adquanta.llm.components import connected
 from adquanta.llm.fm_index import FMIndex
 
 import brute
+from brute import frame
 
 
 def test_exact_matches_brute_force(docs, rows):
@@ -73,7 +74,6 @@ def test_repeats_odd_rows(odd, empty):
 
 def test_small_windows_on_few_words(spark):
     """Few different words: symbols and minimisers tie everywhere."""
-    from conftest import frame
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(60)]
     want = brute.removed(texts, 12)
@@ -107,7 +107,6 @@ def test_near_matches_brute_force(docs, rows):
 
 def test_near_links_that_no_centre_has(spark):
     """Copies far from each other but near one hub, and chains: no link hangs on a bucket's centre."""
-    from conftest import frame
     rng = random.Random(11)
     texts = []
     for family in range(6):
@@ -132,7 +131,6 @@ def test_near_links_that_no_centre_has(spark):
 
 def test_short_sets_at_the_threshold(spark):
     """Three of four shingles in common: exactly 0.75."""
-    from conftest import frame
     rng = random.Random(5)
     pairs = []
     for i in range(150):

@@ -12,6 +12,7 @@ from adquanta.llm.toxicity import toxicity_scores
 from adquanta.llm.urls import RULES, build_cascade, build_levels, filter_urls, in_cascade
 
 import brute
+from brute import frame
 
 
 def test_base_counts(docs, rows):
@@ -24,7 +25,6 @@ def test_base_counts(docs, rows):
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Good prose, bad symbol soup, and texts with insults, with their labels."""
-    from conftest import frame
     rng = random.Random(9)
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
