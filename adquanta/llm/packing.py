@@ -67,7 +67,7 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        projection = Projection(encoder.tokenizer.get_vocab_size())
+        projection = Projection(encoder.size)
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = encoder.encode(part.column("text").to_pylist())
