@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .segments import minimiser_segments, repeated_segments, text_slices
-from .words import Words, chunks, cover, kept_text, mix, powers, signed, split_words
+from .words import Words, chunks, cover, kept_text, mix, powers, signed, split_words, unused
 
 SHARD_BYTES = 2 << 20
 # A minimiser with more segments is dealt out by whole windows in place of itself.
@@ -103,14 +103,24 @@ def _search(pieces: DataFrame, window: int, find: Finder, shard_bytes: int) -> D
     """(key, digest, runs): runs of repeated windows, as start and stop word of the piece in turn."""
     size = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
     n_shards = max(1, size // shard_bytes)
+
+    # Copies are combined in the scan tasks before they travel.
     unique = pieces.groupBy("key", "digest", "at", "piece").agg(F.count("*").alias("n"))
     sharded = unique.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)))
 
     def run(table: pa.Table) -> pa.Table:
+        # The same words may stand in several pieces with other white space between them.
+        key, digest = np.asarray(table["key"]), np.asarray(table["digest"])
+        order = np.lexsort((digest, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(digest[order]) != 0)
+        head = np.flatnonzero(new)
+        n = np.add.reduceat(np.asarray(table["n"])[order], head)
+        table = table.take(pa.array(order[head]))
         w = split_words(table["piece"].combine_chunks().cast(pa.large_binary())
                         .view(pa.large_string()))
         at = w.first[:-1] + np.asarray(table["at"])
-        mask = find(w, w.hashes(), at, np.asarray(table["n"]), window)
+        mask = find(w, w.hashes(), at, n, window)
         start, stop = _runs(mask, w.doc)
         piece = w.doc[start]
         flat = np.stack((start - w.first[piece], stop - w.first[piece]), 1).ravel()
@@ -163,18 +173,19 @@ def cut_repeats(docs: DataFrame, window: int, k: int, find: Finder, id_col: str
     stay null; an empty table gives no rows; equal rows repeat each other.
     """
     ranges = repeated_ranges(with_rows(docs, id_col, text_col), window, k, find, hot, shard_bytes)
-    found = ranges.withColumnRenamed("id", "_row").withColumnRenamed("ranges", "_ranges")
+    row, spans = unused("_row", docs.columns), unused("_ranges", docs.columns)
+    found = ranges.select(F.col("id").alias(row), F.col("ranges").alias(spans))
     kept = [id_col, text_col] if digest else docs.columns
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(
-        "_row", F.xxhash64(F.col(id_col), F.col(text_col))).join(found.hint("merge"), "_row", "left").drop("_row")
-    empty = F.array().cast(found.schema["_ranges"].dataType)
-    joined = joined.withColumn("_ranges", F.coalesce("_ranges", empty))
+    plain = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(id_col), F.col(text_col)).alias(row))
+    joined = plain.join(found.hint("merge"), row, "left").drop(row)
+    empty = F.array().cast(found.schema[spans].dataType)
+    joined = joined.withColumn(spans, F.coalesce(spans, empty))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col):
                 w = split_words(part.column(text_col))
-                gone = _removed(w, part.column("_ranges"), window)
+                gone = _removed(w, part.column(spans), window)
                 lost = np.bincount(w.doc[gone], minlength=w.n_docs)
                 sha = [hashlib.sha256(kept_text(w, d, ~gone)).hexdigest() for d in range(w.n_docs)]
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +198,7 @@ def cut_repeats(docs: DataFrame, window: int, k: int, find: Finder, id_col: str
         for batch in batches:
             for part in chunks(batch, text_col):
                 w = split_words(part.column(text_col))
-                gone = _removed(w, part.column("_ranges"), window)
+                gone = _removed(w, part.column(spans), window)
                 lost = np.bincount(w.doc[gone], minlength=w.n_docs)
                 old = part.column(text_col)
                 new = [kept_text(w, d, ~gone).decode() if lost[d] else old[d].as_py()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .words import Words, chunks, signed, split_words
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -97,11 +98,12 @@ def minimiser_keys(docs: DataFrame, window: int, k: int) -> DataFrame:
 def repeated_segments(docs: DataFrame, window: int, k: int) -> DataFrame:
     """Per id: the numbers of its segments whose minimiser occurs twice or more.
 
-    Counts per key are combined before the shuffle. The join with them shuffles
-    both sides, so adaptive execution can split a key that holds many rows.
+    Counts per key are combined before the shuffle, and staged so that the join
+    deals both sides anew: adaptive execution can then split a key that holds
+    many rows.
     """
     keys = minimiser_keys(docs, window, k)
-    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minimisers")
     return (
         keys.join(often.hint("merge"), "key")
         .groupBy("id").agg(F.collect_list(F.struct("segment", "n")).alias("hits"))
