@@ -253,7 +253,7 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
 
     stats = stage(inside.groupBy(*keys).cogroup(total.groupBy(*keys)).applyInPandas(
         medians, "experiment string, metric string, arm string, replicate int, stat double"), "medians")
-    if stats.where(F.isnan("stat")).limit(1).count():
+    if stats.where(F.col("stat").isNull() | F.isnan("stat")).limit(1).count():
         discard(stats)
         return replicate_medians(long, replicates, seed, 2 * width)
     return stats

@@ -233,3 +233,25 @@ def test_json_file_topic(spark, events):
     events.write.json(source)
     run.finish(run.start_ingest(topics.file_topic(spark, source, events.schema, fmt="json"), path))
     assert rows_of(run.ingested(spark, path), *events.columns) == rows_of(events, *events.columns)
+
+
+def test_count_windows_of_a_null_key_go_on_over_batches(spark, events):
+    """Three batches; windows of the missing advertiser continue where the last batch ended."""
+    rows = events.withColumn("advertiser", F.when(F.col("advertiser") != "hot", F.col("advertiser")))
+    path, source = fresh_path(spark, "null-windows"), fresh_path(spark, "null-events")
+    for part in range(3):
+        rows.where(F.floor(F.col("event_id") / 200) == part).write.mode("append").parquet(source)
+        stream = topics.file_topic(spark, source, rows.schema)
+        run.finish(run.start_count_windows(stream, path, ["advertiser"], 7))
+    columns = ("advertiser", "window", "total", "clicks", "conversions")
+    assert rows_of(run.counted_windows(spark, path, ["advertiser"]), *columns) == rows_of(
+        count_windows(rows, 7, ["advertiser"]), *columns)
+
+
+def test_old_versions_are_pruned(spark, files, events):
+    path = fresh_path(spark, "pruned")
+    run.finish(run.start_running_funnel(in_order(spark, files, events.schema), path, "advertiser"))
+    kept = {r[0] for r in spark.read.parquet(f"{path}/versions").select("batch").distinct().collect()}
+    assert len(kept) == 2
+    assert rows_of(run.running_funnel(spark, path), "advertiser", "events", "roas") == rows_of(
+        funnel_report(events, "advertiser"), "advertiser", "events", "roas")
