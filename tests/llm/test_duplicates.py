@@ -6,6 +6,7 @@ import pytest
 from adquanta.llm import exact, fm_index, minhash, suffixes
 from adquanta.llm.components import connected
 from adquanta.llm.fm_index import FMIndex
+from adquanta.session import stage
 
 import brute
 from brute import frame
@@ -129,6 +130,15 @@ def test_near_links_that_no_centre_has(spark):
     assert [got[d] for d, _ in pairs] == want
 
 
+def test_blocks_of_a_large_family_meet(docs):
+    """Candidates of a centre dealt into pairs of blocks give the same classes as all in one place."""
+    rows = docs.selectExpr("xxhash64(doc_id, text) row", "doc_id id", "text")
+    sketch = stage(minhash._sketch(rows), "sketch")
+    one, many = (sorted(map(tuple, connected(minhash.near_links(sketch, rows, block=block)).collect()))
+                 for block in (10_000, 4))
+    assert one == many and len(one) > 12
+
+
 def test_short_sets_at_the_threshold(spark):
     """Three of four shingles in common: exactly 0.75."""
     rng = random.Random(5)
