@@ -1,11 +1,11 @@
-"""Byte-level BPE: ranked merges folded over the distinct words of a corpus.
+"""Byte-level BPE: ranked merges folded over the distinct words of each task's texts.
 
 Texts are cut where no match of the pattern crosses: before every space that
-something else than white space follows. Distinct words (matches) are merged by
-Spark's higher-order functions against a rank map that stands in the plan as a
-literal; the most frequent ones become a dictionary of bounded size, all others
-are merged once for each stretch of documents they occur in. Documents are then
-put together from their words' ids, without a shuffle of texts.
+something else than white space follows. A task names every distinct word
+(match) once, as an array of its bytes' ids; Spark's higher-order functions
+merge it against a rank map that stands in the plan as a literal; and the
+texts, which travel along in the same task, are put together from their words'
+ids. Nothing is shuffled, and nothing is kept but a bounded number of words.
 """
 
 from __future__ import annotations
@@ -14,25 +14,24 @@ import base64
 import hashlib
 import heapq
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
 from .words import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-DICTIONARY_WORDS = 1 << 17   # bound of the broadcast dictionary
-STRETCH_BYTES = 8 << 20      # text that shares one list of other words
-CACHED_RUNS = 300_000
-LONG_WORD = 64               # longer words are merged with a heap
-NONE = 1 << 40               # no rank is that large
+STRETCH_BYTES = 2 << 20   # text between two lists of new words
+KNOWN_WORDS = 250_000     # merged words that a task remembers before it starts anew
+KNOWN_RUNS = 150_000
+LONG_WORD = 64            # longer words are merged with a heap, not by the fold
+NONE = 1 << 40            # no rank is that large
 
 _RUN = regex.compile(r" (?=\S)")
 
@@ -100,163 +99,127 @@ class RankMap:
         rounds = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
         return F.aggregate(rounds, ids, step)
 
-    def merge_long(self, ids: list[int]) -> list[int]:
-        """The same for one long word, in time that grows little faster than its length."""
-        after = list(range(1, len(ids) + 1))
-        before = list(range(-1, len(ids) - 1))
-        ids, alive = list(ids), [True] * len(ids)
-        heap = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(ids):
-                rank = self.pairs.get((ids[i], ids[after[i]]))
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, ids[i], ids[after[i]]))
-
-        for i in range(len(ids) - 1):
-            offer(i)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= len(ids) or ids[i] != left or ids[j] != right:
-                continue
-            ids[i], alive[j] = rank, False
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [x for x, on in zip(ids, alive) if on]
-
-
-def _words(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each match of the pattern occurs, combined per task first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(public_tokenizers.PATTERN).findall
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for r, n in seen.items():
-                for word in find(r):
-                    words[word] += n
-            short = {w.encode(): n for w, n in words.items() if len(w) <= LONG_WORD}
-            short = {w: n for w, n in short.items() if len(w) <= LONG_WORD}
-            return pa.RecordBatch.from_arrays(
-                [pa.array(short.keys(), pa.binary()), pa.array(short.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(runs(text or ""))
-                if len(seen) > CACHED_RUNS:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _dictionary(docs: DataFrame, ranks: dict[bytes, int], merges: RankMap, most: int) -> dict[str, list[int]]:
-    """Merged ids of the most frequent words, at most ``most``.
 
-    Counts are binned on a log scale, and whole bins are taken from the top.
-    """
-    counted = stage(_words(docs), "bpe-words").withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
-    bins = sorted(((r["bin"], r["count"]) for r in counted.groupBy("bin").count().collect()), reverse=True)
-    total, least = 0, None
-    for b, n in bins:  # at most 16 bins for each doubling
-        total += n
-        if total > most:
-            break
-        least = b
-    if least is None:
-        return {}
-    byte_ids = F.lit([ranks[bytes([b])] for b in range(256)])
-    first = F.transform(
-        F.sequence(F.lit(1), F.octet_length("word")),
-        lambda i: F.element_at(byte_ids, F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int") + 1)
-        .cast("bigint"))
-    chosen = counted.where(F.col("bin") >= least).select(
-        "word", merges.merged(first).alias("ids"))
-    got = chosen.toArrow()
-    return {w.decode(): ids for w, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist())}
-
-
-def encode(docs: DataFrame, ranks_file: str = RANKS, dictionary_words: int = DICTIONARY_WORDS,
-           stretch_bytes: int = STRETCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The same for one long word, in time that grows little faster than its length."""
+    after = list(range(1, len(ids) + 1))
+    before = list(range(-1, len(ids) - 1))
+    ids, alive = list(ids), [True] * len(ids)
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(ids):
+            rank = pairs.get((ids[i], ids[after[i]]))
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[after[i]]))
+
+    for i in range(len(ids) - 1):
+        offer(i)
+    while heap:
+        rank, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= len(ids) or ids[i] != left or ids[j] != right:
+            continue
+        ids[i], alive[j] = rank, False
+        after[i] = after[j]
+        if after[i] < len(ids):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [x for x, on in zip(ids, alive) if on]
+
+
+def encode(docs: DataFrame, ranks_file: str = RANKS, stretch_bytes: int = STRETCH_BYTES,
+           known_words: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and ``ids``, the tokens as little-endian unsigned 32-bit numbers.
 
     Whole texts are encoded, each match of the pattern separately, without
-    special tokens. Null is an empty text and has no tokens. Repeated rows are
-    encoded each; an empty table gives no rows; other columns are not looked at.
+    special tokens; a match that is a token itself stays whole. Null is an
+    empty text and has no tokens. Repeated rows are encoded each; an empty table
+    gives no rows; other columns are not looked at.
     """
     ranks = read_ranks(ranks_file)
     merges = RankMap(ranks)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
-    frequent = context.broadcast({w: np.array(ids, "<u4").tobytes()
-                                  for w, ids in _dictionary(plain, ranks, merges, dictionary_words).items()})
+    # Both are fixed by the rank file, whatever the corpus.
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.pairs))
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
-    pairs = context.broadcast(merges.pairs)  # fixed by the rank file
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a stretch: its documents, and its words outside the dictionary as first ids."""
-        find, known = regex.compile(public_tokenizers.PATTERN).findall, frequent.value
+    def on_first(values: pa.Array, n: int) -> pa.Array:
+        """``n`` rows of which the first has all values."""
+        return pa.ListArray.from_arrays(pa.array([0] + n * [len(values)], pa.int32()), values)
+
+    def name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents; the first of a stretch has the words that the task has not named before."""
+        find, tokens = regex.compile(public_tokenizers.PATTERN).findall, shared.value[0]
+        named: set[str] = set()
         done: set[str] = set()
         for batch in batches:
             for part in chunks(batch, "text", stretch_bytes):
-                new = {r for t in part.column("text").to_pylist() for r in runs(t or "")} - done
-                rest: set[str] = set()
-                for r in new:
-                    unknown = [w for w in find(r) if w not in known]
-                    rest.update(unknown)
-                    if not unknown:
-                        done.add(r)
-                if len(done) > CACHED_RUNS:
+                anew = len(named) > known_words
+                if anew:
+                    named, done = set(), set()
+                if len(done) > KNOWN_RUNS:
                     done = set()
-                words = [w.encode() for w in rest]
-                words = [w for w in words if len(w) <= LONG_WORD]
-                bounds = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
-                flat = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-                starts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
-                whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                here: set[str] = set()
+                for text in part.column("text").to_pylist():
+                    here.update(runs(text or ""))
+                here -= done
+                words = {w for r in here for w in find(r)} - named
+                done |= here
+                named |= words
+                raw = [x for x in map(str.encode, words) if x not in tokens and len(x) <= LONG_WORD]
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
+                flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+                firsts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
+                n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [whole(part.column("id")), whole(part.column("text")), whole(pa.array(words, pa.binary())),
-                     whole(starts)], ["id", "text", "words", "firsts"])
+                    [part.column("id"), part.column("text"), pa.array([anew] + (n - 1) * [False]),
+                     on_first(pa.array(raw, pa.binary()), n), on_first(firsts, n)],
+                    ["id", "text", "anew", "words", "firsts"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, cache = regex.compile(public_tokenizers.PATTERN).findall, frequent.value, {}
-        long_merges = RankMap.__new__(RankMap)
-        long_merges.pairs = pairs.value
+        find, (tokens, pairs) = regex.compile(public_tokenizers.PATTERN).findall, shared.value
+        known: dict[str, bytes] = {}
+        cache: dict[str, bytes] = {}
+
+        def ids_of(word: str) -> bytes:
+            got = known.get(word)
+            if got is None:
+                raw = word.encode()
+                if raw in tokens:
+                    got = np.array([tokens[raw]], "<u4").tobytes()
+                else:  # a long word
+                    got = np.array(merged_long(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), pairs), "<u4").tobytes()
+            return got
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                merged = batch.column("merged").slice(i, 1).flatten()
+            starts = np.flatnonzero(batch.column("anew").to_numpy(zero_copy_only=False))
+            for lo, hi in zip([0, *starts], [*starts, batch.num_rows]):
+                if lo in starts:
+                    known.clear()
+                part = batch.slice(lo, hi - lo)
+                merged = part.column("merged").flatten()
                 raw = np.asarray(merged.flatten()).astype("<u4").tobytes()
-                at = (4 * (np.asarray(merged.offsets) - merged.offsets[0].as_py())).tolist()
-                names = batch.column("words").slice(i, 1).flatten().to_pylist()
-                local = {w.decode(): raw[a:b] for w, a, b in zip(names, at[:-1], at[1:])}
-                texts = [t or "" for t in batch.column("text").slice(i, 1).flatten().to_pylist()]
-
-                def ids_of(word: str) -> bytes:
-                    got = known.get(word) or local.get(word)
-                    if got is None:
-                        first = byte_ids[np.frombuffer(word.encode(), np.uint8)].tolist()
-                        got = np.array(long_merges.merge_long(first), "<u4").tobytes()
-                    return got
-
-                if len(cache) > CACHED_RUNS:
-                    cache = {}
-                split = [runs(t) for t in texts]
-                for r in {r for parts in split for r in parts} - cache.keys():
-                    cache[r] = b"".join(map(ids_of, find(r)))
-                made = [b"".join(map(cache.__getitem__, parts)) for parts in split]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, 1).flatten(), pa.array(made, pa.binary())], ["id", "ids"])
-
-    stretches = plain.mapInArrow(
-        others, f"id array<{kind}>, text array<string>, words array<binary>, firsts array<array<bigint>>")
-    folded = stretches.select("id", "text", "words", F.transform("firsts", merges.merged).alias("merged"))
+                at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(merged), np.int64)))).tolist()
+                names = part.column("words").flatten().to_pylist()
+                known.update((w.decode(), raw[a:b]) for w, a, b in zip(names, at[:-1], at[1:]))
+                for rows in chunks(part, "text", stretch_bytes):
+                    split = [runs(t or "") for t in rows.column("text").to_pylist()]
+                    here: set[str] = set()
+                    for parts in split:
+                        here.update(parts)
+                    if len(cache) > KNOWN_RUNS:
+                        cache.clear()
+                    for r in here - cache.keys():
+                        cache[r] = b"".join(map(ids_of, find(r)))
+                    made = [b"".join(map(cache.__getitem__, parts)) for parts in split]
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(made, pa.binary())], ["id", "ids"])
+
+    rows = plain.mapInArrow(name_words, f"id {kind}, text string, anew boolean, "
+                                        "words array<binary>, firsts array<array<bigint>>")
+    folded = rows.select("id", "text", "anew", "words", F.transform("firsts", merges.merged).alias("merged"))
     return folded.mapInArrow(put_together, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
