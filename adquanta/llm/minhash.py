@@ -127,42 +127,45 @@ def spanning_links(keys: np.ndarray, bounds: np.ndarray, side: np.ndarray, perce
     only pairs that look similar and are not joined yet are then confirmed.
     """
     n = len(bounds) - 1
+    sets = [keys[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    sizes = np.diff(bounds)
     bins = (signatures(keys, bounds) & np.uint64(255)).astype(np.uint8)
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links: list[tuple[int, int]] = []
-
-    def confirm(i: int, j: int) -> None:
-        one, two = keys[bounds[i]:bounds[i + 1]], keys[bounds[j]:bounds[j + 1]]
-        both = _overlap(one, two)
-        if 100 * both >= percent * (len(one) + len(two) - both):
-            parent[find(i)] = find(j)
-            links.append((i, j))
-
     counts = np.zeros((BINS, 256), np.int64)
     np.add.at(counts, (np.arange(BINS), bins), 1)
     hub = int(counts[np.arange(BINS), bins].sum(1).argmax())
-    for i in range(n):
-        if i != hub:
-            confirm(i, hub)
-    cross = side.any() and not side.all()
-    number = np.arange(n)
-    root = np.array([find(j) for j in range(n)])
+    # Which of the hub's members each set has, as bits, and how many others it has.
+    shared = np.zeros((n, -(-len(sets[hub]) // 64) * 8), np.uint8)
+    for i, one in enumerate(sets):
+        at = np.searchsorted(sets[hub], one)
+        at[at == len(sets[hub])] = 0
+        has = np.zeros(len(sets[hub]), bool)
+        has[at[sets[hub][at] == one]] = True
+        bits = np.packbits(has)
+        shared[i, :len(bits)] = bits
+    shared = shared.view(np.uint64)
+    both = np.bitwise_count(shared).sum(1, dtype=np.int64)
+    others = sizes - both
+    root = np.arange(n)
+    links = [(i, hub) for i in np.flatnonzero(
+        100 * both >= percent * (sizes + sizes[hub] - both)).tolist() if i != hub]
+    root[[i for i, _ in links]] = hub
+    number, cross = np.arange(n), side.any() and not side.all()
     for i in range(n):
         later = np.flatnonzero((root != root[i]) & (number > i) & ((side != side[i]) | (not cross)))
-        near = later[(bins[later] == bins[i]).mean(1) >= LEAST_AGREEMENT] if len(later) else later
-        before = len(links)
-        for j in near.tolist():
-            if find(i) != find(j):
-                confirm(i, j)
-        if len(links) > before:
-            root = np.array([find(j) for j in range(n)])
+        if not len(later):
+            continue
+        # At most the common members of the hub and all of the smaller rest are shared.
+        most = np.bitwise_count(shared[later] & shared[i]).sum(1, dtype=np.int64) \
+            + np.minimum(others[later], others[i])
+        later = later[100 * most >= percent * (sizes[later] + sizes[i] - most)]
+        later = later[(bins[later] == bins[i]).mean(1) >= LEAST_AGREEMENT] if len(later) else later
+        for j in later.tolist():
+            if root[i] == root[j]:
+                continue
+            common = _overlap(sets[i], sets[j])
+            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                root[root == root[j]] = root[i]
+                links.append((i, j))
     return links
 
 
