@@ -23,7 +23,7 @@ from .words import Words, chunks, cover, kept_text, mix, powers, signed, split_w
 
 SHARD_BYTES = 2 << 20
 # A minimiser with more segments is dealt out by whole windows in place of itself.
-HOT = 2_000
+HOT = 20_000
 
 # (words, word hashes, minimiser word of each piece, copies of each piece, window)
 # -> for each word number whether the window that starts there repeats.
