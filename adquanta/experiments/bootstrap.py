@@ -199,11 +199,12 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
 
     A replicate's median is a value of the sample whose rank is a few square
     roots of n from the middle. A sketch proposes an interval of ``width``
-    such steps on both sides for each arm; one pass adds up each replicate's
-    weight below it and in all; then only the rows inside, whose number grows
-    with the square root of n, meet per arm, and their running weights give
-    the medians. An interval that misses a median of any replicate is noticed
-    and doubled.
+    such steps on both sides for each arm. One pass adds up each replicate's
+    weight below it, in all, and at the few values inside that more rows share
+    than half the interval should hold. Then these sums and the other rows
+    inside, whose number grows with the square root of n however many are tied,
+    meet per arm, and their running weights give the medians. An interval that
+    misses a median of any replicate is noticed and doubled.
     """
     keys = ["experiment", "metric", "arm"]
     arms = long.groupBy(*keys).count().collect()  # as many as the specs declare
@@ -218,17 +219,30 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
             F.when(here, F.col("value")), F.array(F.lit(0.5 - away), F.lit(0.5 + away)),
             F.lit(math.ceil(10 * math.sqrt(arm["count"])))).alias(f"_{i}"))
     ends = long.agg(*sketches).first()
-    bounds = long.sparkSession.createDataFrame(
-        [(a["experiment"], a["metric"], a["arm"], *ends[i]) for i, a in enumerate(arms)],
-        "experiment string, metric string, arm string, lower double, upper double")
+    spark = long.sparkSession
+    bounds = spark.createDataFrame(
+        [(a["experiment"], a["metric"], a["arm"], *ends[i], math.ceil(width * math.sqrt(a["count"])))
+         for i, a in enumerate(arms)],
+        "experiment string, metric string, arm string, lower double, upper double, many bigint")
     # One row per arm of a declared hypothesis.
     placed = long.select(*keys, "row_id", "value").join(F.broadcast(bounds), keys)
+    within = F.col("value").between(F.col("lower"), F.col("upper"))
+    # About 2 * many rows lie between the ends, so an arm has a few such values at most.
+    ties: dict[tuple, list[float]] = {tuple(a[k] for k in keys): [] for a in arms}
+    for r in placed.where(within).groupBy(*keys, "value", "many").count().where("count > many").collect():
+        ties[tuple(r[k] for k in keys)].append(r["value"])
+    listed = spark.createDataFrame(
+        [(*arm, values) for arm, values in ties.items()],
+        "experiment string, metric string, arm string, ties array<double>")
+    # The place of a row's value among the tied ones of its arm, from 1; 0 for other values.
+    placed = placed.join(F.broadcast(listed), keys).withColumn(
+        "tie", F.array_position("ties", F.col("value")))
     total = weighted_sums(
-        placed.select(*keys, "row_id", F.lit(1.0).alias("total"),
+        placed.select(*keys, "tie", "row_id", F.lit(1.0).alias("total"),
                       (F.col("value") < F.col("lower")).cast("double").alias("skip")),
-        keys, ["total", "skip"], replicates, seed=seed).where(F.col("total") > 0)
+        [*keys, "tie"], ["total", "skip"], replicates, seed=seed)
     x, y = row_numbers("row_id")
-    inside = placed.where(F.col("value").between(F.col("lower"), F.col("upper"))).select(
+    inside = placed.where(within & (F.col("tie") == 0)).select(
         *keys, "value", x.alias("_x"), y.alias("_y"))
     draw = _drawer(replicates, seed)
 
@@ -236,17 +250,32 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
         rows = rows.sort_values("value")
         value = rows["value"].to_numpy()
         px, py = rows["_x"].to_numpy(np.int64), rows["_y"].to_numpy(np.int64)
-        sums = sums.sort_values("replicate")
-        rank = (sums["total"].to_numpy() - 1) / 2
-        skip, which = sums["skip"].to_numpy(), sums["replicate"].to_numpy()
-        upto, found = skip.copy(), np.full((2, len(sums)), np.nan)
+        weights = sums.pivot(index="replicate", columns="tie", values="total").fillna(0.0).sort_index()
+        weights = weights[weights.sum(axis=1) > 0]
+        which = weights.index.to_numpy()
+        rank = (weights.sum(axis=1).to_numpy() - 1) / 2
+        skip = sums.groupby("replicate")["skip"].sum().loc[which].to_numpy()
         step = max(1, 4_000_000 // replicates)
-        for i in range(0, len(value), step):
-            running = upto + np.cumsum(draw(px[i:i + step], py[i:i + step])[:, which], axis=0)
+
+        def blocks():
+            """Values in ascending order with their weights in each replicate."""
+            low = 0
+            for tied, place in sorted((v, i + 1) for i, v in enumerate(ties[arm])) + [(math.inf, 0)]:
+                high = np.searchsorted(value, tied) if place else len(value)
+                for i in range(low, high, step):
+                    to = min(i + step, high)
+                    yield value[i:to], draw(px[i:to], py[i:to])[:, which]
+                if place:
+                    yield np.array([tied]), weights[place].to_numpy()[None, :]
+                low = high
+
+        upto, found = skip.copy(), np.full((2, len(which)), np.nan)
+        for here, weight in blocks():
+            running = upto + np.cumsum(weight, axis=0)
             for end, wanted in enumerate((np.floor(rank), np.ceil(rank))):
                 at = (running <= wanted).sum(0)  # rows before the wanted rank
                 hit = np.isnan(found[end]) & (at < len(running)) & (wanted >= skip)
-                found[end][hit] = value[i + at[hit]]
+                found[end][hit] = here[at[hit]]
             upto = running[-1]
         return pd.DataFrame({"experiment": arm[0], "metric": arm[1], "arm": arm[2],
                              "replicate": which, "stat": found.mean(0)})

@@ -246,6 +246,40 @@ def test_medians_per_replicate(spark, campaigns, width):
     assert all(got[k] == pytest.approx(np.median(v)) for k, v in copies.items())
 
 
+def test_medians_of_tied_rows_send_sums(spark, monkeypatch):
+    """Of five distinct values only the sums of their weights meet, however many rows share one."""
+    from adquanta.experiments import bootstrap
+
+    rng = random.Random(4)
+    # A third of the rows share one value; a second metric has no ties.
+    values = {"tied": [rng.choice([1.0, 2.0, 3.0, 3.0, 4.0, 5.0]) for _ in range(6000)],
+              "free": [rng.random() for _ in range(600)],
+              "both": [rng.choice([-0.0, 0.0, rng.gauss(0, 1)]) for _ in range(3000)]}
+    long = spark.createDataFrame(
+        [("e", m, "ab"[i % 2], f"{m}{i}", v) for m, vs in values.items() for i, v in enumerate(vs)],
+        "experiment string, metric string, arm string, row_id string, value double").repartition(5)
+    drawn = spark.sparkContext.accumulator(0)
+    real = bootstrap._drawer
+
+    def counting(replicates, seed):
+        draw = real(replicates, seed)
+
+        def counted(x, y):
+            drawn.add(len(x))
+            return draw(x, y)
+        return counted
+
+    want = {}
+    for r in replicated(long, 30).collect():
+        want.setdefault((r.metric, r.arm, r.replicate), []).extend([r.value] * r.weight)
+    monkeypatch.setattr(bootstrap, "_drawer", counting)
+    got = {(r.metric, r.arm, r.replicate): r.stat for r in replicate_medians(long, 30).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(np.median(v)) for k, v in want.items())
+    # All rows are drawn once for the sums; of 6000 tied and 2000 rows at zero none is drawn again.
+    assert drawn.value - 9600 < 2500
+
+
 def test_statistic_as_a_callable(spark, campaigns):
     rows = members(campaigns, SPECS)
 
