@@ -130,9 +130,20 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str],
 
 
 def pivot_sum(df: DataFrame, row: str, column: str, values: Sequence[str], measure: str,
-              fill: float | None = 0.0) -> DataFrame:
-    """Cross table of sums; the listed values become columns."""
-    out = df.groupBy(row).pivot(column, list(values)).agg(F.sum(measure))
+              fill: float | None = 0.0, other: str | None = None) -> DataFrame:
+    """Cross table of sums; the listed values become columns.
+
+    With ``other`` a column of that name sums the rows whose value is null or
+    not listed, so that the columns of a row add up to its whole sum.
+    """
+    names = list(values)
+    if other is not None:
+        if other in names:
+            raise ValueError(f"{other!r} is one of the listed values")
+        listed = F.coalesce(F.col(column).isin(names), F.lit(False))
+        df = df.select(row, F.when(listed, F.col(column)).otherwise(F.lit(other)).alias(column), measure)
+        names.append(other)
+    out = df.groupBy(row).pivot(column, names).agg(F.sum(measure))
     if fill is None:
         return out
     names = [c for c in out.columns if c != row]

@@ -405,6 +405,19 @@ def pivot_over(df):
         "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in PLATFORMS])
 
 
+@query(f"""WITH {CAMPAIGNS}
+SELECT advertiser, """ + ", ".join(
+    r(f"coalesce(sum(revenue) FILTER (platform = '{p}'), 0)", 2) + f" AS {_pivot_name(p)}"
+    for p in PLATFORMS) + ", " + r("coalesce(sum(revenue) FILTER (platform IS NULL OR platform NOT IN ("
+    + ", ".join(f"'{p}'" for p in PLATFORMS) + ")), 0)", 2)
+    + " AS revenue_other FROM campaigns GROUP BY advertiser")
+def pivot_revenue_whole(spark, sf_dir):
+    """With a column for null and unlisted platforms: a row adds up to the advertiser's revenue."""
+    wide = kpis.pivot_sum(campaigns(spark, sf_dir), "advertiser", "platform", PLATFORMS, "revenue", other="other")
+    return wide.select(
+        "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in (*PLATFORMS, "other")])
+
+
 @query(f"""WITH {CAMPAIGNS}
 SELECT p, {r('q', 6)} AS roas FROM (
   SELECT unnest([0.25, 0.5, 0.75, 0.95]) AS p,

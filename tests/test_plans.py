@@ -65,3 +65,23 @@ def test_pivot_sums_equal_group_sums(spark, sf_dir):
     rows = {r.advertiser: sum(r[c] for c in wide.columns if c != "advertiser") for r in wide.collect()}
     sums = df.where("platform is not null").groupBy("advertiser").agg(F.sum("revenue").alias("s"))
     assert rows == pytest.approx({r.advertiser: r.s for r in sums.collect()})
+
+
+def test_whole_pivot_keeps_all_revenue(spark):
+    from adquanta.operators.kpis import pivot_sum
+
+    rows = [("x", "A", 1.0), ("x", None, 2.0), ("x", "Z", 4.0), ("y", None, 8.0), (None, "A", 16.0), ("w", "A", 32.0)]
+    df = spark.createDataFrame(rows, "advertiser string, platform string, revenue double")
+    got = {tuple(r) for r in pivot_sum(df, "advertiser", "platform", ["A"], "revenue", other="rest").collect()}
+    assert got == {("x", 1.0, 6.0), ("y", 0.0, 8.0), (None, 16.0, 0.0), ("w", 32.0, 0.0)}
+    with pytest.raises(ValueError):
+        pivot_sum(df, "advertiser", "platform", ["A"], "revenue", other="A")
+
+
+def test_whole_pivot_adds_up_to_the_revenue(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    wide = app.queries()["pivot_revenue_whole"](spark, sf_dir)
+    rows = {r.advertiser: sum(r[c] for c in wide.columns if c != "advertiser") for r in wide.collect()}
+    sums = campaigns(spark, sf_dir).groupBy("advertiser").agg(F.sum("revenue").alias("s"))
+    assert rows == pytest.approx({r.advertiser: r.s for r in sums.collect()})
