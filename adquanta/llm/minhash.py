@@ -25,8 +25,6 @@ SHINGLE = 5
 BANDS, ROWS = 48, 4   # at similarity 0.75 a pair misses all bands with chance 1e-8
 BINS = BANDS * ROWS
 PERCENT = 75
-# Below this share of equal bins (deviation 0.03) a pair of similarity 0.75 is out of reach.
-LEAST_AGREEMENT = 0.58
 BLOCK = 4_096            # candidates of a centre that are compared in one place
 BUNDLE_BYTES = 4 << 20   # text of small groups that share a task's call
 
@@ -108,23 +106,14 @@ def _sketch(docs: DataFrame) -> DataFrame:
         run, f"row bigint, id {kind}, n bigint, node bigint, bands array<bigint>, bins binary")
 
 
-def _overlap(one: np.ndarray, two: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(one) > len(two):
-        one, two = two, one
-    if not len(one):
-        return 0
-    at = np.searchsorted(two, one)
-    at[at == len(two)] = 0
-    return int((two[at] == one).sum())
-
-
 def spanning_links(keys: np.ndarray, bounds: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join whatever confirmed links join among these sets.
 
     With two sides (0 and 1) links within a side are somebody else's business.
-    All sets are compared with the one nearest to the commonest values first;
-    only pairs that look similar and are not joined yet are then confirmed.
+    All sets are compared with the one nearest to the commonest values first.
+    Of the others, all pairs that are not joined yet are counted exactly unless
+    their sizes and the hub's members rule them out; signatures never do, as in
+    small sets one member can fill most bins.
     """
     n = len(bounds) - 1
     sets = [keys[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -145,6 +134,14 @@ def spanning_links(keys: np.ndarray, bounds: np.ndarray, side: np.ndarray, perce
     shared = shared.view(np.uint64)
     both = np.bitwise_count(shared).sum(1, dtype=np.int64)
     others = sizes - both
+    # Members that the hub lacks, numbered, and the sets that have each.
+    owner = np.repeat(np.arange(n), sizes)
+    rest = ~np.isin(keys, sets[hub])
+    names, member = np.unique(keys[rest], return_inverse=True)
+    spans = np.concatenate(([0], np.cumsum(others)))
+    order = np.argsort(member, kind="stable")
+    having = owner[rest][order]
+    starts = np.searchsorted(member[order], np.arange(len(names) + 1))
     root = np.arange(n)
     links = [(i, hub) for i in np.flatnonzero(
         100 * both >= percent * (sizes + sizes[hub] - both)).tolist() if i != hub]
@@ -155,20 +152,31 @@ def spanning_links(keys: np.ndarray, bounds: np.ndarray, side: np.ndarray, perce
         if not len(later):
             continue
         # At most the common members of the hub and all of the smaller rest are shared.
-        most = np.bitwise_count(shared[later] & shared[i]).sum(1, dtype=np.int64) \
-            + np.minimum(others[later], others[i])
-        later = later[100 * most >= percent * (sizes[later] + sizes[i] - most)]
-        later = later[(bins[later] == bins[i]).mean(1) >= LEAST_AGREEMENT] if len(later) else later
-        for j in later.tolist():
-            if root[i] == root[j]:
-                continue
-            common = _overlap(sets[i], sets[j])
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+        of_hub = np.bitwise_count(shared[later] & shared[i]).sum(1, dtype=np.int64)
+        most = of_hub + np.minimum(others[later], others[i])
+        open_ = 100 * most >= percent * (sizes[later] + sizes[i] - most)
+        later, of_hub = later[open_], of_hub[open_]
+        if not len(later):
+            continue
+        common = of_hub + _counts(having, starts, member[spans[i]:spans[i + 1]], n)[later]
+        for j in later[100 * common >= percent * (sizes[later] + sizes[i] - common)].tolist():
+            if root[i] != root[j]:
                 root[root == root[j]] = root[i]
                 links.append((i, j))
     return links
 
 
+def _counts(having: np.ndarray, starts: np.ndarray, members: np.ndarray, n: int) -> np.ndarray:
+    """How many of some members each of n sets has."""
+    total = np.zeros(n, np.int64)
+    for part in np.array_split(members, max(1, -(-int((starts[members + 1] - starts[members]).sum()) // 4_000_000))):
+        lengths = starts[part + 1] - starts[part]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[part] - ends + lengths, lengths)
+        total += np.bincount(having[at], minlength=n)
+    return total
+
+
 def near_links(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) between the nodes of a sketch, enough to join each class.
 

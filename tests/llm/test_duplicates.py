@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adquanta.llm import exact, fm_index, minhash, suffixes
 from adquanta.llm.components import connected
 from adquanta.llm.fm_index import FMIndex
+from adquanta.llm.words import split_words
 from adquanta.session import stage
 
 import brute
@@ -130,6 +132,46 @@ def test_near_links_that_no_centre_has(spark):
     assert [got[d] for d, _ in pairs] == want
 
 
+def spanned(texts):
+    """Pairs that spanning_links joins, and those of all pairs on full sets."""
+    keys, bounds = minhash.shingle_sets(split_words(pa.array(texts)))
+    links = minhash.spanning_links(keys, bounds, np.zeros(len(texts), np.int64), 75)
+    sets = [set(keys[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    return tuple(merged(len(texts), p) for p in (links, pairs))
+
+
+def merged(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+def test_pairs_of_short_sets_beside_a_hub():
+    """Three of four shingles in common and fewer than 58% of the bins: 13 such seeds in 60000."""
+    for seed in (752, 2040, 11851, 16066, 18106):
+        rng = random.Random(seed)
+        ws = [f"w{rng.randint(0, 10**9)}" for _ in range(8)]
+        hub = [f"h{i}" for i in range(60)]
+        got, want = spanned([" ".join(x) for x in (ws[:7], ws, hub, hub[1:])])
+        assert got == want == [0, 0, 2, 2]
+
+
+def test_chains_of_short_texts():
+    """Three members of 5 to 16 words, and many sets that meet without a link."""
+    rng = random.Random(9)
+    for _ in range(40):
+        ws = [f"w{rng.randint(0, 30)}" for _ in range(18)]
+        texts = []
+        for _ in range(rng.choice([1, 12])):
+            at, n = rng.randint(0, 2), rng.randint(5, 16)
+            texts += [" ".join(ws[at:at + n + i]) for i in range(3)]
+        got, want = spanned(texts)
+        assert got == want
+
+
 def test_blocks_of_a_large_family_meet(docs):
     """Candidates of a centre dealt into pairs of blocks give the same classes as all in one place."""
     rows = docs.selectExpr("xxhash64(doc_id, text) row", "doc_id id", "text")
