@@ -58,14 +58,17 @@ def _fed(spark, rows, time, start, parts=3):
     """Feed a table to a stream in slices of time.
 
     After each slice the query runs to the end of its input and stops, so that
-    its state passes from batch to batch and over restarts.
+    its state passes from batch to batch and over restarts. Rows without a time
+    are in the first slice.
     """
     source = fresh_path(spark, "source")
     seconds = F.col(time).cast("timestamp").cast("double")
     cuts = rows.select(seconds.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.where(seconds >= low)
-        part = part if high is None else part.where(seconds < high)
+        if high is not None:
+            early = seconds < high
+            part = part.where(early | seconds.isNull() if low is None else early)
         part.write.mode("append").parquet(source)
         run.finish(start(topics.file_topic(spark, source, rows.schema)))
 

@@ -255,3 +255,15 @@ def test_old_versions_are_pruned(spark, files, events):
     assert len(kept) == 2
     assert rows_of(run.running_funnel(spark, path), "advertiser", "events", "roas") == rows_of(
         funnel_report(events, "advertiser"), "advertiser", "events", "roas")
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_slices_hold_every_row(spark, events, timed):
+    """Rows without a time too, be they some or all."""
+    from adquanta.plans.events import _fed
+
+    missing = (F.col("event_id") % 7 == 0) if timed else F.lit(True)
+    rows = events.withColumn("ts", F.when(~missing, F.col("ts")))
+    sink = fresh_path(spark, "slices")
+    _fed(spark, rows, "ts", lambda stream: run.start_ingest(stream, sink))
+    assert rows_of(run.ingested(spark, sink), *rows.columns) == rows_of(rows, *rows.columns)
