@@ -12,6 +12,7 @@ from .exact import exact_duplicates
 from .fm_index import remove_substrings
 from .minhash import near_duplicates
 from .packing import pack
+from .phrases import mine_phrases
 from .rules import apply_rules
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
@@ -150,3 +151,36 @@ def op9_quality_classifier(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     """Every document without the words of windows of 50 words that occur twice."""
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query(f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM split GROUP BY lang),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+runs AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM spots, range(1, 6) t(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS c, string_split(phrase, ' ') AS ws FROM runs GROUP BY lang, k, phrase
+      HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, k, phrase, c, ws, j, array_to_string(ws[:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp
+  FROM f, range(1, 5) t(j) WHERE k > 1 AND j < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.c AS a, j, x.c AS l, y.c AS r, n,
+         1000::HUGEINT * cuts.c::HUGEINT * n::HUGEINT // (x.c::HUGEINT * y.c::HUGEINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp
+  JOIN totals t ON t.lang = cuts.lang),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(c) AS longer
+  FROM f, range(2, 5) a(m), range(1, 5) b(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+""")
+def op11_phrases(spark, sf_dir):
+    """The best phrases of every language."""
+    return mine_phrases(table(spark, sf_dir, "documents"))
