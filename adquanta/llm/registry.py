@@ -13,6 +13,7 @@ from .fm_index import remove_substrings
 from .minhash import near_duplicates
 from .packing import pack
 from .phrases import mine_phrases
+from .resample import resample
 from .rules import apply_rules
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
@@ -184,3 +185,54 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 def op11_phrases(spark, sf_dir):
     """The best phrases of every language."""
     return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+# The generator of CRC-32, bits reversed.
+CRC = "3988292384"
+
+
+@query(f"""
+WITH texts AS (
+  SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT NULL, 1, text FROM benchmark),
+split AS (
+  SELECT row_number() OVER () AS row, doc_id, side,
+         list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws
+  FROM texts),
+spots AS (SELECT row, side, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+features AS (
+  SELECT row, side, array_to_string(ws[i:i + k - 1], ' ') AS f FROM spots, range(1, 4) t(k) WHERE i + k - 1 <= len(ws)),
+step AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * {CRC})) ORDER BY b) AS tab
+  FROM (SELECT unnest(range(256)) AS b)),
+bytes AS (
+  SELECT f, list_transform(string_split(trim(regexp_replace(hex(encode(f)), '(..)', '\\1 ', 'g')), ' '),
+    lambda x: 16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1) AS bs
+  FROM (SELECT DISTINCT f FROM features)),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])),
+                4294967295) % 10000 AS b FROM bytes, step),
+counts AS (
+  SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM features JOIN buckets USING (f) GROUP BY b),
+sums AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)::DOUBLE)
+                                 / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts, sums),
+weights AS (
+  SELECT row, count(*) AS n_features, sum(gain) AS weight
+  FROM features JOIN buckets USING (f) JOIN gains USING (b) WHERE side = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+           CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (row) WHERE side = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight,
+       CAST(score AS BIGINT) AS score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+""")
+def op12_resample(spark, sf_dir):
+    """A draw of five in a hundred documents whose features look like the benchmark's."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
