@@ -15,6 +15,7 @@ from .packing import pack
 from .phrases import mine_phrases
 from .resample import resample
 from .rules import apply_rules
+from .simhash import simhash_duplicates
 from .suffixes import remove_repeats
 from .toxicity import toxicity_scores
 from .urls import filter_urls
@@ -236,3 +237,9 @@ FROM scored LEFT JOIN ranked USING (doc_id)
 def op12_resample(spark, sf_dir):
     """A draw of five in a hundred documents whose features look like the benchmark's."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_simhash(spark, sf_dir):
+    """Fingerprints of all documents and the classes that links of two bits or fewer make."""
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
