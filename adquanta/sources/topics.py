@@ -28,15 +28,21 @@ def kafka_topic(spark: SparkSession, servers: str, topic: str,
 
 def file_topic(spark: SparkSession, path: str, schema: StructType,
                files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Stream of the files at a path, either one file or a folder of files."""
+    """Stream of the files at a path, either one file or a folder of files.
+
+    Spark's file stream takes a path for a pattern, and under a folder whose own
+    name holds pattern characters it lists every file several times, however
+    they are escaped. Such paths raise an error in place of repeated rows.
+    """
+    path = path.rstrip("/")
+    if any(c in "*?[]{}\\" for c in path):
+        raise ValueError(f"a stream of files cannot be read from a path with pattern characters: {path!r}")
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     # A pattern that matches the path itself also accepts a single file.
-    path = path.rstrip("/")
-    special = "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in path[:-1])
-    last = f"\\{path[-1]}" if path[-1] in "]\\^-" else path[-1]
-    return reader.load(f"{special}[{last}]")
+    last = f"\\{path[-1]}" if path[-1] in "^-" else path[-1]
+    return reader.load(f"{path[:-1]}[{last}]")
 
 
 def to_envelope(events: DataFrame, key: str, fields: list[str], partition: Column,

@@ -88,8 +88,8 @@ def test_source_names_of_money_are_read(spark):
     assert got == [(5000.5, 300.25), (1.5, 2.5)]
 
 
-@pytest.mark.parametrize("name", ["plain", "odd[1]", "star*", "end]"])
-def test_file_topic_takes_any_path(spark, tmp_path, name):
+@pytest.mark.parametrize("name", ["plain", "dash-", "hat^", "sp ace"])
+def test_file_topic_takes_folders(spark, tmp_path, name):
     spark.range(3).write.parquet(str(tmp_path / name))
     for path in (f"{tmp_path}/{name}", f"{tmp_path}/{name}/"):
         stream = topics.file_topic(spark, path, spark.range(1).schema)
@@ -97,3 +97,10 @@ def test_file_topic_takes_any_path(spark, tmp_path, name):
             .trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table("taken").count() == 3
+
+
+@pytest.mark.parametrize("name", ["odd[1]", "star*", "end]", "a?b", "x{1}", "back\\slash"])
+def test_file_topic_refuses_pattern_characters(spark, tmp_path, name):
+    """Spark would read each file there several times."""
+    with pytest.raises(ValueError, match="pattern characters"):
+        topics.file_topic(spark, f"{tmp_path}/{name}", spark.range(1).schema)
