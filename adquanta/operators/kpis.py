@@ -150,6 +150,34 @@ def pivot_sum(df: DataFrame, row: str, column: str, values: Sequence[str], measu
     return out.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(fill)).alias(c) for c in names])
 
 
+def common_values(df: DataFrame, column: str, k: int) -> list:
+    """The ``k`` commonest values, ties in their order; two passes at any number of values.
+
+    A bounded sketch proposes candidates: every value of more than a share of
+    1 / (8k) of the rows is among them. They are then counted exactly. If fewer
+    than ``k`` of them pass that share, rarer values could be among the first
+    ``k``, and all values are counted.
+    """
+    n = df.count()
+    if not n:
+        return []
+    proposed = df.stat.freqItems([column], 1 / (8 * k)).first()[0]
+    known = F.col(column).isin(proposed) if proposed else F.lit(False)
+    counts = df.where(known).groupBy(column).count().orderBy(F.desc("count"), column).limit(k + 1).collect()
+    if sum(row["count"] > n / (8 * k) for row in counts) < k:
+        counts = df.where(F.col(column).isNotNull()).groupBy(column).count() \
+            .orderBy(F.desc("count"), column).limit(k).collect()
+    return [row[column] for row in counts[:k]]
+
+
+def pivot_sum_common(df: DataFrame, row: str, column: str, measure: str, k: int, other: str) -> DataFrame:
+    """Cross table of sums over the ``k`` commonest values of a column; ``other`` holds the rest.
+
+    Columns come from the data, and none of its sum is lost. A cell without rows is null.
+    """
+    return pivot_sum(df, row, column, common_values(df, column, k), measure, None, other)
+
+
 def three_key_report(df: DataFrame, keys: Sequence[str] = ("advertiser", "platform", "target_age"),
                      count: str = "ad_id") -> DataFrame:
     """Seven measures per key combination."""

@@ -391,33 +391,47 @@ def _pivot_name(platform: str) -> str:
     return "revenue_" + platform.replace(",", "_").lower()
 
 
-@query(f"""WITH {CAMPAIGNS}
+_PIVOT = f"""WITH {CAMPAIGNS}
 SELECT advertiser, """ + ", ".join(
     r(f"coalesce(sum(revenue) FILTER (platform = '{p}'), 0)", 2) + f" AS {_pivot_name(p)}"
-    for p in PLATFORMS) + " FROM campaigns GROUP BY advertiser")
+    for p in PLATFORMS) + ", " + r("coalesce(sum(revenue) FILTER (platform IS NULL OR platform NOT IN ("
+    + ", ".join(f"'{p}'" for p in PLATFORMS) + ")), 0)", 2) + " AS revenue_other FROM campaigns GROUP BY advertiser"
+
+
+@query(_PIVOT)
 def pivot_revenue(spark, sf_dir):
+    """Revenue per platform, with a column for null and unlisted ones: a row adds up to the advertiser's revenue."""
     return pivot_over(campaigns(spark, sf_dir))
 
 
 def pivot_over(df):
-    wide = kpis.pivot_sum(df, "advertiser", "platform", PLATFORMS, "revenue")
+    wide = kpis.pivot_sum(df, "advertiser", "platform", PLATFORMS, "revenue", other="other")
     return wide.select(
-        "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in PLATFORMS])
+        "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in (*PLATFORMS, "other")])
 
 
-@query(f"""WITH {CAMPAIGNS}
-SELECT advertiser, """ + ", ".join(
-    r(f"coalesce(sum(revenue) FILTER (platform = '{p}'), 0)", 2) + f" AS {_pivot_name(p)}"
-    for p in PLATFORMS) + ", " + r("coalesce(sum(revenue) FILTER (platform IS NULL OR platform NOT IN ("
-    + ", ".join(f"'{p}'" for p in PLATFORMS) + ")), 0)", 2)
-    + " AS revenue_other FROM campaigns GROUP BY advertiser")
+@query(_PIVOT)
 def pivot_revenue_whole(spark, sf_dir):
-    """With a column for null and unlisted platforms: a row adds up to the advertiser's revenue."""
+    """The same, from the operator's call."""
     wide = kpis.pivot_sum(campaigns(spark, sf_dir), "advertiser", "platform", PLATFORMS, "revenue", other="other")
     return wide.select(
         "advertiser", *[F.round(F.col(f"`{p}`"), 2).alias(_pivot_name(p)) for p in (*PLATFORMS, "other")])
 
 
+@query(f"""WITH {CAMPAIGNS},
+named AS (SELECT advertiser, coalesce(platform, '(none)') AS platform, revenue FROM campaigns),
+top AS (SELECT platform FROM named GROUP BY platform ORDER BY count(*) DESC, platform LIMIT 4)
+SELECT advertiser, CASE WHEN platform IN (SELECT platform FROM top) THEN platform ELSE '(other)' END AS platform,
+       {r('sum(revenue)', 2)} AS revenue
+FROM named GROUP BY 1, 2""")
+def pivot_revenue_common(spark, sf_dir):
+    """Columns from the data: the four commonest platforms and the rest, as rows again."""
+    named = campaigns(spark, sf_dir).select("advertiser", F.coalesce("platform", F.lit("(none)")).alias("platform"), "revenue")
+    wide = kpis.pivot_sum_common(stage(named, "named"), "advertiser", "platform", "revenue", 4, "(other)")
+    long = wide.unpivot(["advertiser"], [c for c in wide.columns if c != "advertiser"], "platform", "revenue")
+    return rounded(long.where(F.col("revenue").isNotNull()), {"revenue": 2})
+
+
 @query(f"""WITH {CAMPAIGNS}
 SELECT p, {r('q', 6)} AS roas FROM (
   SELECT unnest([0.25, 0.5, 0.75, 0.95]) AS p,
