@@ -24,6 +24,7 @@ from adquanta.experiments.spec import (
     samples,
     spec_table,
 )
+from adquanta.experiments.table_function import arm_rows, register_two_sample_test
 from adquanta.functions.features import relabel
 from adquanta.functions.labels import effect_text, strength
 from adquanta.session import stage
@@ -214,6 +215,20 @@ def ab_welch(spark, sf_dir):
                    {"t_statistic": 6, "welch_df": 4})
 
 
+@query(f"""WITH {MOMENTS}{P_VALUES.split(",\np_u AS")[0]}
+SELECT experiment, metric, n_a, n_b, {r('mean_a', 4)} AS mean_a, {r('mean_b', 4)} AS mean_b,
+       {r('cohens_d', 6)} AS cohens_d, {r('t_statistic', 6)} AS t_statistic, {r('welch_df', 4)} AS welch_df,
+       {r('p_value_ttest', 5)} AS p_value, p_value_ttest < 0.05 AS significant
+FROM eff JOIN p_t USING (experiment, metric)""")
+def ab_table_function(spark, sf_dir):
+    """Welch's test of all hypotheses, called from SQL as a table function."""
+    register_two_sample_test(spark)
+    base = campaigns(spark, sf_dir).select(*COLUMNS)
+    arms = arm_rows(samples(members(base, SPECS), SPECS), report.KEYS)
+    out = spark.sql("SELECT * FROM two_sample_test(TABLE({arms}), 0.05)", arms=arms)
+    return rounded(out, {"mean_a": 4, "mean_b": 4, "cohens_d": 6, "t_statistic": 6, "welch_df": 4, "p_value": 5})
+
+
 @query(f"""WITH {MOMENTS}{RANKS}
 SELECT experiment, metric, {r('u_statistic', 1)} AS u_statistic, {r('tie_term', 0)} AS tie_term,
        {r('u_z', 6)} AS u_z FROM u2""")
@@ -390,7 +405,7 @@ SELECT experiment AS advertiser, metric,
        {r('cohens_d', 3)} AS cohens_d, {EFFECT} AS effect_size, least(n_a, n_b) <= 3 AS small_sample,
        p_value_ttest < 0.05 AS significant,
        {r('-log10(greatest(' + r('p_value_ttest', 4) + ', 1e-10))', 4)} AS signif_log,
-       printf('d=%.2f %s', {r(r('cohens_d', 3), 2)}, {SHORT}) AS d_label
+       printf('d=%.2f %s', {r(r('cohens_d', 3), 2)}, {SHORT.replace('cohens_d', r('cohens_d', 3))}) AS d_label
 FROM eff JOIN p_t USING (experiment, metric) ORDER BY 1, 2""")
 def ab_by_advertiser(spark, sf_dir):
     """Single against multi-platform campaigns of each advertiser."""

@@ -378,3 +378,44 @@ def test_exact_u_has_no_largest_size(n_a):
     z = (n_a * n_b * 0.2 - 0.5) / math.sqrt(n_a * n_b * (n_a + n_b + 1) / 12)
     if n_a == 8:
         assert exact_u_two_sided(n_a * n_b * 0.3, n_a, n_b) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.01)
+
+
+def test_two_sample_test_from_sql(spark):
+    """The table function against the operators, with arms that are short, constant or missing."""
+    from adquanta.experiments.moments import arm_moments, with_effects
+    from adquanta.experiments.pvalues import welch_p
+    from adquanta.experiments.table_function import arm_rows, register_two_sample_test
+
+    register_two_sample_test(spark)
+    rng = random.Random(12)
+    rows = [(e, "m", arm, rng.gauss(5 if arm == "a" else 5.5, 2)) for e in ("x", "y", None) for arm in "ab" for _ in range(60)]
+    rows += [("flat", "m", "a", 1.0)] * 3 + [("flat", "m", "b", 1.0)] * 4 + [("apart", "m", "a", 2.0)] * 3
+    rows += [("apart", "m", "b", 1.0)] * 3 + [("one", "m", "a", 1.0)] + [("one", "m", "b", 2.0)] * 5
+    rows += [("alone", "m", "b", 2.0)] * 5 + [("x", "m", "a", None)]
+    long = spark.createDataFrame(rows, "experiment string, metric string, arm string, value double")
+    arms = arm_rows(long, ["experiment", "metric"])
+    got = {r.experiment: r for r in spark.sql("SELECT * FROM two_sample_test(TABLE({arms}))", arms=arms).collect()}
+    want = with_effects(arm_moments(long, ["experiment", "metric"])).withColumn("p", welch_p("t_statistic", "welch_df"))
+    assert len(got) == 7
+    for w in want.collect():
+        g = got[w.experiment]
+        assert (g.n_a, g.n_b, g.metric) == (w.n_a, w.n_b, "m")
+        if w.experiment in ("x", "y", None):
+            assert g.t_statistic == pytest.approx(w.t_statistic) and g.welch_df == pytest.approx(w.welch_df)
+            assert g.cohens_d == pytest.approx(w.cohens_d) and g.p_value == pytest.approx(w.p)
+            assert g.significant == (w.p < 0.05)
+    assert got["apart"].p_value == 0.0 and got["apart"].significant
+    assert got["one"].p_value is None and got["alone"].mean_a is None and not got["alone"].significant
+    assert got["flat"].cohens_d == 0.0 and not got["flat"].significant
+
+
+def test_two_sample_test_names_what_it_lacks(spark):
+    from pyspark.errors import AnalysisException
+
+    from adquanta.experiments.table_function import register_two_sample_test
+
+    register_two_sample_test(spark)
+    for text in ("SELECT * FROM two_sample_test(TABLE(SELECT 1 AS n))",
+                 "SELECT * FROM two_sample_test(TABLE(SELECT 'a' AS arm, 1 AS n, 1.0D AS mean, 1.0D AS std), 2)"):
+        with pytest.raises(AnalysisException):
+            spark.sql(text).collect()
