@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from adquanta.operators import sketches
+from adquanta.operators.joins import join_dimension
 from adquanta.schemas import AD_EVENT
 from adquanta.session import fresh_path, stage
 from adquanta.sources import topics
 from adquanta.sources.tables import ad_events, as_ad_events, table
 from adquanta.streaming import run
+from adquanta.streaming.alerts import fired_alerts, open_alerts, start_alerts
 from adquanta.streaming.funnel import (
     funnel_counters,
     funnel_report,
@@ -209,6 +213,64 @@ def alerts_last(spark, sf_dir):
     return last_alerts(alert_rows(windows, **LIMITS))
 
 
+# Sketches ----------------------------------------------------------------
+
+_POINTS = {"q25": 0.25, "q50": 0.5, "q95": 0.95}
+
+
+@query(f"""WITH {AD_EVENTS}
+SELECT advertiser, count(cost) AS n, true AS within_bound FROM ad_events GROUP BY advertiser""")
+def sketch_quantiles(spark, sf_dir):
+    """Daily sketches of costs merged per advertiser: are the quantiles' exact ranks within the bound?"""
+    rows = ad_events(spark, sf_dir).select("advertiser", F.to_date("ts").alias("day"), "cost")
+    daily = stage(sketches.quantile_sketches(rows, ["advertiser", "day"], "cost"), "sketches")
+    merged = sketches.merged_quantile_sketches(daily, ["advertiser"])
+    quantiles = stage(sketches.sketch_quantiles(merged, _POINTS).select("advertiser", *_POINTS), "quantiles")
+    checked = sketches.rank_errors(rows, quantiles, ["advertiser"], "cost", _POINTS)
+    # A sketch's bound is 0.017 at k = 200; merging keeps it.
+    return checked.select("advertiser", "n", (F.col("error") <= 0.03).alias("within_bound"))
+
+
+@query(f"""WITH {AD_EVENTS}
+SELECT a.advertiser, count(DISTINCT e.user_id) AS n_users, true AS within_bound
+FROM ad_events a JOIN events e USING (event_id) GROUP BY a.advertiser""")
+def sketch_distinct(spark, sf_dir):
+    """Daily sketches of users merged per advertiser, against exact counts."""
+    users = table(spark, sf_dir, "events").select("event_id", "user_id")
+    rows = as_ad_events(table(spark, sf_dir, "events")).select("event_id", "advertiser", F.to_date("ts").alias("day"))
+    rows = stage(rows.join(users, "event_id").select("advertiser", "day", "user_id"), "users")
+    daily = stage(sketches.distinct_sketches(rows, ["advertiser", "day"], "user_id"), "sketches")
+    merged = sketches.merged_distinct(daily, ["advertiser"])
+    exact = rows.groupBy("advertiser").agg(F.count_distinct("user_id").alias("n_users"))
+    off = F.abs(F.col("n_distinct") - F.col("n_users")) <= F.greatest(0.07 * F.col("n_users"), F.lit(1))
+    return join_dimension(exact, merged, ["advertiser"]).select("advertiser", "n_users", off.alias("within_bound"))
+
+
+@query("""
+WITH users AS (SELECT DISTINCT event_type, user_id FROM events)
+SELECT (SELECT count(*) FROM users WHERE event_type = 'click') AS n_one,
+       (SELECT count(*) FROM users WHERE event_type = 'purchase') AS n_two,
+       (SELECT count(*) FROM users a JOIN users b USING (user_id)
+        WHERE a.event_type = 'click' AND b.event_type = 'purchase') AS n_both, true AS within_bound""")
+def sketch_overlap(spark, sf_dir):
+    """Users who clicked, who bought, and who did both: sketches against exact counts."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id")
+    made = sketches.audience_sketches(rows, ["event_type"], "user_id")
+    side = lambda name: F.max(F.when(F.col("event_type") == name, F.col("sketch")))
+    both = made.agg(side("click").alias("one"), side("purchase").alias("two"))
+    guess = both.select(*[c.alias(f"_{n}") for n, c in sketches.overlap(F.col("one"), F.col("two")).items()])
+    per_user = rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("a"),
+                                           F.count_if(F.col("event_type") == "purchase").alias("b"))
+    exact = per_user.agg(F.count_if(F.col("a") > 0).alias("n_one"),
+                         F.count_if(F.col("b") > 0).alias("n_two"),
+                         F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("n_both"))
+    # One row each.
+    joined = exact.withColumn("_row", F.lit(1)).join(guess.withColumn("_row", F.lit(1)), "_row")
+    near = [F.abs(F.col(f"_{c}") - F.col(c)) <= 0.1 * F.greatest(F.col("n_one"), F.col("n_two"), F.lit(1))
+            for c in ("n_one", "n_two", "n_both")]
+    return joined.select("n_one", "n_two", "n_both", (near[0] & near[1] & near[2]).alias("within_bound"))
+
+
 # Event time --------------------------------------------------------------
 
 @query(f"""WITH {AD_EVENTS}
@@ -238,11 +300,52 @@ def _ends(windows):
 @query(f"""WITH {AD_EVENTS},
 w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, {_COUNTERS} FROM ad_events GROUP BY 1)
 SELECT strftime(s, '{_TIME}') AS window_start, strftime(s + INTERVAL 1 HOUR, '{_TIME}') AS window_end,
-       impressions, clicks, conversions, bounces, revenue, cost, events
-FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ad_events) - INTERVAL 10 MINUTE""")
+       impressions, clicks, conversions, bounces, revenue, cost, events,
+       s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ad_events) - INTERVAL 10 MINUTE AS closed
+FROM w""")
 def stream_tumbling_funnel(spark, sf_dir):
-    """Hourly windows that the watermark has closed by the end of the stream."""
+    """All hourly windows: those that the watermark has closed, and those in the state at the stream's end."""
     path = fresh_path(spark, "time-windows")
     _fed(spark, table(spark, sf_dir, "events"), "ts",
          lambda stream: run.start_time_windows(as_ad_events(stream), path, "1 hour"))
-    return rounded(_ends(run.ingested(spark, path)), _CENTS)
+    return rounded(_ends(run.all_time_windows(spark, path)), _CENTS)
+
+
+@query(f"""{_WINDOWS}
+SELECT *, row_number() OVER (PARTITION BY advertiser ORDER BY "window", type) AS number FROM fired""")
+def stream_alerts(spark, sf_dir):
+    """Alerts that a stream fires as windows fill, and those of the windows open at its end."""
+    path = fresh_path(spark, "alerts")
+    _fed(spark, table(spark, sf_dir, "events"), "ts",
+         lambda stream: start_alerts(as_ad_events(stream), path, ["advertiser"], SIZE, **LIMITS))
+    fired = fired_alerts(spark, path)
+    last = open_alerts(spark, path, ["advertiser"], **LIMITS)
+    # At most two alerts a key are open.
+    counts = fired.groupBy("advertiser").agg(F.max("number").alias("_before"))
+    place = F.row_number().over(Window.partitionBy("advertiser").orderBy("type"))
+    numbered = join_dimension(last, counts, ["advertiser"], "left").withColumn(
+        "number", place + F.coalesce("_before", F.lit(0))).drop("_before")
+    return fired.unionByName(numbered)
+
+
+@query("""SELECT count(*) AS input_rows, count(*) AS observed_rows,
+       count(*) FILTER (event_type = 'click') AS observed_clicks FROM events""")
+def stream_progress(spark, sf_dir):
+    """Rows and observed numbers of all batches, as a listener wrote them down."""
+    path = fresh_path(spark, "observed")
+    log = run.ProgressLog(spark, fresh_path(spark, "progress"))
+    spark.streams.addListener(log)
+    try:
+        def start(stream):
+            seen = stream.observe("seen", F.count("*").alias("rows"), F.count_if(F.col("event_type") == "click").alias("clicks"))
+            query = run.start_ingest(seen, path)
+            query.awaitTermination()
+            log.wait(query)
+            return query
+
+        _fed(spark, table(spark, sf_dir, "events"), "ts", start)
+    finally:
+        spark.streams.removeListener(log)
+    number = lambda c: F.coalesce(F.sum(F.col("observed")[c].cast("bigint")), F.lit(0))
+    return log.rows().agg(F.sum("input_rows").alias("input_rows"), number("rows").alias("observed_rows"),
+                          number("clicks").alias("observed_clicks"))

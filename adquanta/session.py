@@ -83,3 +83,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, wherever Spark keeps it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, wherever Spark keeps it; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []

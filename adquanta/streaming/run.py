@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from adquanta.operators.joins import join_dimension
 from adquanta.operators.positions import with_position
 from adquanta.session import remove_path
 
+from .batches import BatchTable
 from .funnel import COUNTERS, funnel_counters, time_windows, with_ratios
 from .windows import ORDER, WINDOW_SIZE, merge_windows, window_counts, with_window_ctr
 
@@ -63,6 +66,28 @@ def start_time_windows(events: DataFrame, path: str, size: str, slide: str | Non
     return start_ingest(windows, path, **trigger)
 
 
+def time_window_states(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Event-time windows that the stream under ``path`` still holds in its state.
+
+    Read from the state store of the last committed batch; the stream need not
+    run. Counters lie in the state in the order of the aggregate's columns.
+    """
+    held = spark.read.format("statestore").load(f"{path}/checkpoint")
+    long = ", ".join(f"{c} {'double' if c in ('revenue', 'cost') else 'bigint'}" for c in COUNTERS)
+    names = ", ".join(["window struct<start: timestamp, end: timestamp>",
+                       *[f"{k} {held.schema['key'].dataType[i + 1].dataType.simpleString()}" for i, k in enumerate(keys)]])
+    row = held.select(F.col("key").cast(f"struct<{names}>").alias("key"), F.col("value").cast(f"struct<{long}>").alias("value"))
+    counters = [F.coalesce(F.col(f"value.{c}"), F.lit(0)).alias(c) for c in COUNTERS]
+    return row.select(F.col("key.window.start").alias("window_start"), F.col("key.window.end").alias("window_end"),
+                      *[F.col(f"key.{k}").alias(k) for k in keys], *counters)
+
+
+def all_time_windows(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every window of a stream: those that the watermark has closed and those still open."""
+    closed = ingested(spark, path).withColumn("closed", F.lit(True))
+    return closed.unionByName(time_window_states(spark, path, keys).withColumn("closed", F.lit(False)))
+
+
 def start_count_windows(events: DataFrame, path: str, keys: list[str], size: int = WINDOW_SIZE,
                         order: list[str] = ORDER, **trigger) -> StreamingQuery:
     """Fixed-size windows per key in order of arrival, and by ``order`` in a batch.
@@ -88,7 +113,7 @@ def start_count_windows(events: DataFrame, path: str, keys: list[str], size: int
         position = F.col("_in_batch") + F.coalesce(F.col("seen"), F.lit(0))
         partial = window_counts(rows.withColumn("position", position), size, keys)
         here.write.mode("overwrite").parquet(f"{path}/seen/{batch_id}")
-        partial.write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+        BatchTable(f"{path}/windows").write(partial, batch_id)
         # A repeated batch reads the totals of the one before.
         remove_path(spark, f"{path}/seen/{batch_id - 2}")
 
@@ -100,7 +125,7 @@ def start_count_windows(events: DataFrame, path: str, keys: list[str], size: int
 
 
 def counted_windows(spark, path: str, keys: list[str]) -> DataFrame:
-    return with_window_ctr(merge_windows(spark.read.parquet(f"{path}/windows"), keys))
+    return with_window_ctr(merge_windows(BatchTable(f"{path}/windows").read(spark), keys))
 
 
 def finish(query: StreamingQuery) -> StreamingQuery:
@@ -108,6 +133,53 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+class ProgressLog(StreamingQueryListener):
+    """Appends a row to a table for every batch of every stream: rows, rates, observed numbers.
+
+    Spark itself keeps the progress of recent batches alone. Numbers that a
+    stream observes (``DataFrame.observe``) are kept as a map of text. Register
+    with ``spark.streams.addListener``.
+    """
+
+    SCHEMA = ("query string, run string, batch_id bigint, input_rows bigint, input_rate double, "
+              "processed_rate double, observed map<string, string>")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ended = spark, path, set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        observed = {name: str(value) for row in p.observedMetrics.values() for name, value in row.asDict().items()}
+        row = (str(p.id), str(p.runId), p.batchId, p.numInputRows, float(p.inputRowsPerSecond or 0),
+               float(p.processedRowsPerSecond or 0), observed)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        # Events of a query arrive in order, so its progress is written by now.
+        self.ended.add(str(event.runId))
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all progress of an ended query is in the table."""
+        until = time.monotonic() + seconds
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no end of query {query.runId} was reported")
+            time.sleep(0.05)
+
+    def rows(self) -> DataFrame:
+        """The progress so far; a batch that was repeated after a failure counts once, in its last form."""
+        logged = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return logged.groupBy("query", "batch_id").agg(
+            *[F.max(c).alias(c) for c in ("input_rows", "input_rate", "processed_rate")],
+            F.max_by("observed", "input_rows").alias("observed"))
+
+
 def progress(query: StreamingQuery) -> DataFrame:
     """Rows and rates of the recent batches, as many as Spark retains."""
     from pyspark.sql import SparkSession

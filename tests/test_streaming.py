@@ -12,6 +12,8 @@ from adquanta.session import fresh_path
 from adquanta.sources import topics
 from adquanta.sources.tables import ad_events, as_ad_events
 from adquanta.streaming import run
+from adquanta.streaming.alerts import closed_windows, fired_alerts, open_alerts, start_alerts
+from adquanta.streaming.batches import BatchTable
 from adquanta.streaming.funnel import (
     funnel_counters,
     funnel_report,
@@ -267,3 +269,124 @@ def test_slices_hold_every_row(spark, events, timed):
     sink = fresh_path(spark, "slices")
     _fed(spark, rows, "ts", lambda stream: run.start_ingest(stream, sink))
     assert rows_of(run.ingested(spark, sink), *rows.columns) == rows_of(rows, *rows.columns)
+
+
+# Alerts out of a stream ----------------------------------------------------
+
+RULES = {"low_ctr": 20.0, "min_total": 3}
+
+
+def all_alerts(spark, path):
+    """(advertiser, window, type, message, severity) of fired and open alerts."""
+    columns = ("advertiser", "window", "type", "message", "severity")
+    return rows_of(fired_alerts(spark, path).select(*columns).union(
+        open_alerts(spark, path, ["advertiser"], **RULES).select(*columns)), *columns)
+
+
+def repeat_last_batch(path):
+    """Take the commit mark away: Spark takes the last batch for unfinished."""
+    commits = Path(f"{path}/checkpoint/commits")
+    last = max((f for f in commits.iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    last.unlink()
+    (commits / f".{last.name}.crc").unlink(missing_ok=True)
+    return int(last.name)
+
+
+def test_alert_stream_equals_batch_and_numbers_each_once(spark, events, files):
+    path = fresh_path(spark, "alerts")
+
+    def go():
+        return run.finish(start_alerts(in_order(spark, files, events.schema), path, ["advertiser"], 10, **RULES))
+
+    go()
+    want = rows_of(alerts(count_windows(events, 10, ["advertiser"]), **RULES),
+                   "advertiser", "window", "type", "message", "severity")
+    assert len(want) > 20 and all_alerts(spark, path) == want
+    numbered = fired_alerts(spark, path).select("advertiser", "window", "type", "number").collect()
+    by_key = {}
+    for r in sorted(numbered, key=lambda r: (r.advertiser, r.window, r.type)):
+        by_key.setdefault(r.advertiser, []).append(r.number)
+    assert all(n == list(range(1, len(n) + 1)) for n in by_key.values())
+    # A batch that runs again after its output was written fires nothing twice.
+    last = repeat_last_batch(path)
+    assert go().recentProgress[0]["batchId"] == last
+    assert all_alerts(spark, path) == want
+    assert rows_of(fired_alerts(spark, path), "advertiser", "window", "type", "number") == sorted(
+        map(tuple, numbered), key=str)
+
+
+def test_quiet_keys_are_judged_without_an_event(spark):
+    """Key q stops after 4 of 10 events; k goes on. q returns much later in a window of its own."""
+    path, source = fresh_path(spark, "idle"), fresh_path(spark, "idle-events")
+    schema = "event_id long, ts timestamp, advertiser string, event_type string"
+    at = lambda minute: START + timedelta(minutes=minute)
+    batches = [
+        [(i, at(i), "q", "impression") for i in range(4)] + [(100 + i, at(i), "k", "click") for i in range(6)],
+        [(200 + i, at(120 + i), "k", "conversion") for i in range(4)],
+        [(300 + i, at(130 + i), "q", "click") for i in range(2)] + [(400, at(131), None, "click")],
+        [(500, at(900), "k", "click")],
+    ]
+    seen = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = topics.file_topic(spark, source, spark.createDataFrame([], schema).schema)
+        run.finish(start_alerts(stream, path, ["advertiser"], 10, **RULES, idle="30 minutes"))
+        seen.append(rows_of(closed_windows(spark, path), "advertiser", "window", "total", "clicks", "conversions"))
+    # In the first batch nothing is full and nobody has been quiet for long.
+    assert seen[0] == []
+    # k's ninth to tenth events fill its window; q is judged with four events.
+    assert seen[1] == [("k", 1, 10, 6, 4), ("q", 1, 4, 0, 0)]
+    assert seen[2] == seen[1]
+    # The later clock closes q's second window, numbered after the first, and that of the null key.
+    assert seen[3] == [("k", 1, 10, 6, 4), ("q", 1, 4, 0, 0), ("q", 2, 2, 2, 0), (None, 1, 1, 1, 0)]
+    assert rows_of(fired_alerts(spark, path), "advertiser", "window", "type", "number") == [
+        ("q", 1, "LOW_CTR", 1), ("q", 1, "ZERO_CONVERSIONS", 2)]
+
+
+def test_batch_tables_merge_old_batches(spark):
+    """Folders stay few, rows stay whole, and a repeated batch replaces its own."""
+    table = BatchTable(fresh_path(spark, "parts"), every=3)
+    for n in range(20):
+        for _ in range(2):
+            table.write(spark.range(n * 10, n * 10 + 4).coalesce(1), n)
+        assert sorted(r.id for r in table.read(spark).collect()) == [10 * i + j for i in range(n + 1) for j in range(4)]
+    names = [f.name for f in Path(table.path).iterdir() if f.is_dir()]
+    assert len(names) <= 3 + 3 + 4 and any(x.startswith("upto=") for x in names)
+    # A merged part that was not completed does not count.
+    newest = max((x for x in names if x.startswith("upto=")), key=lambda x: int(x[5:]))
+    whole = [r.id for r in table.read(spark).collect()]
+    Path(f"{table.path}/upto=19").mkdir()
+    assert sorted(r.id for r in table.read(spark).collect()) == sorted(whole) and newest != "upto=19"
+
+
+@pytest.mark.parametrize("keys", [(), ("advertiser",)])
+def test_windows_open_at_the_end_are_in_the_state(spark, events, files, keys):
+    path = fresh_path(spark, "held")
+    run.finish(run.start_time_windows(in_order(spark, files, events.schema), path, "1 hour", None, keys, "3 hours"))
+    closed = events.agg(F.max("ts")).first()[0] - timedelta(hours=3)
+    want = time_windows(events, "1 hour", None, keys).withColumn("closed", F.col("window_end") <= F.lit(closed))
+    got = run.all_time_windows(spark, path, keys)
+    assert got.where("not closed").count() > 2
+    columns = ("window_start", "window_end", *keys, "impressions", "clicks", "conversions", "bounces", "revenue",
+               "cost", "events", "closed")
+    assert rows_of(got, *columns) == rows_of(want, *columns)
+
+
+def test_progress_log_keeps_every_batch(spark, events, files):
+    """Two runs of a stream: all batches, with what the stream observed in each."""
+    log = run.ProgressLog(spark, fresh_path(spark, "log"))
+    path = fresh_path(spark, "logged")
+    spark.streams.addListener(log)
+    try:
+        stream = in_order(spark, files, events.schema).observe("seen", F.count("*").alias("rows"), F.max("cost").alias("top"))
+        query = run.finish(run.start_ingest(stream, path))
+        log.wait(query)
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.rows().collect()
+    assert len(rows) >= 5 and sum(r.input_rows for r in rows) == 600
+    assert sum(int(r.observed["rows"]) for r in rows if "rows" in r.observed) == 600
+    assert max(float(r.observed["top"]) for r in rows if r.observed.get("top") not in (None, "None")) == 9.0
+    with pytest.raises(TimeoutError):
+        log.ended.clear()
+        log.wait(query, 0.1)
