@@ -4,8 +4,9 @@ Only the longest windows are counted: each word and the four that follow it in
 its piece, padded with nulls behind the piece's end. ROLLUP over their columns
 sums windows with a common beginning, so one aggregate gives the count of every
 shorter phrase, and of all words. What surely occurs less often than a phrase
-must is padded away beforehand: a small table of hashed counts, in which no
-phrase ever counts less than it occurs, tells where a window may stop early.
+must is padded away beforehand: two tables of hashed counts, in which no phrase
+ever counts less than it occurs, tell where a window may stop early. The first
+is of words and pairs, the second of longer runs whose pairs the first lets pass.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ LONGEST = 5
 LEAST = 100        # occurrences of a phrase
 TOP = 2_000        # phrases a language
 PERCENT = 100      # a phrase goes if a longer one occurs at least so often, in hundredths
-SLOTS_LOG2 = 24    # hashed counts: one byte each in a task, one bit each in the broadcast table
-SLICE = 1 << 16    # slots that travel together
-TEXT_BYTES = 8 << 20   # text whose windows are combined before they leave the task
+SLOTS_LOG2 = 26    # hashed counts: one byte each in a task, one bit each in a broadcast table (8 MB)
+SLICE = 1 << 18    # slots that travel together
+LEVELS = ((1, 2), (3, 4, 5))   # sizes of the runs that each table counts
+LOT_BYTES = 1 << 20   # text whose windows are combined before they leave the task
+SHARES = 64        # in which the phrases of a language are dealt out
 NO_LANG = "und"
 
 _END = np.zeros(256, bool)
@@ -70,31 +73,57 @@ def _langs(part: pa.RecordBatch) -> list[str]:
     return [NO_LANG if x is None else x for x in part.column("lang").to_pylist()]
 
 
-def frequent_slots(rows: DataFrame, least: int, slots_log2: int) -> np.ndarray:
-    """One bit a slot: whether the phrases hashed to it occur ``least`` times or more together.
+def _reach(state: np.ndarray, words: np.ndarray, ahead: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """How many words from each position on may belong to one phrase, by the given tables' bits.
 
-    Each task counts into an array of its own and sends it in compressed
-    slices, cut off at 255, which is enough to tell. Slices are added up as they
-    stream in; the driver gets one bit a slot, whatever the size of the table.
+    Extends ``state`` by the runs that the tables know.
+    """
+    reach, k = np.zeros(len(ahead), np.int64), 0
+    for bits, sizes in zip(tables, LEVELS):
+        for k in sizes:
+            at = _slots(state, words, ahead, k, len(bits) * 8)
+            often = (at >= 0) & ((bits[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+            reach[often & (reach == k - 1)] = k
+    if k == 2:
+        # A longer run may stand where all of its pairs may.
+        for more in range(k + 1, LONGEST + 1):
+            last = len(reach) - more + k
+            further = np.zeros(len(reach), bool)
+            further[:max(last, 0)] = reach[more - k:] >= k
+            reach[further & (reach == more - 1) & (ahead >= more)] = more
+    return reach
+
+
+def frequent_slots(rows: DataFrame, least: int, slots_log2: int, tables: list[np.ndarray]) -> np.ndarray:
+    """One bit a slot: whether the runs hashed to it occur ``least`` times or more together.
+
+    Counts runs of the sizes of the next of ``LEVELS``, those that ``tables`` of
+    the levels before let pass. Each task counts into an array of its own and
+    sends it in compressed slices, cut off at 255, which is enough to tell.
+    Slices are added up as they stream in; the driver gets one bit a slot,
+    whatever the size of the corpus.
     """
     slots = 1 << slots_log2
     size = min(SLICE, slots)
     top = min(least, 255)
+    sizes = LEVELS[len(tables)]
+    given = rows.sparkSession.sparkContext.broadcast(tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.uint32)
+        total = np.zeros(slots, np.uint8)
         for batch in batches:
             for part in chunks(batch, "text"):
                 w, ahead = _pieces(part.column("text"))
                 words, state = _states(w, _langs(part))
-                for k in range(1, LONGEST + 1):
-                    at = _slots(state, words, ahead, k, slots)
-                    np.add.at(total, at[at >= 0], np.uint32(1))
+                reach = _reach(state, words, ahead, given.value) if given.value else ahead
+                found = [at[at >= 0] for k in sizes for at in [_slots(state, words, reach, k, slots)]]
+                spot, n = np.unique(np.concatenate(found), return_counts=True)
+                total[spot] = np.minimum(total[spot] + np.minimum(n, 255), 255)
         pack = zstandard.ZstdCompressor(level=1)
-        cut = np.minimum(total, 255).astype(np.uint8).reshape(-1, size)
+        cut = total.reshape(-1, size)
         some = np.flatnonzero(cut.any(axis=1))
-        for lo in range(0, len(some), 64):
-            group = some[lo:lo + 64]
+        for lo in range(0, len(some), 16):
+            group = some[lo:lo + 16]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(group), pa.array([pack.compress(cut[i].tobytes()) for i in group], pa.binary())],
                 ["slice", "counts"])
@@ -116,6 +145,7 @@ def frequent_slots(rows: DataFrame, least: int, slots_log2: int) -> np.ndarray:
     bits = np.zeros((slots // size, size // 8), np.uint8)
     for row in sent.repartition("slice").mapInArrow(add, "slice bigint, bits binary").toLocalIterator():
         bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    given.unpersist()
     return bits.ravel()
 
 
@@ -141,26 +171,20 @@ def _combined(code: np.ndarray, ahead: np.ndarray) -> Iterator[tuple[np.ndarray,
         name[more] = number
 
 
-def window_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def window_counts(rows: DataFrame, tables: list[np.ndarray], lot_bytes: int = LOT_BYTES) -> DataFrame:
     """(lang, w1..w5, n): distinct padded windows; those of rare words have no word at all."""
-    slots = len(bits) * 8
-    table = rows.sparkSession.sparkContext.broadcast(bits)
+    given = rows.sparkSession.sparkContext.broadcast(tables)
     names = [f"w{i}" for i in range(1, LONGEST + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
         for batch in batches:
-            for part in chunks(batch, "text", TEXT_BYTES):
+            for part in chunks(batch, "text", lot_bytes):
                 w, ahead = _pieces(part.column("text"))
                 if not len(w.starts):
                     continue
                 lang = _langs(part)
                 words, state = _states(w, lang)
-                reach = np.zeros(len(ahead), np.int64)
-                for k in range(1, LONGEST + 1):
-                    at = _slots(state, words, ahead, k, slots)
-                    often = (at >= 0) & ((known[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-                    reach[often & (reach == k - 1)] = k
+                reach = _reach(state, words, ahead, given.value)
                 yield from _windows(w, lang, reach)
 
     def _windows(w: Words, lang: list[str], reach: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -221,9 +245,15 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     again. An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    windows = window_counts(rows, frequent_slots(rows, least, slots_log2))
+    tables: list[np.ndarray] = []
+    for _ in LEVELS:
+        tables.append(frequent_slots(rows, least, slots_log2, tables))
+    windows = window_counts(rows, tables)
     counts = stage(phrase_counts(windows, least).withColumn("phrase", F.array_join("words", " ")), "phrases")
-    totals = counts.where("size = 0").select("lang", F.col("n").alias("total"))   # one row a language
+    # One row a language and share, so that phrases of one language meet it in many tasks.
+    totals = counts.where("size = 0").select(
+        "lang", F.col("n").alias("total"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).cast("int")
     known = counts.where("size > 0").select("lang", "phrase", "n")
     candidates = counts.where("size > 1").select("lang", "phrase", "words", "size", F.col("n").alias("a"))
 
@@ -244,7 +274,7 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     ratio = F.expr("(1000BD * cast(a AS decimal(16, 0)) * cast(total AS decimal(17, 0)))"
                    " div (cast(l AS decimal(19, 0)) * cast(r AS decimal(19, 0)))")
     scored = cuts.join(times("left", "l"), ["lang", "left"]).join(times("right", "r"), ["lang", "right"]) \
-        .join(totals, "lang").withColumn("score", ratio)
+        .withColumn("share", share).join(totals, ["lang", "share"]).withColumn("score", ratio)
     worst = scored.groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "cut", "a", "l", "r", F.col("total").alias("n"))).alias("best")).select(
         "lang", "phrase", "best.*")
@@ -253,7 +283,6 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     # A language's best are among the best of its shares, so no task ranks all of them.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(64))
     first = kept.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang", share).orderBy(*order))).where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
