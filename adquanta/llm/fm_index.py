@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, SHARD_BYTES, cut_repeats
+from .repeats import SHARD_BYTES, VARIED, cut_repeats
 from .rules import repeated
 from .words import Words
 
@@ -131,6 +131,6 @@ def find_with_index(w: Words, hashes: np.ndarray, at: np.ndarray, copies: np.nda
 
 def remove_substrings(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER,
                       id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
-                      hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                      many: int = VARIED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove words in windows that also start elsewhere; see :func:`cut_repeats`."""
-    return cut_repeats(docs, window, k, find_with_index, id_col, text_col, digest, hot, shard_bytes)
+    return cut_repeats(docs, window, k, find_with_index, id_col, text_col, digest, many, shard_bytes)

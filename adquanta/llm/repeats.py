@@ -2,9 +2,11 @@
 
 Windows of ``window`` words are judged. Texts are cut into minimiser segments;
 those with a repeated minimiser travel as pieces of text to the shard of their
-minimiser, equal pieces combined, where a finder decides which windows repeat.
-The answers return to the documents as ranges of words. A finder never sees a
-whole corpus: what may be equal meets in one shard, and shards are many.
+minimiser, where a finder decides which windows repeat. Equal pieces are one row
+for all texts that a task reads together, and one in the shard, so a passage of
+many texts costs as much as its different pieces. The answers return to the
+documents as ranges of words. A finder never sees a whole corpus: what may be
+equal meets in one shard, and shards are many.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .segments import minimiser_segments, repeated_segments, text_slices
-from .words import Words, chunks, cover, kept_text, mix, powers, signed, split_words, unused
+from .segments import by_text, first_block, minimiser_segments, repeated_segments, segment_digests, text_slices
+from .words import Words, chunks, cover, kept_text, mix, signed, split_words, unused
 
 SHARD_BYTES = 2 << 20
-# A minimiser with more segments is dealt out by whole windows in place of itself.
-HOT = 20_000
+# A minimiser of about so many different segments is dealt out by whole windows in place of itself.
+VARIED = 1 << 13
 
 # (words, word hashes, minimiser word of each piece, copies of each piece, window)
 # -> for each word number whether the window that starts there repeats.
@@ -38,19 +40,22 @@ def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
 
 
-def _pieces(docs: DataFrame, window: int, k: int, hot: int) -> DataFrame:
-    """Text pieces of all segments with a repeated minimiser.
+def _pieces(docs: DataFrame, window: int, k: int, many: int) -> DataFrame:
+    """Different text pieces of all segments with a repeated minimiser, per block of texts.
 
-    id, first (word number in the document), at (minimiser, from ``first``),
-    key (routes equal windows to one shard), digest, piece. Only short rows are
-    gathered per document; texts are joined once.
+    block, at (minimiser, from the piece's first word), key (routes equal windows
+    to one shard), digest, piece, and where it stands: ids and firsts (word
+    numbers in the documents), arrays of equal length. A block is what a task
+    reads at once. Only short rows are gathered per document; texts are joined once.
     """
-    hits = repeated_segments(docs, window, k)
+    hits = repeated_segments(docs, window, k, many)
     joined = docs.join(hits.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = first_block()
         for batch in batches:
             for part in chunks(batch, "text"):
+                block += 1
                 w = split_words(part.column("text"))
                 h = w.hashes()
                 s = minimiser_segments(w, h, window, k)
@@ -58,34 +63,40 @@ def _pieces(docs: DataFrame, window: int, k: int, hot: int) -> DataFrame:
                 hits = part.column("hits")
                 owner = np.repeat(np.arange(w.n_docs), np.diff(np.asarray(hits.offsets)))
                 flat = hits.flatten()
-                number = base[owner] + np.asarray(flat.field("segment"), np.int64)
-                count = np.zeros(len(s.doc), np.int64)
-                count[number] = np.asarray(flat.field("n"))
-                whole = np.flatnonzero((count > 0) & (count <= hot))
-                split = np.flatnonzero(count > hot)
-                # Hot segments: every window for itself.
+                number = base[owner] + np.asarray(flat.field("segments"), np.int64)
+                varied = np.asarray(flat.field("varied").to_numpy(zero_copy_only=False), bool)
+                whole, split = np.sort(number[~varied]), np.sort(number[varied])
+                # Segments of varied minimisers: every window for itself.
                 size = s.stop[split] - s.start[split]
                 alone = np.repeat(s.start[split], size) + np.arange(size.sum()) \
                     - np.repeat(np.cumsum(size) - size, size)
                 first = np.concatenate((s.start[whole], alone))
                 last = np.concatenate((s.stop[whole], alone + 1)) + window - 2
                 at = np.concatenate((s.at[whole], np.repeat(s.at[split], size)))
-                up, down = powers(len(h) + 1)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1])))
-                digest = mix((total[last + 1] - total[first]) * down[first] + (at - first).astype(np.uint64))
+                digest = segment_digests(h, first, last, at)
                 key = np.concatenate((s.key[whole], signed(mix(~digest[len(whole):]))))
+                # Equal pieces lie together now; the first of each stands for all.
+                order = np.lexsort((digest, key))
+                first, last, at, digest, key = (x[order] for x in (first, last, at, digest, key))
+                new = np.ones(len(first), bool)
+                new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+                head = np.flatnonzero(new)
+                edge = np.append(head, len(first))
                 doc = w.doc[first]
-                for lo in range(0, len(first), 20_000):
-                    hi = slice(lo, lo + 20_000)
+                ids, firsts = part.column("id").take(pa.array(doc)), pa.array((first - w.first[doc]).astype(np.int32))
+                for lo in range(0, len(head), 20_000):
+                    one = head[lo:lo + 20_000]
+                    a, b = edge[lo], edge[min(lo + 20_000, len(head))]
+                    bounds = pa.array((edge[lo:lo + len(one) + 1] - a).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array(doc[hi])),
-                         pa.array((first - w.first[doc])[hi].astype(np.int32)),
-                         pa.array((at - first)[hi].astype(np.int32)), pa.array(key[hi]),
-                         pa.array(signed(digest[hi])), text_slices(w, first[hi], last[hi])],
-                        ["id", "first", "at", "key", "digest", "piece"])
+                        [pa.array(np.full(len(one), block)), pa.array((at - first)[one].astype(np.int32)),
+                         pa.array(key[one]), pa.array(signed(digest[one])), text_slices(w, first[one], last[one]),
+                         pa.ListArray.from_arrays(bounds, ids.slice(a, b - a)),
+                         pa.ListArray.from_arrays(bounds, firsts.slice(a, b - a))],
+                        ["block", "at", "key", "digest", "piece", "ids", "firsts"])
 
-    return joined.mapInArrow(
-        run, "id bigint, first int, at int, key bigint, digest bigint, piece binary")
+    return joined.mapInArrow(run, "block bigint, at int, key bigint, digest bigint, piece binary, "
+                                  "ids array<bigint>, firsts array<int>")
 
 
 def _runs(mask: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ def _search(pieces: DataFrame, window: int, find: Finder, shard_bytes: int) -> D
     n_shards = max(1, size // shard_bytes)
 
     # Copies are combined in the scan tasks before they travel.
-    unique = pieces.groupBy("key", "digest", "at", "piece").agg(F.count("*").alias("n"))
+    unique = pieces.groupBy("key", "digest", "at", "piece").agg(F.sum(F.size("ids")).alias("n"))
     sharded = unique.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)))
 
     def run(table: pa.Table) -> pa.Table:
@@ -134,18 +145,19 @@ def _search(pieces: DataFrame, window: int, find: Finder, shard_bytes: int) -> D
 
 
 def repeated_ranges(rows: DataFrame, window: int, k: int, find: Finder,
-                    hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                    many: int = VARIED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per id of ``rows`` (id, text): ``ranges`` of words in repeated windows; ids without any are absent.
 
-    ``ranges`` holds (first, runs) of pieces: windows start at first + runs[0]
-    up to, not including, first + runs[1], and so on.
+    ``ranges`` holds (firsts, runs) of pieces: windows start at firsts + runs[0]
+    up to, not including, firsts + runs[1], and so on.
     """
-    pieces = stage(_pieces(rows, window, k, hot), "pieces", compression="zstd")
+    pieces = stage(_pieces(rows, window, k, many), "pieces", compression="zstd")
     found = _search(pieces, window, find, shard_bytes)
-    return (
-        pieces.select("id", "first", "key", "digest").join(found.hint("merge"), ["key", "digest"])
-        .groupBy("id").agg(F.collect_list(F.struct("first", "runs")).alias("ranges"))
-    )
+    placed = pieces.select("block", "key", "digest", "ids", "firsts").join(found.hint("merge"), ["key", "digest"])
+    ranges = placed.select("block", "ids", "firsts", "runs").groupBy("block").applyInArrow(
+        lambda table: by_text(table, "firsts", "runs", "ranges"), "id bigint, ranges array<struct<firsts: int, runs: array<int>>>")
+    # Rows that agree in id and text have the same ranges in each block that holds one.
+    return ranges.groupBy("id").agg(F.first("ranges").alias("ranges"))
 
 
 def _removed(w: Words, ranges: pa.Array, window: int) -> np.ndarray:
@@ -156,13 +168,13 @@ def _removed(w: Words, ranges: pa.Array, window: int) -> np.ndarray:
     owner = np.repeat(np.arange(w.n_docs), np.diff(outer))
     runs = pieces.field("runs")
     piece = np.repeat(np.arange(len(pieces)), np.diff(np.asarray(runs.offsets)))
-    base = (w.first[owner] + np.asarray(pieces.field("first"), np.int64))[piece]
+    base = (w.first[owner] + np.asarray(pieces.field("firsts"), np.int64))[piece]
     spots = base + np.asarray(runs.flatten(), np.int64)
     return cover(spots[0::2], spots[1::2] + window - 1, n)
 
 
 def cut_repeats(docs: DataFrame, window: int, k: int, find: Finder, id_col: str = "doc_id",
-                text_col: str = "text", digest: bool = False, hot: int = HOT,
+                text_col: str = "text", digest: bool = False, many: int = VARIED,
                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove the words of repeated windows from every whole text.
 
@@ -172,7 +184,7 @@ def cut_repeats(docs: DataFrame, window: int, k: int, find: Finder, id_col: str
     they are. Windows are judged on the input. Null texts have no words and
     stay null; an empty table gives no rows; equal rows repeat each other.
     """
-    ranges = repeated_ranges(with_rows(docs, id_col, text_col), window, k, find, hot, shard_bytes)
+    ranges = repeated_ranges(with_rows(docs, id_col, text_col), window, k, find, many, shard_bytes)
     row, spans = unused("_row", docs.columns), unused("_ranges", docs.columns)
     found = ranges.select(F.col("id").alias(row), F.col("ranges").alias(spans))
     kept = [id_col, text_col] if digest else docs.columns

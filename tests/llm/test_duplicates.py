@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from adquanta.llm import exact, fm_index, minhash, suffixes
+from adquanta.llm import exact, fm_index, minhash, repeats, suffixes
 from adquanta.llm.components import connected
 from adquanta.llm.fm_index import FMIndex
 from adquanta.llm.words import split_words
@@ -55,7 +55,7 @@ def test_repeats_match_brute_force(docs, rows, module, window):
     remove = fm_index.remove_substrings if module is fm_index else suffixes.remove_repeats
     want = brute.removed([t for _, t in rows], window)
     assert sum(n for _, n in want) > 300
-    for options in ({}, {"hot": 3, "shard_bytes": 500}):
+    for options in ({}, {"many": 1, "shard_bytes": 500}, {"many": 4}):
         got = {r["doc_id"]: r for r in remove(docs, digest=True, **options).collect()}
         for (d, t), (left, n) in zip(rows, want):
             assert (got[d]["n_words"], got[d]["n_removed"]) == (len(brute.words(t)), n), d
@@ -85,6 +85,30 @@ def test_small_windows_on_few_words(spark):
         assert [got[i]["kept_sha256"] for i in range(60)] == [brute.sha(" ".join(x)) for x, _ in want]
 
 
+@pytest.mark.parametrize("remove,window", [(fm_index.remove_substrings, 35), (suffixes.remove_repeats, 50)])
+def test_copies_of_a_passage_are_one_piece(spark, remove, window):
+    """A passage in a third of the texts: no more pieces than different ones per block, in any mode."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(n))
+    passage = prose(100)
+    texts = [f"{prose(60)} {passage} {prose(60)}" if i % 3 == 0 else prose(120) for i in range(600)]
+    rows = frame(spark, list(enumerate(texts)))
+    want = brute.removed(texts, window)
+    named = repeats.with_rows(rows, "doc_id", "text")
+    counts = {}
+    for many in (1, repeats.VARIED):
+        got = {r["doc_id"]: r["kept_sha256"] for r in remove(rows, digest=True, many=many).collect()}
+        assert [got[i] for i in range(600)] == [brute.sha(" ".join(x)) for x, _ in want]
+        pieces = stage(repeats._pieces(named, window, 8, many), "pieces")
+        counts[many] = pieces.count()
+        assert pieces.selectExpr("explode(ids)").count() >= 200
+        # Ends of the passage meet other words in each text; inside it all pieces are copies.
+        blocks = pieces.select("block").distinct().count()
+        assert pieces.where("size(ids) > 1").count() >= 3
+        assert pieces.where("size(ids) > 1").count() <= 100 * blocks
+    assert counts[repeats.VARIED] <= counts[1]
+
+
 def test_backward_search_counts():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 500).astype(np.uint8)
