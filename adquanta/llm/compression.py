@@ -17,7 +17,7 @@ LEVEL = 3
 DICTIONARY_BYTES = 32_768
 # Bounds of the sample the model is fitted on.
 PER_CLASS = 3_000
-SAMPLE_CHARS = 16_384
+CLASS_BYTES = 8 << 20
 CUT = 0.3
 
 
@@ -105,16 +105,16 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
-                   sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+                   class_bytes: int = CLASS_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Labels are learnt only from ids whose crc32 modulo 5 is not 0, from at most
-    ``per_class`` texts a class of at most ``sample_chars`` characters each.
+    ``per_class`` whole texts a class of together at most ``class_bytes`` bytes.
     Scores read whole texts and nothing but texts. Repeated rows each get their
     score; null ids are scored like others; an empty table gives no rows.
     """
     sample = labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0,
-                             per_class, sample_chars)
+                             per_class, class_bytes)
     scored = score_quality(docs.select("doc_id", "text"), fit_compression(sample))
     return scored.select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",

@@ -16,15 +16,17 @@ def remainder(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
-                    per_class: int, max_chars: int, id_col: str = "doc_id",
+                    per_class: int, class_bytes: int, id_col: str = "doc_id",
                     text_col: str = "text") -> pd.DataFrame:
-    """At most ``per_class`` labelled texts of each class, in an order drawn from the ids.
-
-    Ids are chosen on the label table alone, so documents are read once and only
-    the chosen ones leave their tasks: at most 2 * ``per_class`` texts, each cut
-    to ``max_chars`` characters for fitting. Ids with null or contradicting
-    labels and null texts are left out. Columns: id, text, y; ``attrs["share"]``
-    is the share of label 1 among all ids that may be learnt from.
+    """Whole labelled texts of each class in an order drawn from the ids: at most ``per_class``
+    of together at most ``class_bytes`` bytes.
+
+    Ids are chosen on the label table, then on the sizes of their texts; a text
+    that would pass the total is left out whole. So only chosen texts leave
+    their tasks, none is cut, and both bounds hold however often a table repeats
+    an id: of several texts of an id the smallest in order counts. Ids with null
+    or contradicting labels and null texts are left out. Columns: id, text, y;
+    ``attrs["share"]`` is the share of label 1 among all ids that may be learnt from.
     """
     known = (
         labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
@@ -36,11 +38,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy("draw", "id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("text"))
-    # 2 * per_class rows of three numbers: the bound of this broadcast.
-    found = texts.where(F.col("text").isNotNull()).join(F.broadcast(ids), "id").toPandas()
-    found = found.sort_values(["draw", "id", "text"]).drop_duplicates("id")
-    found = found[["id", "text", "y"]].reset_index(drop=True)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # 2 * per_class rows of three numbers are the bound of both broadcasts and of the collected sizes.
+    sizes = texts.select("id", F.octet_length("text").alias("size")).join(F.broadcast(ids), "id") \
+        .groupBy("id", "y", "draw").agg(F.max("size").alias("size")).toPandas()
+    chosen, left = [], {0: class_bytes, 1: class_bytes}
+    for row in sizes.sort_values(["draw", "id"]).itertuples():
+        if row.size <= left[row.y]:
+            left[row.y] -= row.size
+            chosen.append((row.id, int(row.y), int(row.draw)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(chosen, f"id {kind}, y int, draw bigint")
+    found = texts.join(F.broadcast(wanted), "id").groupBy("id", "y", "draw").agg(F.min("text").alias("text")).toPandas()
+    found = found.sort_values(["draw", "id"])[["id", "text", "y"]].reset_index(drop=True)
     found.attrs["share"] = ones / n if n else 0.5
     return found
 

@@ -17,7 +17,7 @@ from .words import Words, chunks, split_words
 
 # Bounds of the sample the model is fitted on.
 PER_CLASS = 2_000
-SAMPLE_CHARS = 8_192
+CLASS_BYTES = 4 << 20
 CUT = 0.3
 # A token's features: the word, its first bytes.
 PREFIXES = (None, 6, 7)
@@ -151,15 +151,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
-                    sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+                    class_bytes: int = CLASS_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, spans.
 
     Labels are learnt only from ids whose crc32 modulo 4 is not 2, from at most
-    ``per_class`` texts a class of at most ``sample_chars`` characters each.
+    ``per_class`` whole texts a class of together at most ``class_bytes`` bytes.
     An empty table gives no rows.
     """
     sample = labelled_sample(docs, labels, "toxic", remainder("doc_id", 4) != 2,
-                             per_class, sample_chars)
+                             per_class, class_bytes)
     scored = score_toxicity(docs, fit_toxicity(sample))
     return scored.select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from adquanta.llm.compression import CUT, PER_CLASS, SAMPLE_CHARS, fit_compression
+from adquanta.llm.compression import CLASS_BYTES, CUT, PER_CLASS, fit_compression
 from adquanta.llm.fit import labelled_sample, remainder
 from adquanta.llm.registry import QUERIES
 
@@ -14,7 +14,7 @@ from test_tokens import check_packing
 def test_stages_match_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    sample = labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0, PER_CLASS, SAMPLE_CHARS)
+    sample = labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0, PER_CLASS, CLASS_BYTES)
     model = fit_compression(sample)
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     scores = model.score([t.encode() for _, t in texts])
@@ -43,4 +43,4 @@ def test_stages_keep_columns(spark, docs, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -1,12 +1,16 @@
 import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
-from adquanta.llm.compression import quality_scores
+from adquanta.llm.compression import fit_compression, quality_scores, score_quality
 from adquanta.llm.crf import Chain
+from adquanta.llm.fit import labelled_sample
 from adquanta.llm.rules import apply_rules, tail, text_stats
 from adquanta.llm.toxicity import toxicity_scores
 from adquanta.llm.urls import RULES, build_cascade, build_levels, filter_urls, in_cascade
@@ -56,6 +60,51 @@ def test_quality_held_out(labelled, empty):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_sample_holds_whole_texts_within_its_bounds(spark):
+    """No text is cut; one that would pass the bytes is left out; repeated ids count once."""
+    rng = random.Random(3)
+    sizes = {i: rng.choice([5, 40, 3000]) for i in range(200)}
+    pairs = [(i, "é" * n) for i, n in sizes.items()] + [(7, "b"), (7, "a")] * 300 + [(8, None), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    for per_class, class_bytes in ((1000, 10**9), (20, 10**9), (1000, 9000), (1000, 0)):
+        got = labelled_sample(frame(spark, pairs), labels, "quality", F.lit(True), per_class, class_bytes)
+        for y in (0, 1):
+            part = got[got["y"] == y]
+            assert len(part) <= per_class and part["text"].str.encode("utf-8").str.len().sum() <= class_bytes
+            assert all(t == ("a" if i == 7 else "é" * sizes[i]) for i, t in zip(part["id"], part["text"]))
+        assert got["id"].is_unique and 3 not in set(got["id"])
+        if class_bytes == 10**9:
+            assert len(got) == (199 if per_class == 1000 else 40)
+        elif class_bytes:
+            assert len(got) > 3 and max(got["text"].str.len()) == 3000
+
+
+def test_quality_scores_by_hand(labelled, spark):
+    """Sizes from plain calls of the compressor, the score from its formula."""
+    docs, labels, texts, _ = labelled
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), 300, 1 << 20)
+    model = fit_compression(sample)
+    some = [None, "", "a", "the therone " * 30, texts[1], texts[1], texts[2] * 40]
+    got = sorted((r["doc_id"], r["score"]) for r in score_quality(frame(spark, list(enumerate(some))), model).select(
+        "doc_id", F.col("score").cast("double").alias("score")).collect())
+
+    def size(text, dictionary):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False,
+                                            write_dict_id=False).compress(text))
+
+    for (i, score), text in zip(got, some):
+        raw = (text or "").encode()
+        good, bad = size(raw, model.good), size(raw, model.bad)
+        x = (good - bad) / (good + bad)
+        density, short = math.log((good + bad) / 2 / (len(raw) + 1) + 1e-3), 1 / math.sqrt(len(raw) + 16)
+        inputs = np.array([x, x * abs(x), density, density**2, short, x * short])
+        c = model.calibration
+        margin = c.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(c.weights[1:], inputs, c.mean, c.scale))
+        assert score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9), i
+    assert got[4][1] == got[5][1] and got[0][1] == got[1][1]
+
+
 def test_scores_ignore_held_out_labels(labelled, spark):
     docs, labels, _, truth = labelled
     flipped = labels.selectExpr(
