@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adquanta.llm.compression import CUT, PER_CLASS, SAMPLE_CHARS, fit_compression, score_quality
+from adquanta.llm.compression import CLASS_BYTES, CUT, PER_CLASS, fit_compression, score_quality
 from adquanta.llm.exact import drop_exact
 from adquanta.llm.fit import labelled_sample, remainder
 from adquanta.llm.minhash import drop_near
@@ -19,7 +19,7 @@ from adquanta.sources.tables import table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality",
-                             remainder("doc_id", 5) != 0, PER_CLASS, SAMPLE_CHARS)
+                             remainder("doc_id", 5) != 0, PER_CLASS, CLASS_BYTES)
     score = unused("_quality", docs.columns)
     scored = score_quality(docs, fit_compression(sample), out=score)
     return scored.where(F.col(score) >= CUT).drop(score)
