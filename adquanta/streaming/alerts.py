@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from adquanta.operators.joins import join_dimension
 from adquanta.operators.positions import with_position
-from adquanta.session import remove_path, stage
+from adquanta.session import folder_names, remove_path, stage
 
 from .batches import BatchTable
 from .windows import LOW_CTR, MIN_TOTAL, ORDER, WINDOW_SIZE, merge_windows, window_counts, with_window_ctr
@@ -130,7 +130,5 @@ def open_alerts(spark: SparkSession, path: str, keys: list[str], low_ctr: float
 
 
 def _states(spark: SparkSession, path: str) -> list[str]:
-    from adquanta.session import folder_names
-
     return [n for n in folder_names(spark, f"{path}/open")
             if "_SUCCESS" in folder_names(spark, f"{path}/open/{n}")]
