@@ -31,7 +31,10 @@ STRETCH_BYTES = 2 << 20   # text between two lists of new words
 KNOWN_WORDS = 250_000     # merged words that a task remembers before it starts anew
 KNOWN_RUNS = 150_000
 LONG_WORD = 64            # longer words are merged with a heap, not by the fold
-NONE = 1 << 40            # no rank is that large
+NONE = 1 << 17            # no rank is that large
+ID_BITS, RANK_AT = 16, 40 # an id has 16 bits, the start of one in its word 24
+END = (1 << ID_BITS) - 1  # no id; stands before and behind a word
+REST = (1 << RANK_AT) - 1
 
 _RUN = regex.compile(r" (?=\S)")
 
@@ -49,6 +52,11 @@ def runs(text: str) -> list[str]:
     return [first, *(" " + r for r in rest)]
 
 
+def given(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 class RankMap:
     """Ranks of pairs of ids, for Spark as a literal and for long words as a dictionary.
 
@@ -74,30 +82,56 @@ class RankMap:
     def key(left, right):
         return (1 << 33) + left * (1 << 16) + right
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """Rank of the pair, or NONE."""
-        bucket = F.element_at(self.literal, ((left * 31 + right) % self.buckets + 1).cast("int"))
-        return F.element_at(bucket, (F.array_position(bucket, self.key(left, right)) + 1).cast("int"))
+    def rank(self, table: Column, left: Column, right: Column) -> Column:
+        """Rank of the pair in the table, or NONE."""
+        bucket = F.get(table, ((left * 31 + right) % self.buckets).cast("int"))
+        return given(bucket, lambda b: F.get(b, F.array_position(b, self.key(left, right)).cast("int")))
 
     def merged(self, ids: Column) -> Column:
-        """The ids of a word after all merges, lowest rank first, leftmost of equals."""
-        def given(value: Column, then) -> Column:
-            return F.element_at(F.transform(F.array(value), then), 1)
+        """The ids of a word after all merges, lowest rank first, leftmost of equals.
 
-        def step(word: Column, _: Column) -> Column:
-            n = F.size(word)
-            ranks = F.zip_with(F.slice(word, 1, n - 1), F.slice(word, 2, n - 1), self.rank)
+        A number of the folded array holds, from the highest bits on, the rank of an
+        id with its right neighbour, the place where the id starts and the id. The
+        smallest number is thus the leftmost merge of lowest rank. A merge replaces
+        two numbers and looks up the two new pairs only. The literal stands in the
+        plan once, as every task reads each copy of it.
+        """
+        return given(self.literal, lambda table: self._folded(table, ids))
 
-            def merge(r: Column) -> Column:
-                best = F.array_min(r)
-                at = F.array_position(r, best).cast("int")
-                joined = F.concat(F.slice(word, 1, at - 1), F.array(best), F.slice(word, at + 2, n))
-                return F.when(best >= NONE, word).otherwise(joined)
+    def _folded(self, table: Column, ids: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            return self.rank(table, left, right)
 
-            return F.when(n < 2, word).otherwise(given(ranks, merge))
+        def id_of(number: Column) -> Column:
+            return number.bitwiseAND(END)
 
-        rounds = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
-        return F.aggregate(rounds, ids, step)
+        def step(word: Column, _: Column) -> Column:
+            def merge(best: Column) -> Column:
+                token = F.shiftright(best, RANK_AT)
+
+                def at_place(at: Column) -> Column:
+                    before = F.element_at(word, at - 1)
+                    after = id_of(F.element_at(word, at + 2))
+                    return F.concat(
+                        F.slice(word, 1, at - 2),
+                        F.array(F.shiftleft(rank(id_of(before), token), RANK_AT) + before.bitwiseAND(REST),
+                                F.shiftleft(rank(token, after), RANK_AT) + best.bitwiseAND(REST - END) + token),
+                        F.slice(word, at + 2, F.size(word)))
+
+                return F.when(best >= NONE << RANK_AT, word).otherwise(
+                    given(F.array_position(word, best).cast("int"), at_place))
+
+            return given(F.array_min(word), merge)
+
+        def fold(marked: Column) -> Column:
+            n = F.size(marked)
+            numbers = F.transform(marked, lambda x, i: F.shiftleft(F.when(i + 1 < n, rank(
+                x, F.element_at(marked, i + 2))).otherwise(NONE), RANK_AT) + F.shiftleft(i, ID_BITS) + x)
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), numbers, step,
+                               lambda word: F.transform(F.slice(word, 2, F.size(word) - 2), id_of))
+
+        mark = F.array(F.lit(END).cast("bigint"))
+        return given(F.concat(mark, ids, mark), fold)
 
 
 def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
