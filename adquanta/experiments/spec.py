@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +100,36 @@ def samples(member_rows: DataFrame, specs: Sequence[ExperimentSpec]) -> DataFram
     return out.where(F.col("value").isNotNull())
 
 
+# The sums behind each metric of a whole segment, and its scale.
+RATIOS = {
+    "ctr_pct": ("clicks", "impressions", 100.0),
+    "cr_pct": ("conversions", "clicks", 100.0),
+    "roas": ("revenue", "spent", 1.0),
+    "cac": ("spent", "conversions", 1.0),
+    "conversions": ("conversions", None, 1.0),
+}
+
+
+def ratio_samples(df: DataFrame, specs: Sequence[ExperimentSpec], id_col: str = "ad_id") -> DataFrame:
+    """Long form of the sums behind the metrics: ``top`` and ``bottom`` per (experiment, metric, arm, row_id).
+
+    The metric of a segment is sum(top) / sum(bottom), which weights rows by their
+    size; a metric without a denominator is a mean. Rows with a missing part are left out.
+    """
+    parts = tuple(dict.fromkeys(c for m in all_metrics(specs) for c in RATIOS[m][:2] if c))
+    wide = members(df, [replace(s, metrics=parts) for s in specs], id_col)
+
+    def entry(m: str):
+        top, bottom, scale = RATIOS[m]
+        return F.struct(F.lit(m).alias("metric"), (F.col(top) * scale).alias("top"),
+                        (F.col(bottom) if bottom else F.lit(1.0)).alias("bottom"))
+
+    own = F.lit(None)
+    for s in specs:
+        own = F.when(F.col("experiment") == s.name, F.array(*[entry(m) for m in s.metrics])).otherwise(own)
+    return wide.select("experiment", "arm", "row_id", F.inline(own)).dropna(subset=["top", "bottom"])
+
+
 def spec_table(df: DataFrame, specs: Sequence[ExperimentSpec]) -> DataFrame:
     """The hypotheses as rows; as many as the specs declare."""
     rows = [(i, s.name, m, s.label_a, s.label_b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adquanta.experiments import report
+from adquanta.experiments import bags, report
 from adquanta.experiments.bootstrap import (
     MULTIPLIERS,
     PRIME,
@@ -21,6 +21,7 @@ from adquanta.experiments.spec import (
     all_metrics,
     campaign_experiments,
     members,
+    ratio_samples,
     samples,
     spec_table,
 )
@@ -456,6 +457,90 @@ def boot_median_ci(spark, sf_dir):
     return rounded(_ends(arm_intervals(replicate_medians(long, REPLICATES))), {"lower": 6, "upper": 6})
 
 
+# The sums behind the metrics, top and bottom.
+_SUMS = {"ctr_pct": ("100e0 * clicks", "impressions"), "cr_pct": ("100e0 * conversions", "clicks"),
+         "roas": ("revenue", "spent"), "cac": ("spent", "conversions"), "conversions": ("conversions", "1")}
+_PARTS = CAMPAIGNS + ", long AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS experiment, '{m}' AS metric, '{arm}' AS arm, CAST(ad_id AS VARCHAR) AS row_id, "
+    f"CAST({_SUMS[m][0]} AS DOUBLE) AS top, CAST({_SUMS[m][1]} AS DOUBLE) AS bottom "
+    f"FROM campaigns WHERE {where} AND {_SUMS[m][0]} IS NOT NULL AND {_SUMS[m][1]} IS NOT NULL"
+    for name, metrics, where_a, where_b, _, _ in _PLAIN for m in metrics
+    for arm, where in (("a", where_a), ("b", where_b))) + ")"
+
+# Rows of a bag with their weights in each replicate: the Poisson limits at or below a number.
+_BAGS = f""",
+rep AS (
+  WITH RECURSIVE steps_of(replicate, p, q) AS (
+    SELECT 0, CAST({MULTIPLIERS[0]} AS BIGINT), CAST({MULTIPLIERS[1]} AS BIGINT)
+    UNION ALL
+    SELECT replicate + 1, p * {MULTIPLIERS[0]} % {PRIME}, q * {MULTIPLIERS[1]} % {PRIME}
+    FROM steps_of WHERE replicate + 1 < {bags.REPLICATES}
+  ) SELECT * FROM steps_of
+),
+dealt AS (
+  SELECT *, CAST('0x' || substr(md5(row_id), 1, 7) AS BIGINT) + 1 AS x,
+         CAST('0x' || substr(md5(row_id), 8, 7) AS BIGINT) + 1 AS y,
+         CAST('0x' || substr(md5(row_id), 15, 7) AS BIGINT) % CAST(ceil(n / {bags.BAG_ROWS}e0) AS BIGINT) AS bag
+  FROM (SELECT *, count(*) OVER (PARTITION BY experiment, metric, arm) AS n FROM long)
+),
+means AS (
+  SELECT experiment, metric, arm, bag, any_value(n) / CAST(count(*) AS DOUBLE) AS mean
+  FROM dealt GROUP BY 1, 2, 3, 4
+),
+places AS (
+  SELECT *, unnest(range(CAST(greatest(0, ceil(mean - 12 * sqrt(mean) - 20)) AS BIGINT),
+                         CAST(ceil(mean + 12 * sqrt(mean) + 20) AS BIGINT) + 1)) AS k FROM means
+),
+limits AS (
+  SELECT experiment, metric, arm, bag, min(k) AS low, list(below ORDER BY k) AS below
+  FROM (SELECT *, CAST(floor({PRIME} * sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (
+          PARTITION BY experiment, metric, arm, bag ORDER BY k ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS below
+        FROM places)
+  GROUP BY 1, 2, 3, 4
+),
+runs AS (
+  SELECT d.*, replicate, low + len(list_filter(below, lambda z: z <= (x * p + y * q) % {PRIME})) AS weight
+  FROM dealt d JOIN limits USING (experiment, metric, arm, bag), rep
+)"""
+_BAG_ENDS = f"""
+SELECT experiment, metric, arm, {r('avg(lower)', 6)} AS lower, {r('avg(upper)', 6)} AS upper, count(*) AS bags
+FROM (SELECT experiment, metric, arm, bag, quantile_cont(stat, 0.025) AS lower, quantile_cont(stat, 0.975) AS upper
+      FROM stats GROUP BY 1, 2, 3, 4)
+GROUP BY 1, 2, 3"""
+_ARM = [*report.KEYS, "arm"]
+
+
+@query(f"""WITH {LONG}{_BAGS},
+sorted AS (
+  SELECT *, sum(weight) OVER (PARTITION BY experiment, metric, arm, bag, replicate ORDER BY value, row_id
+                              ROWS UNBOUNDED PRECEDING) AS upto,
+         sum(weight) OVER (PARTITION BY experiment, metric, arm, bag, replicate) AS total FROM runs
+),
+stats AS (
+  SELECT experiment, metric, arm, bag, replicate, sum(value * kept) / sum(kept) AS stat
+  FROM (SELECT *, greatest(0, least(upto, 0.9e0 * total) - greatest(upto - weight, 0.1e0 * total)) AS kept FROM sorted)
+  GROUP BY 1, 2, 3, 4, 5
+){_BAG_ENDS}""")
+def boot_trimmed_ci(spark, sf_dir):
+    """Intervals of the mean without a tenth at either end, from a bag of little bootstraps."""
+    long = samples(member_rows(spark, sf_dir), SPECS)
+    stats = bags.bag_statistics(long, _ARM, ["value"], bags.trimmed_mean())
+    return rounded(bags.bag_intervals(stats, _ARM), {"lower": 6, "upper": 6})
+
+
+@query(f"""WITH {_PARTS}{_BAGS},
+stats AS (
+  SELECT experiment, metric, arm, bag, replicate, sum(weight * top) / nullif(sum(weight * bottom), 0) AS stat
+  FROM runs GROUP BY 1, 2, 3, 4, 5
+){_BAG_ENDS}""")
+def boot_ratio_ci(spark, sf_dir):
+    """Intervals of the metrics of whole segments, ratios of sums, in the same way."""
+    base = stage(campaigns(spark, sf_dir).select(
+        *COLUMNS, "clicks", "impressions", "revenue", "spent"), "campaigns")
+    stats = bags.bag_statistics(ratio_samples(base, SPECS), _ARM, ["top", "bottom"], bags.ratio_of_sums)
+    return rounded(bags.bag_intervals(stats, _ARM), {"lower": 6, "upper": 6})
+
+
 def _ends(intervals: DataFrame) -> DataFrame:
     return intervals.select("experiment", "metric", "arm", F.col("ci")[0].alias("lower"),
                             F.col("ci")[1].alias("upper"))
