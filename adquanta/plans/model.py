@@ -10,27 +10,32 @@ from adquanta.experiments.ranks import roc_area
 from adquanta.functions.features import with_features
 from adquanta.functions.labels import FIXED_HIGH_CUT, FIXED_MEDIUM_CUT, PRIORITIES
 from adquanta.models import forest
-from adquanta.session import stage
+from adquanta.session import file_states, stage
 from adquanta.sources.files import SCORED_COLUMNS, reuse
-from adquanta.sources.tables import campaigns, table
+from adquanta.sources.tables import CAMPAIGN_TABLES, campaigns, table
 
 from .common import FEATURES, r, registry, rounded
 
 QUERIES, SQL, query = registry()
 
 
-# Fitted models and feature tables of this session, by table folder and inputs.
+# Fitted models and feature tables of this session, by table folder and inputs, each
+# with the files it was made from.
 _FITS: dict = {}
 
 
 def _fitted(spark: SparkSession, sf_dir: str, drop: tuple[str, ...] = forest.LEAKING) -> tuple[PipelineModel, DataFrame]:
-    """A forest trained on the training share of the staged feature table; fitted once a session."""
+    """A forest trained on the training share of the staged feature table.
+
+    It is fitted once a session, and anew as soon as a file of the tables has changed.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, drop)
-    if key not in _FITS:
+    files = [file_states(spark, f"{sf_dir}/{name}.parquet") for name in CAMPAIGN_TABLES]
+    if key not in _FITS or _FITS[key][0] != files:
         used = dict.fromkeys(["ad_id", "roas", *forest.CATEGORICAL, *forest.NUMERIC, forest.LABEL])
         df = stage(with_features(campaigns(spark, sf_dir)).select(*used), "features")
-        _FITS[key] = forest.forest(drop=drop).fit(df.where(forest.in_train("ad_id"))), df
-    return _FITS[key]
+        _FITS[key] = files, forest.forest(drop=drop).fit(df.where(forest.in_train("ad_id"))), df
+    return _FITS[key][1:]
 
 
 @query(f"""WITH {FEATURES}

@@ -90,3 +90,14 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of every file below a path; a changed table has another list."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listed = [], store.listFiles(where, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)

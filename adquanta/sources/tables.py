@@ -11,6 +11,8 @@ EVENT_TYPES = {"view": "impression", "click": "click", "purchase": "conversion",
 # The line return flags and the platform lists they form.
 FLAGS = ("A", "N", "R")
 PLATFORMS = ("A", "A,N", "A,N,R", "A,R", "N", "N,R", "R")
+# Tables that a campaign row is made from.
+CAMPAIGN_TABLES = ("orders", "lineitem", "customer", "nation", "region")
 N_PARTITIONS = 3
 N_ADVERTISERS = 10
 

@@ -85,3 +85,19 @@ def test_whole_pivot_adds_up_to_the_revenue(spark, sf_dir):
     rows = {r.advertiser: sum(r[c] for c in wide.columns if c != "advertiser") for r in wide.collect()}
     sums = campaigns(spark, sf_dir).groupBy("advertiser").agg(F.sum("revenue").alias("s"))
     assert rows == pytest.approx({r.advertiser: r.s for r in sums.collect()})
+
+
+def test_a_changed_table_is_fitted_anew(spark, sf_dir, tmp_path):
+    """The model of a folder is kept while its files are, and no longer."""
+    from adquanta.plans import model
+
+    for name in model.CAMPAIGN_TABLES:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    first = model._fitted(spark, folder)
+    assert model._fitted(spark, folder)[0] is first[0]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.where("o_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    second = model._fitted(spark, folder)
+    assert second[0] is not first[0]
+    assert second[1].count() == orders.where("o_orderkey % 2 = 0").count() < first[1].count()
