@@ -28,7 +28,7 @@ from .words import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
 STRETCH_BYTES = 2 << 20   # text between two lists of new words
-KNOWN_WORDS = 250_000     # merged words that a task remembers before it starts anew
+KNOWN_WORDS = 600_000     # merged words that a task remembers before it starts anew
 KNOWN_RUNS = 150_000
 LONG_WORD = 64            # longer words are merged with a heap, not by the fold
 NONE = 1 << 17            # no rank is that large
