@@ -23,18 +23,24 @@ def approximate_quantile(value: str | Column, p: float, relative_error: float =
     return F.percentile_approx(value, F.lit(p), F.lit(math.ceil(1 / relative_error)))
 
 
-def _order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int) -> dict[int, float]:
+def _proposals(value: str, shares: list[float]) -> Column:
+    """Aggregate column: a sketch's values a little below and above each share of the rows."""
+    points = sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-BRACKET, BRACKET)})
+    return F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(math.ceil(2 / BRACKET)))
+
+
+def _order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int,
+                      cuts: list[float]) -> dict[int, float]:
     """The values with the given 0-based ranks in ascending order.
 
-    A sketch proposes two values around every rank; one aggregate counts
+    ``cuts`` are values proposed around every rank. One aggregate counts
     exactly what lies below and at each of them; one more finds the ranks in
-    the narrow intervals between them: three passes for any number of ranks.
-    Intervals that still hold many rows are narrowed the same way first.
+    the narrow intervals between them: two passes for any number of ranks.
+    Intervals that still hold many rows are narrowed by a sketch of their own first.
     """
     v, found = F.col(value), {}
     asked = sorted(set(ranks))
-    points = sorted({min(max((r + 0.5) / rows + d, 0.0), 1.0) for r in asked for d in (-BRACKET, BRACKET)})
-    cuts = sorted(set(df.approxQuantile(value, points, BRACKET / 2)))
+    cuts = sorted(set(cuts))
     counts = df.agg(*[c for x in cuts for c in (F.count_if(v < x), F.count_if(v == x))]).first()
     below, at = counts[0::2], counts[1::2]
     # Open intervals between neighbouring cuts: (lower, upper, rows below, rows inside).
@@ -58,7 +64,9 @@ def _order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int) ->
 
     for edge in {e for e in left.values() if e[3] > HELD_ROWS}:
         here = {r: e for r, e in left.items() if e == edge}
-        part = _order_statistics(df.where(inside(edge)), value, [r - edge[2] for r in here], edge[3])
+        part, wanted = df.where(inside(edge)), [r - edge[2] for r in here]
+        nearer = part.agg(_proposals(value, [(r + 0.5) / edge[3] for r in wanted])).first()[0]
+        part = _order_statistics(part, value, wanted, edge[3], nearer)
         for r in here:
             found[r] = part[r - edge[2]]
             del left[r]
@@ -77,18 +85,18 @@ def _order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int) ->
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation, like ``df.approxQuantile``.
 
-    Only counts and single values reach the driver, in four passes however many
-    quantiles are asked for. Null and NaN are ignored; an empty column gives
+    Only counts and single values reach the driver, in three passes however many
+    quantiles are asked for: the first counts the rows and proposes values. Null and NaN are ignored; an empty column gives
     ``None``. Runs when called; results are plain numbers, so that they reach
     scans as filters.
     """
     clean = df.select(F.col(value).cast("double").alias(value)).where(present(value))
-    rows = clean.count()
+    rows, cuts = clean.agg(F.count("*"), _proposals(value, probabilities)).first() if probabilities else (0, None)
     if rows == 0:
         return [None for _ in probabilities]
     places = [(rows - 1) * p for p in probabilities]
     found = _order_statistics(
-        clean, value, [r for x in places for r in (math.floor(x), math.ceil(x))], rows)
+        clean, value, [r for x in places for r in (math.floor(x), math.ceil(x))], rows, cuts)
     out = []
     for x in places:
         low, high = found[math.floor(x)], found[math.ceil(x)]
@@ -105,15 +113,22 @@ def with_value_ranges(df: DataFrame, values: list[str], suffix: str = "_range",
                       ranges: int | None = None) -> DataFrame:
     """Add, for each column, the number of the value range a row falls in.
 
-    The limits are approximate quantiles over all rows, taken in one pass and
-    kept in the plan as constants, so that a row gets the same range in each
-    evaluation and no range holds many more distinct values than another.
+    The limits are approximate quantiles over all rows, kept in the plan as
+    constants, so that a row gets the same range in each evaluation and no range
+    holds many more distinct values than another. The pass that counts the rows
+    takes those of the fewest ranges; a second one follows if there must be more.
     """
-    k = ranges or range_count(df.count())
     wide = df.withColumns({f"_d_{v}": F.col(v).cast("double") for v in values})
-    probabilities = [i / k for i in range(1, k)]
-    limits = wide.approxQuantile([f"_d_{v}" for v in values], probabilities, 1 / (4 * k))
-    splits = [[-math.inf, *sorted(set(found)), math.inf] for found in limits]
+
+    def limits(k: int) -> list[Column]:
+        shares = F.array(*[F.lit(i / k) for i in range(1, k)])
+        return [F.percentile_approx(F.when(present(f"_d_{v}"), F.col(f"_d_{v}")), shares, F.lit(4 * k)) for v in values]
+
+    k = ranges or range_count(0)
+    rows, *found = wide.agg(F.count("*"), *(limits(k) if k > 1 else [F.lit(None) for _ in values])).first()
+    if ranges is None and range_count(rows) > k:
+        found = wide.agg(*limits(range_count(rows))).first()
+    splits = [[-math.inf, *sorted(set(x or ())), math.inf] for x in found]
     splits = [s if len(s) > 2 else [-math.inf, 0.0, math.inf] for s in splits]
     cut = Bucketizer(splitsArray=splits, inputCols=[f"_d_{v}" for v in values],
                      outputCols=[v + suffix for v in values], handleInvalid="keep")
