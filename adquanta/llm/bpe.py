@@ -1,11 +1,11 @@
-"""Byte-level BPE: ranked merges folded over the distinct words of each task's texts.
-
-Texts are cut where no match of the pattern crosses: before every space that
-something else than white space follows. A task names every distinct word
-(match) once, as an array of its bytes' ids; Spark's higher-order functions
-merge it against a rank map that stands in the plan as a literal; and the
-texts, which travel along in the same task, are put together from their words'
-ids. Nothing is shuffled, and nothing is kept but a bounded number of words.
+"""Byte-level BPE: ranked merges folded over the distinct words of the whole table.
+
+Texts are dealt by hash into chunks of bounded size. A chunk names its distinct
+words (matches of the pattern) that are no tokens themselves; equal words of all
+chunks meet, and Spark's higher-order functions merge each once, as an array of
+its bytes' ids, against a rank map that stands in the plan as a literal. The
+merged words go back to the chunks that named them, where texts are put together
+from them. Texts are shuffled once, words twice; what a task holds is one chunk.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-STRETCH_BYTES = 2 << 20   # text between two lists of new words
-KNOWN_WORDS = 250_000     # merged words that a task remembers before it starts anew
-KNOWN_RUNS = 150_000
+CHUNK_BYTES = 16 << 20    # text whose words are named together
+STRETCH_BYTES = 2 << 20   # text that is split at once
+SHARED_CHUNKS = 4096      # chunks that share one folded word
 LONG_WORD = 64            # longer words are merged with a heap, not by the fold
 NONE = 1 << 17            # no rank is that large
 ID_BITS, RANK_AT = 16, 40 # an id has 16 bits, the start of one in its word 24
@@ -37,6 +37,7 @@ END = (1 << ID_BITS) - 1  # no id; stands before and behind a word
 REST = (1 << RANK_AT) - 1
 
 _RUN = regex.compile(r" (?=\S)")
+_MATCH = regex.compile(public_tokenizers.PATTERN)
 
 
 def read_ranks(name: str = RANKS) -> dict[bytes, int]:
@@ -52,6 +53,17 @@ def runs(text: str) -> list[str]:
     return [first, *(" " + r for r in rest)]
 
 
+def matches(run: str) -> list[str]:
+    """A run's matches of the pattern; ASCII letters behind a space are one."""
+    plain = run.isascii() and run[:1] == " " and run[1:].isalpha()
+    return [run] if plain else _MATCH.findall(run)
+
+
+def split(rows: pa.RecordBatch) -> list[list[str]]:
+    """The runs of every text; null is an empty text."""
+    return [runs(t or "") for t in rows.column("text").to_pylist()]
+
+
 def given(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -163,98 +175,81 @@ def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x, on in zip(ids, alive) if on]
 
 
-def encode(docs: DataFrame, ranks_file: str = RANKS, stretch_bytes: int = STRETCH_BYTES,
-           known_words: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BYTES,
+           shared_chunks: int = SHARED_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and ``ids``, the tokens as little-endian unsigned 32-bit numbers.
 
     Whole texts are encoded, each match of the pattern separately, without
     special tokens; a match that is a token itself stays whole. Null is an
     empty text and has no tokens. Repeated rows are encoded each; an empty table
     gives no rows; other columns are not looked at.
+
+    Up to ``shared_chunks`` chunks share one folded word, so the list of a
+    frequent word's chunks stays short at any size of the table.
     """
     ranks = read_ranks(ranks_file)
     merges = RankMap(ranks)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first().n
+    n_chunks = (total or 0) // chunk_bytes + 1
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
     # Both are fixed by the rank file, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.pairs))
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+    byte_ids = [ranks[bytes([b])] for b in range(256)]
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def on_first(values: pa.Array, n: int) -> pa.Array:
-        """``n`` rows of which the first has all values."""
-        return pa.ListArray.from_arrays(pa.array([0] + n * [len(values)], pa.int32()), values)
-
-    def name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents; the first of a stretch has the words that the task has not named before."""
-        find, tokens = regex.compile(public_tokenizers.PATTERN).findall, shared.value[0]
-        named: set[str] = set()
-        done: set[str] = set()
-        for batch in batches:
-            for part in chunks(batch, "text", stretch_bytes):
-                anew = len(named) > known_words
-                if anew:
-                    named, done = set(), set()
-                if len(done) > KNOWN_RUNS:
-                    done = set()
-                here: set[str] = set()
-                for text in part.column("text").to_pylist():
-                    here.update(runs(text or ""))
-                here -= done
-                words = {w for r in here for w in find(r)} - named
-                done |= here
-                named |= words
-                raw = [x for x in map(str.encode, words) if x not in tokens and len(x) <= LONG_WORD]
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
-                flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-                firsts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("text"), pa.array([anew] + (n - 1) * [False]),
-                     on_first(pa.array(raw, pa.binary()), n), on_first(firsts, n)],
-                    ["id", "text", "anew", "words", "firsts"])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, (tokens, pairs) = regex.compile(public_tokenizers.PATTERN).findall, shared.value
-        known: dict[str, bytes] = {}
-        cache: dict[str, bytes] = {}
+    def name_words(key: tuple, texts: pa.Table) -> pa.Table:
+        """The distinct words of a chunk that have to be merged."""
+        here: set[str] = set()
+        for batch in texts.to_batches():
+            for rows in chunks(batch, "text", STRETCH_BYTES):
+                here.update(*split(rows))
+        words = {w.encode() for r in here for w in matches(r)}
+        raw = [w for w in words if len(w) <= LONG_WORD and w not in shared.value[0]]
+        return pa.table([pa.array(len(raw) * [key[0].as_py()], pa.int64()), pa.array(raw, pa.binary())],
+                        names=["chunk", "word"])
+
+    def put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        tokens, pairs = shared.value
+        known: dict[bytes, bytes] = {}
+        for batch in words.to_batches():
+            lists = batch.column("merged")
+            raw = np.asarray(lists.flatten()).astype("<u4").tobytes()
+            at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(lists), np.int64)))).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(batch.column("word").to_pylist(), at[:-1], at[1:]))
 
         def ids_of(word: str) -> bytes:
-            got = known.get(word)
-            if got is None:
-                raw = word.encode()
-                if raw in tokens:
-                    got = np.array([tokens[raw]], "<u4").tobytes()
-                else:  # a long word
-                    got = np.array(merged_long(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), pairs), "<u4").tobytes()
-            return got
+            raw = word.encode()
+            token = tokens.get(raw)
+            if token is not None:
+                return token.to_bytes(4, "little")
+            if len(raw) <= LONG_WORD:
+                return known[raw]
+            return np.array(merged_long([byte_ids[b] for b in raw], pairs), "<u4").tobytes()
 
-        for batch in batches:
-            starts = np.flatnonzero(batch.column("anew").to_numpy(zero_copy_only=False))
-            for lo, hi in zip([0, *starts], [*starts, batch.num_rows]):
-                if lo in starts:
-                    known.clear()
-                part = batch.slice(lo, hi - lo)
-                merged = part.column("merged").flatten()
-                raw = np.asarray(merged.flatten()).astype("<u4").tobytes()
-                at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(merged), np.int64)))).tolist()
-                names = part.column("words").flatten().to_pylist()
-                known.update((w.decode(), raw[a:b]) for w, a, b in zip(names, at[:-1], at[1:]))
-                for rows in chunks(part, "text", stretch_bytes):
-                    split = [runs(t or "") for t in rows.column("text").to_pylist()]
-                    here: set[str] = set()
-                    for parts in split:
-                        here.update(parts)
-                    if len(cache) > KNOWN_RUNS:
-                        cache.clear()
-                    for r in here - cache.keys():
-                        cache[r] = b"".join(map(ids_of, find(r)))
-                    made = [b"".join(map(cache.__getitem__, parts)) for parts in split]
-                    yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(made, pa.binary())], ["id", "ids"])
-
-    rows = plain.mapInArrow(name_words, f"id {kind}, text string, anew boolean, "
-                                        "words array<binary>, firsts array<array<bigint>>")
-    folded = rows.select("id", "text", "anew", "words", F.transform("firsts", merges.merged).alias("merged"))
-    return folded.mapInArrow(put_together, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+        cache: dict[str, bytes] = {}
+        made: list[bytes] = []
+        for batch in texts.to_batches():
+            for rows in chunks(batch, "text", STRETCH_BYTES):
+                parts = split(rows)
+                here: set[str] = set()
+                here.update(*parts)
+                for r in here - cache.keys():
+                    cache[r] = b"".join(map(ids_of, matches(r)))
+                made += [b"".join(map(cache.__getitem__, p)) for p in parts]
+        return pa.table([texts.column("id"), pa.array(made, pa.binary())], names=["id", "ids"])
+
+    # A byte is the character of its number in ISO-8859-1.
+    firsts = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), lambda c: F.element_at(
+        F.array(*map(F.lit, byte_ids)), F.ascii(c) + 1).cast("bigint"))
+    named = dealt.groupBy("chunk").applyInArrow(name_words, "chunk bigint, word binary")
+    group = F.floor(F.col("chunk") / shared_chunks).alias("part")
+    met = named.select("chunk", "word", group).repartition("word", "part").groupBy("word", "part").agg(
+        F.collect_list("chunk").alias("chunks"))
+    folded = met.select("word", "chunks", merges.merged(firsts).cast("array<int>").alias("merged"))
+    back = folded.select(F.explode("chunks").alias("chunk"), "word", "merged")
+    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+        put_together, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks_file: str = RANKS, id_col: str = "doc_id", digest: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ def library():
 
 def test_bpe_is_the_library_s(docs, rows):
     want = library()
-    for options in ({}, {"known_words": 4, "stretch_bytes": 2000}):
+    for options in ({}, {"chunk_bytes": 2000, "shared_chunks": 2}):
         tokens = encode(docs, **options)
         ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in tokens.collect()}
         assert ids == {d: want.encode_ordinary(t or "") for d, t in rows}
