@@ -1,11 +1,12 @@
 """Byte-level BPE: ranked merges folded over the distinct words of the whole table.
 
 Texts are dealt by hash into chunks of bounded size. A chunk names its distinct
-words (matches of the pattern) that are no tokens themselves; equal words of all
-chunks meet, and Spark's higher-order functions merge each once, as an array of
-its bytes' ids, against a rank map that stands in the plan as a literal. The
-merged words go back to the chunks that named them, where texts are put together
-from them. Texts are shuffled once, words twice; what a task holds is one chunk.
+words (matches of the pattern) that are no tokens themselves, one packed list a
+hash bucket; equal words of many chunks meet in their bucket, and Spark's
+higher-order functions merge each once, as an array of its bytes' ids, against a
+rank map that stands in the plan as a literal. The answers go back to the chunks
+that asked, where texts are put together from them. Texts are shuffled once,
+lists of words there and back; a task holds one chunk or one bucket.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import hashlib
 import heapq
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 CHUNK_BYTES = 16 << 20    # text whose words are named together
 STRETCH_BYTES = 2 << 20   # text that is split at once
 SHARED_CHUNKS = 4096      # chunks that share one folded word
+BUCKET_CHUNKS = 4         # a bucket holds as many words as that many chunks
+ROW_WORDS = 10_000        # words that are folded in one row
 LONG_WORD = 64            # longer words are merged with a heap, not by the fold
 NONE = 1 << 17            # no rank is that large
 ID_BITS, RANK_AT = 16, 40 # an id has 16 bits, the start of one in its word 24
@@ -59,6 +63,28 @@ def matches(run: str) -> list[str]:
     return [run] if plain else _MATCH.findall(run)
 
 
+def packed(rows: pa.Table | pa.RecordBatch) -> bytes:
+    """The rows as one compressed piece."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(pieces: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of packed pieces."""
+    for piece in pieces:
+        yield from pa.ipc.open_stream(piece.as_buffer())
+
+
+def dealt_out(rows: pa.RecordBatch, places: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Packed rows of each place, in their order."""
+    order = np.argsort(places, kind="stable")
+    found, starts = np.unique(places[order], return_index=True)
+    rows = rows.take(pa.array(order))
+    return found.tolist(), [packed(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(places)])]
+
+
 def split(rows: pa.RecordBatch) -> list[list[str]]:
     """The runs of every text; null is an empty text."""
     return [runs(t or "") for t in rows.column("text").to_pylist()]
@@ -192,31 +218,79 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first().n
     n_chunks = (total or 0) // chunk_bytes + 1
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
+    n_buckets = min(n_chunks, shared_chunks) // BUCKET_CHUNKS + 1
     # Both are fixed by the rank file, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.pairs))
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found, pieces = dealt_out(batch.select(["id", "text"]), np.asarray(batch.column("chunk")))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pieces, pa.binary())],
+                                                 ["chunk", "texts"])
+
+    def texts_of(pieces: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(pieces):
+            yield from chunks(batch, "text", STRETCH_BYTES)
+
     def name_words(key: tuple, texts: pa.Table) -> pa.Table:
-        """The distinct words of a chunk that have to be merged."""
+        """The distinct words of a chunk that have to be merged, one list a bucket."""
         here: set[str] = set()
-        for batch in texts.to_batches():
-            for rows in chunks(batch, "text", STRETCH_BYTES):
-                here.update(*split(rows))
+        for rows in texts_of(texts.column("texts")):
+            here.update(*split(rows))
         words = {w.encode() for r in here for w in matches(r)}
-        raw = [w for w in words if len(w) <= LONG_WORD and w not in shared.value[0]]
-        return pa.table([pa.array(len(raw) * [key[0].as_py()], pa.int64()), pa.array(raw, pa.binary())],
-                        names=["chunk", "word"])
-
-    def put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        raw = sorted(w for w in words if len(w) <= LONG_WORD and w not in shared.value[0])
+        places = np.array([zlib.crc32(w) % n_buckets for w in raw], np.int64)
+        found, lists = dealt_out(pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["word"]), places)
+        chunk = key[0].as_py()
+        return pa.table([pa.array(len(found) * [chunk], pa.int64()), pa.array(len(found) * [chunk // shared_chunks], pa.int64()),
+                         pa.array(found, pa.int64()), pa.array(lists, pa.binary())],
+                        names=["chunk", "part", "bucket", "words"])
+
+    asked = pa.list_(pa.struct([("chunk", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())]))
+
+    def meet(key: tuple, lists: pa.Table) -> pa.Table:
+        """A bucket's distinct words as arrays of byte ids; the last row has who asked for which."""
+        number: dict[bytes, int] = {}
+        asks = []
+        for chunk, piece in zip(lists.column("chunk").to_pylist(), lists.column("words")):
+            words = [w for batch in unpacked([piece]) for w in batch.column("word").to_pylist()]
+            numbers = np.array([number.setdefault(w, len(number)) for w in words], "<i4")
+            asks.append({"chunk": chunk, "words": piece.as_py(), "numbers": numbers.tobytes()})
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in number]))).astype(np.int32)
+        flat = byte_ids[np.frombuffer(b"".join(number), np.uint8)]
+        firsts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
+        cuts = [*range(0, len(number), ROW_WORDS), len(number)]
+        rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), firsts)
+        return pa.table([rows, pa.array((len(rows) - 1) * [[]] + [asks], asked)], names=["firsts", "asks"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of a bucket's words for every chunk that asked for them."""
+        merged: list[pa.Array] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                merged.append(batch.column("merged").slice(i, 1).flatten())
+                asks = batch.column("asks")[i].as_py()
+                if asks:
+                    ids = pa.concat_arrays(merged).cast(pa.list_(pa.int32()))
+                    merged = []
+                    lists = [packed(pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(np.frombuffer(a["numbers"], "<i4")))], ["ids"])) for a in asks]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([a["chunk"] for a in asks], pa.int64()),
+                         pa.array([a["words"] for a in asks], pa.binary()), pa.array(lists, pa.binary())],
+                        ["chunk", "words", "ids"])
+
+    def put_together(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, pairs = shared.value
         known: dict[bytes, bytes] = {}
-        for batch in words.to_batches():
-            lists = batch.column("merged")
-            raw = np.asarray(lists.flatten()).astype("<u4").tobytes()
-            at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(lists), np.int64)))).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(batch.column("word").to_pylist(), at[:-1], at[1:]))
+        for words, lists in zip(unpacked(answers.column("words")), unpacked(answers.column("ids"))):
+            ids = lists.column("ids")
+            raw = np.asarray(ids.flatten()).astype("<u4").tobytes()
+            at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(ids), np.int64)))).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(words.column("word").to_pylist(), at[:-1], at[1:]))
 
         def ids_of(word: str) -> bytes:
             raw = word.encode()
@@ -225,30 +299,29 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
                 return token.to_bytes(4, "little")
             if len(raw) <= LONG_WORD:
                 return known[raw]
-            return np.array(merged_long([byte_ids[b] for b in raw], pairs), "<u4").tobytes()
+            return np.array(merged_long(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), pairs), "<u4").tobytes()
 
         cache: dict[str, bytes] = {}
+        rows: list[pa.Array] = []
         made: list[bytes] = []
-        for batch in texts.to_batches():
-            for rows in chunks(batch, "text", STRETCH_BYTES):
-                parts = split(rows)
-                here: set[str] = set()
-                here.update(*parts)
-                for r in here - cache.keys():
-                    cache[r] = b"".join(map(ids_of, matches(r)))
-                made += [b"".join(map(cache.__getitem__, p)) for p in parts]
-        return pa.table([texts.column("id"), pa.array(made, pa.binary())], names=["id", "ids"])
-
-    # A byte is the character of its number in ISO-8859-1.
-    firsts = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), lambda c: F.element_at(
-        F.array(*map(F.lit, byte_ids)), F.ascii(c) + 1).cast("bigint"))
-    named = dealt.groupBy("chunk").applyInArrow(name_words, "chunk bigint, word binary")
-    group = F.floor(F.col("chunk") / shared_chunks).alias("part")
-    met = named.select("chunk", "word", group).repartition("word", "part").groupBy("word", "part").agg(
-        F.collect_list("chunk").alias("chunks"))
-    folded = met.select("word", "chunks", merges.merged(firsts).cast("array<int>").alias("merged"))
-    back = folded.select(F.explode("chunks").alias("chunk"), "word", "merged")
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+        for batch in texts_of(texts.column("texts")):
+            parts = split(batch)
+            here: set[str] = set()
+            here.update(*parts)
+            for r in here - cache.keys():
+                cache[r] = b"".join(map(ids_of, matches(r)))
+            rows.append(batch.column("id"))
+            made += [b"".join(map(cache.__getitem__, p)) for p in parts]
+        return pa.table([pa.chunked_array(rows), pa.array(made, pa.binary())], names=["id", "ids"])
+
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks))).mapInArrow(
+        pack_texts, "chunk bigint, texts binary")
+    named = dealt.groupBy("chunk").applyInArrow(name_words, "chunk bigint, part bigint, bucket bigint, words binary")
+    met = named.groupBy("part", "bucket").applyInArrow(
+        meet, "firsts array<array<bigint>>, asks array<struct<chunk: bigint, words: binary, numbers: binary>>")
+    folded = met.select(F.transform("firsts", merges.merged).alias("merged"), "asks")
+    answers = folded.mapInArrow(answer, "chunk bigint, words binary, ids binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         put_together, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
