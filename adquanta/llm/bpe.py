@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES = 16 << 20    # text whose words are named together
+CHUNK_BYTES = 8 << 20     # text whose words are named together
 STRETCH_BYTES = 2 << 20   # text that is split at once
 SHARED_CHUNKS = 4096      # chunks that share one folded word
 BUCKET_CHUNKS = 4         # a bucket holds as many words as that many chunks
@@ -235,21 +235,28 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
         for batch in unpacked(pieces):
             yield from chunks(batch, "text", STRETCH_BYTES)
 
-    def name_words(key: tuple, texts: pa.Table) -> pa.Table:
-        """The distinct words of a chunk that have to be merged, one list a bucket."""
+    def to_merge(texts: pa.Table) -> tuple[list[bytes], np.ndarray]:
+        """A chunk's distinct words that have to be merged, and their buckets.
+
+        A chunk always holds the same texts, so both times the list is the same.
+        """
         here: set[str] = set()
         for rows in texts_of(texts.column("texts")):
             here.update(*split(rows))
         words = {w.encode() for r in here for w in matches(r)}
         raw = sorted(w for w in words if len(w) <= LONG_WORD and w not in shared.value[0])
-        places = np.array([zlib.crc32(w) % n_buckets for w in raw], np.int64)
+        return raw, np.array([zlib.crc32(w) % n_buckets for w in raw], np.int64)
+
+    def name_words(key: tuple, texts: pa.Table) -> pa.Table:
+        """The words of a chunk that have to be merged, one list a bucket."""
+        raw, places = to_merge(texts)
         found, lists = dealt_out(pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["word"]), places)
         chunk = key[0].as_py()
         return pa.table([pa.array(len(found) * [chunk], pa.int64()), pa.array(len(found) * [chunk // shared_chunks], pa.int64()),
                          pa.array(found, pa.int64()), pa.array(lists, pa.binary())],
                         names=["chunk", "part", "bucket", "words"])
 
-    asked = pa.list_(pa.struct([("chunk", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())]))
+    asked = pa.list_(pa.struct([("chunk", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary())]))
 
     def meet(key: tuple, lists: pa.Table) -> pa.Table:
         """A bucket's distinct words as arrays of byte ids; the last row has who asked for which."""
@@ -258,7 +265,7 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
         for chunk, piece in zip(lists.column("chunk").to_pylist(), lists.column("words")):
             words = [w for batch in unpacked([piece]) for w in batch.column("word").to_pylist()]
             numbers = np.array([number.setdefault(w, len(number)) for w in words], "<i4")
-            asks.append({"chunk": chunk, "words": piece.as_py(), "numbers": numbers.tobytes()})
+            asks.append({"chunk": chunk, "bucket": key[1].as_py(), "numbers": numbers.tobytes()})
         bounds = np.concatenate(([0], np.cumsum([len(w) for w in number]))).astype(np.int32)
         flat = byte_ids[np.frombuffer(b"".join(number), np.uint8)]
         firsts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
@@ -280,17 +287,19 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
                         [ids.take(pa.array(np.frombuffer(a["numbers"], "<i4")))], ["ids"])) for a in asks]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([a["chunk"] for a in asks], pa.int64()),
-                         pa.array([a["words"] for a in asks], pa.binary()), pa.array(lists, pa.binary())],
-                        ["chunk", "words", "ids"])
+                         pa.array([a["bucket"] for a in asks], pa.int64()), pa.array(lists, pa.binary())],
+                        ["chunk", "bucket", "ids"])
 
     def put_together(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, pairs = shared.value
         known: dict[bytes, bytes] = {}
-        for words, lists in zip(unpacked(answers.column("words")), unpacked(answers.column("ids"))):
+        words, places = to_merge(texts)
+        for bucket, lists in zip(answers.column("bucket").to_pylist(), unpacked(answers.column("ids"))):
             ids = lists.column("ids")
             raw = np.asarray(ids.flatten()).astype("<u4").tobytes()
             at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(ids), np.int64)))).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(words.column("word").to_pylist(), at[:-1], at[1:]))
+            known.update((words[i], raw[a:b]) for i, a, b in zip(
+                np.flatnonzero(places == bucket).tolist(), at[:-1], at[1:], strict=True))
 
         def ids_of(word: str) -> bytes:
             raw = word.encode()
@@ -318,9 +327,9 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
         pack_texts, "chunk bigint, texts binary")
     named = dealt.groupBy("chunk").applyInArrow(name_words, "chunk bigint, part bigint, bucket bigint, words binary")
     met = named.groupBy("part", "bucket").applyInArrow(
-        meet, "firsts array<array<bigint>>, asks array<struct<chunk: bigint, words: binary, numbers: binary>>")
+        meet, "firsts array<array<bigint>>, asks array<struct<chunk: bigint, bucket: bigint, numbers: binary>>")
     folded = met.select(F.transform("firsts", merges.merged).alias("merged"), "asks")
-    answers = folded.mapInArrow(answer, "chunk bigint, words binary, ids binary")
+    answers = folded.mapInArrow(answer, "chunk bigint, bucket bigint, ids binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         put_together, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
@@ -336,7 +345,7 @@ def decode(tokens: DataFrame, ranks_file: str = RANKS, id_col: str = "doc_id", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: token for token, rank in read_ranks(ranks_file).items()}
         decimal = {rank: str(rank) for rank in pieces}
-        for batch in batches:
+        for batch in (rows for b in batches for rows in chunks(b, "ids", STRETCH_BYTES)):
             numbers = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column("ids").to_pylist()]
             texts = [b"".join(map(pieces.__getitem__, n)) for n in numbers]
             if digest:
