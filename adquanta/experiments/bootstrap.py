@@ -46,19 +46,39 @@ def _steps(replicates: int, seed: int) -> list[list[int]]:
 
 def _drawer(replicates: int, seed: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function that gives the weights (rows x replicates) of rows by their two numbers."""
-    p, q = (np.array(s, dtype=np.int64) for s in _steps(replicates, seed))
-    first, second, third, *rest = [k for k in poisson_limits() if k < PRIME]
+    p, q = (np.array(s, dtype=np.uint64) for s in _steps(replicates, seed))
+    limits = np.array([k for k in poisson_limits() if k < PRIME], dtype=np.uint32)
+    common = 5  # higher weights are one draw in seventeen hundred
+    block = max(1, 65_536 // replicates)  # rows whose draws fit a core's cache
 
     def draw(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        u = np.multiply.outer(x, p)
-        u += np.multiply.outer(y, q)
-        u %= PRIME
-        weight = (u >= first).astype(np.float64)
-        weight += u >= second
-        weight += u >= third
-        high = np.flatnonzero(u >= rest[0])  # one draw in fifty
-        weight.flat[high] += np.searchsorted(np.array(rest), u.flat[high], "right")
-        return weight
+        out = np.empty((len(x), replicates))
+        x, y = (np.mod(v, PRIME).astype(np.uint64)[:, None] for v in (x, y))
+        u, other = np.empty((2, block, replicates), dtype=np.uint64)
+        v, less = np.empty((2, block, replicates), dtype=np.uint32)
+        for i in range(0, len(x), block):
+            n = min(block, len(x) - i)
+            u, other, v, less = u[:n], other[:n], v[:n], less[:n]
+            np.multiply(x[i:i + n], p, out=u)
+            np.multiply(y[i:i + n], q, out=other)
+            u += other
+            # Modulo 2^31 - 1 the bits above the 31st count once more from the first.
+            # Sums of numbers of 28 and 31 bits need this once, and a subtraction.
+            for _ in range(1 if n and max(x[i:i + n].max(), y[i:i + n].max()) <= 2**28 else 2):
+                np.right_shift(u, np.uint64(31), out=other)
+                u &= np.uint64(PRIME)
+                u += other
+            np.copyto(v, u, casting="unsafe")
+            np.subtract(v, np.uint32(PRIME), out=less)  # wraps round where v is smaller
+            np.minimum(v, less, out=v)
+            weight = (v >= limits[0]).view(np.uint8)
+            for limit in limits[1:common]:
+                weight += (v >= limit).view(np.uint8)
+            high = np.flatnonzero(v >= limits[common])
+            weight.ravel()[high] += np.searchsorted(
+                limits[common:], v.ravel()[high], "right").astype(np.uint8)
+            out[i:i + n] = weight
+        return out
 
     return draw
 
@@ -97,42 +117,49 @@ def weighted_sums(rows: DataFrame, keys: list[str], columns: list[str], replicat
     Exploding each row costs an aggregate update per row and replicate. Here a
     task draws the weights of a few hundred rows at a time, once for a row
     however many keys it belongs to, and adds the products with the columns to
-    one small array per key. It needs memory for keys * replicates * columns
-    only and sends as many rows to the final sum. The number of distinct keys
-    must be bounded, as that of arms is.
+    one small array per key. Rows that belong to the same keys stand together,
+    so that one product serves all their keys. It needs memory for keys *
+    replicates * columns only and sends as many rows to the final sum. The number
+    of distinct keys must be bounded, as that of arms is.
     """
     draw = _drawer(replicates, seed)
-    chunk = max(1, 1_000_000 // replicates)
-    n_keys = len(keys)
+    chunk = max(1, 500_000 // replicates)
+    n_keys, width = len(keys), len(columns)
 
     def partial(batches):
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             frame = batch.to_pandas()
+            if frame.empty:
+                continue
             group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             firsts = np.unique(group, return_index=True)[1]
             names = list(frame[keys].iloc[firsts].itertuples(index=False, name=None))
-            xy = frame[["_x", "_y"]].to_numpy(np.int64)
-            values = frame[columns].to_numpy(np.float64)
-            rows, row = np.unique(xy, axis=0, return_inverse=True)
-            order = np.lexsort((group, row.ravel() // chunk))
-            part = row.ravel()[order] // chunk
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(group[order]) != 0)) + 1
-            weights, drawn = None, -1
-            for picked in np.split(order, cuts):
-                if not len(picked):
-                    continue
-                at = int(row.ravel()[picked[0]] // chunk)
-                if at != drawn:
-                    here = rows[at * chunk:(at + 1) * chunk]
-                    weights, drawn = draw(here[:, 0], here[:, 1]), at
-                total = totals.setdefault(names[group[picked[0]]], np.zeros((replicates, len(columns))))
-                total += weights[row.ravel()[picked] - at * chunk].T @ values[picked]
+            found = frame.groupby(["_x", "_y"], sort=False, dropna=False)
+            row = found.ngroup().to_numpy()
+            x, y = frame[["_x", "_y"]].to_numpy(np.int64)[np.unique(row, return_index=True)[1]].T
+            # Row by key: whether it belongs, and the sums of its columns there.
+            cell, cells = row * len(names) + group, (len(x), len(names))
+            belongs = np.bincount(cell, minlength=math.prod(cells)).reshape(cells) > 0
+            sums = np.stack([np.bincount(cell, frame[c].to_numpy(np.float64), math.prod(cells)).reshape(cells)
+                             for c in columns], axis=2)
+            alike = np.unique(np.packbits(belongs, axis=1), axis=0, return_inverse=True)[1].ravel()
+            order = np.argsort(alike, kind="stable")
+            for i in range(0, len(order), chunk):
+                here = order[i:i + chunk]
+                weights = draw(x[here], y[here])
+                cuts = np.flatnonzero(np.diff(alike[here])) + 1
+                for low, high in zip([0, *cuts], [*cuts, len(here)]):
+                    own = np.flatnonzero(belongs[here[low]])
+                    added = sums[here[low:high]][:, own].reshape(high - low, -1).T @ weights[low:high]
+                    for k, part in zip(own, added.reshape(len(own), width, replicates)):
+                        totals.setdefault(names[k], np.zeros((width, replicates)))
+                        totals[names[k]] += part
         some = max(1, 100_000 // replicates)
         names = list(totals)
         for i in range(0, len(names), some):
             part = names[i:i + some]
-            out = pd.DataFrame(np.concatenate([totals[n] for n in part]), columns=columns)
+            out = pd.DataFrame(np.concatenate([totals[n].T for n in part]), columns=columns)
             for k, column in enumerate(keys):
                 out[column] = [n[k] for n in part for _ in range(replicates)]
             out["replicate"] = np.tile(np.arange(replicates, dtype=np.int32), len(part))

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 
 from adquanta.experiments import report
 from adquanta.experiments.bootstrap import (
+    PRIME,
+    _drawer,
+    _steps,
     arm_intervals,
     difference_intervals,
+    poisson_limits,
     replicate_means,
     replicate_medians,
     replicate_statistic,
@@ -419,3 +424,27 @@ def test_two_sample_test_names_what_it_lacks(spark):
                  "SELECT * FROM two_sample_test(TABLE(SELECT 'a' AS arm, 1 AS n, 1.0D AS mean, 1.0D AS std), 2)"):
         with pytest.raises(AnalysisException):
             spark.sql(text).collect()
+
+
+def test_weights_are_drawn_in_blocks_and_follow_the_formula():
+    ids = np.random.default_rng(5).integers(1, 2**28 + 1, (2, 1500))
+    draw = _drawer(1000, 3)
+    draw(*ids[:, :2])
+    tracemalloc.start()
+    weights = draw(*ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * weights.nbytes
+    p, q = (np.array(s, dtype=object) for s in _steps(1000, 3))
+    u = (np.multiply.outer(ids[0, :40].astype(object), p) + np.multiply.outer(ids[1, :40].astype(object), q)) % PRIME
+    wanted = np.searchsorted(poisson_limits(), u.astype(np.int64), "right")
+    assert (weights[:40] == wanted).all() and wanted.max() >= 5
+
+
+def test_sums_of_rows_that_share_ids_and_keys(spark):
+    rows = [("e", a, str(i % 7), float(i)) for i in range(40) for a in (("a",), ("b",), ("a", "b"))[i % 3]]
+    df = spark.createDataFrame(rows + rows[:9] + [(None, "a", "3", 2.0)], "experiment string, arm string, row_id string, v double")
+    got = {tuple(r)[:3]: r.v for r in weighted_sums(df, ["experiment", "arm"], ["v"], 50).collect()}
+    plain = replicated(df, 50).groupBy("experiment", "arm", "replicate").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
+    wanted = {tuple(r)[:3]: r.v for r in plain.collect()}
+    assert len(got) == 150 and {k: v for k, v in got.items() if v} == pytest.approx({k: v for k, v in wanted.items() if v})
