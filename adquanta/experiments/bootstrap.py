@@ -237,19 +237,16 @@ def replicate_medians(long: DataFrame, replicates: int = 2000, seed: int = 0,
     arms = long.groupBy(*keys).count().collect()  # as many as the specs declare
     if not arms:
         return long.select(*keys, F.lit(0).alias("replicate"), F.col("value").alias("stat"))
-    sketches = []
-    for i, arm in enumerate(arms):
-        here = (F.col("experiment") == arm["experiment"]) & (F.col("metric") == arm["metric"]) \
-            & (F.col("arm") == arm["arm"])
-        away = min(0.5, width / math.sqrt(arm["count"]))
-        sketches.append(F.percentile_approx(
-            F.when(here, F.col("value")), F.array(F.lit(0.5 - away), F.lit(0.5 + away)),
-            F.lit(math.ceil(10 * math.sqrt(arm["count"])))).alias(f"_{i}"))
-    ends = long.agg(*sketches).first()
+    # One sketch per arm, as fine as the largest arm needs it; each arm takes its own two shares.
+    away = {n: min(0.5, width / math.sqrt(n)) for n in {a["count"] for a in arms}}
+    shares = sorted({0.5 + side * d for d in away.values() for side in (-1, 1)})
+    finest = math.ceil(10 * math.sqrt(max(away)))
+    ends = {tuple(e[k] for k in keys): dict(zip(shares, e["ends"])) for e in long.groupBy(*keys).agg(
+        F.percentile_approx("value", F.array(*[F.lit(p) for p in shares]), F.lit(finest)).alias("ends")).collect()}
     spark = long.sparkSession
     bounds = spark.createDataFrame(
-        [(a["experiment"], a["metric"], a["arm"], *ends[i], math.ceil(width * math.sqrt(a["count"])))
-         for i, a in enumerate(arms)],
+        [(*arm, *[ends[arm][0.5 + side * away[n]] for side in (-1, 1)], math.ceil(width * math.sqrt(n)))
+         for arm, n in ((tuple(a[k] for k in keys), a["count"]) for a in arms)],
         "experiment string, metric string, arm string, lower double, upper double, many bigint")
     # One row per arm of a declared hypothesis.
     placed = long.select(*keys, "row_id", "value").join(F.broadcast(bounds), keys)
