@@ -53,11 +53,18 @@ class Projection:
 
     def __init__(self, n_ids: int):
         bits = mix(np.arange(n_ids, dtype=np.uint64) + np.uint64(1))
+        # The signs of an id as ones and zeros, in fields that one sum counts together.
+        self.fields = np.uint64(64 // DIMENSIONS) * np.arange(DIMENSIONS, dtype=np.uint64)
+        self.most = (1 << 64 // DIMENSIONS) - 1  # ids whose sum leaves every field in its place
         signs = (bits[:, None] >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)
-        self.signs = 2 * signs.astype(np.int8) - 1
+        self.signs = (signs << self.fields).sum(1, dtype=np.uint64)
 
     def point(self, ids: np.ndarray) -> np.ndarray:
-        mean = self.signs[ids].sum(0, dtype=np.int64) / max(1, len(ids))
+        positive = np.zeros(DIMENSIONS, dtype=np.int64)
+        for i in range(0, len(ids), self.most):
+            total = self.signs[ids[i:i + self.most]].sum(dtype=np.uint64)
+            positive += ((total >> self.fields) & np.uint64(self.most)).astype(np.int64)
+        mean = (2 * positive - len(ids)) / max(1, len(ids))
         return np.minimum(((mean + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 

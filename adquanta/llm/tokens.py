@@ -50,9 +50,9 @@ class Encoder:
 
     def _ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) <= COMMON:
-            return self.ranked.encode_to_numpy(text)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return np.array(self.ranked.encode_ordinary(text), self.dtype)  # does not look for special tokens
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes; null is an empty text."""
-        return [self._ids(t).astype(self.dtype).tobytes() if t else b"" for t in texts]
+        return [self._ids(t).tobytes() if t else b"" for t in texts]

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from adquanta.llm.bpe import decode, encode, read_ranks
-from adquanta.llm.packing import hilbert_keys, pack
+from adquanta.llm.packing import BITS, DIMENSIONS, Projection, hilbert_keys, pack
+from adquanta.llm.words import mix
 
 
 def library():
@@ -84,3 +86,17 @@ def test_hilbert_neighbours():
     keys = hilbert_keys(points, 3)
     assert sorted(keys) == list(range(512))
     assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_projection_counts_signs_in_little_memory():
+    projection = Projection(5000)
+    bits = mix(np.arange(5000, dtype=np.uint64) + np.uint64(1))
+    plain = 2 * ((bits[:, None] >> np.arange(DIMENSIONS, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) - 1
+    for ids in (np.zeros(0, "<u2"), np.full(200_001, 7, "<u2"), np.arange(1_000_000).astype("<u2") % 5000):
+        mean = plain[ids].sum(0) / max(1, len(ids))
+        wanted = np.minimum(((mean + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+        tracemalloc.start()
+        got = projection.point(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(got, wanted) and peak < 2_000_000
