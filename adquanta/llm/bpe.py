@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from dataclasses import dataclass
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,17 @@ ID_BITS, RANK_AT = 16, 40 # an id has 16 bits, the start of one in its word 24
 END = (1 << ID_BITS) - 1  # no id; stands before and behind a word
 REST = (1 << RANK_AT) - 1
 
-_RUN = regex.compile(r" (?=\S)")
 _MATCH = regex.compile(public_tokenizers.PATTERN)
+# Frequent forms: one match, or a word and marks, which start with no apostrophe.
+_ONE_MATCH = "^ ?(?:[A-Za-z]+|[0-9]+)$"
+_TWO_MATCHES = r"^(?P<word> ?[A-Za-z]+)(?P<marks>[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)$"
+# White space: single bytes, and what starts with one of four bytes.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_BLANKS = np.array([int.from_bytes(chr(c).encode()) for c in (
+    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
 def read_ranks(name: str = RANKS) -> dict[bytes, int]:
@@ -50,17 +60,91 @@ def read_ranks(name: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def runs(text: str) -> list[str]:
-    """Parts of a text whose matches of the pattern are those of the text."""
-    first, *rest = _RUN.split(text) if "  " in text or not text.isascii() or "\n" in text \
-        else text.split(" ")
-    return [first, *(" " + r for r in rest)]
+def offsets_of(values: pa.Array) -> np.ndarray:
+    """Where each value begins in the bytes of a string, binary or list array, and the end."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    n = len(values)
+    return np.frombuffer(values.buffers()[1], kind, n + 1 + values.offset)[values.offset:] if n else np.zeros(1, kind)
 
 
-def matches(run: str) -> list[str]:
-    """A run's matches of the pattern; ASCII letters behind a space are one."""
-    plain = run.isascii() and run[:1] == " " and run[1:].isalpha()
-    return [run] if plain else _MATCH.findall(run)
+def listed(values: pa.Array) -> list:
+    """The values as Python objects, in a fraction of the time of ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts of the texts whose matches of the pattern are those of the texts, and the first of each text.
+
+    A text is cut before every space that no white space follows. Null is an
+    empty text and has no part. Parts lie on the bytes of the texts.
+    """
+    texts = pc.fill_null(texts, "")
+    bounds = offsets_of(texts)
+    raw = texts.buffers()[2] if len(texts) else None
+    if raw is None or bounds[0] == bounds[-1]:
+        return pa.array([], pa.string()), np.zeros(len(bounds), np.int64)
+    data = np.frombuffer(raw, np.uint8, bounds[-1])
+    spaces = np.flatnonzero(data[bounds[0]:-1] == 0x20) + bounds[0]
+    ends = np.zeros(len(data) + 1, bool)
+    ends[bounds] = True
+    after = data[spaces + 1]
+    spaces = spaces[~_BLANK[after] & ~ends[spaces + 1]]
+    wide = np.flatnonzero(_WIDE[data[spaces + 1]])
+    at = spaces[wide] + 1
+    two = data[at].astype(np.int64) << 8 | data[at + 1]
+    code = np.where(data[at] == 0xC2, two, two << 8 | data[np.minimum(at + 2, len(data) - 1)])
+    spaces = np.delete(spaces, wide[np.isin(code, _WIDE_BLANKS)])
+    starts = ends[:-1]
+    starts[:bounds[0]], starts[spaces] = False, True
+    starts = np.flatnonzero(starts)
+    offsets = np.append(starts, bounds[-1]).astype(np.int32)
+    return (pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), raw),
+            np.searchsorted(starts, bounds))
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool``, one behind the other."""
+    at = np.cumsum(lengths) - lengths
+    return pool[np.arange(lengths.sum()) + np.repeat(starts - at, lengths)]
+
+
+@dataclass
+class ChunkWords:
+    """The distinct words of some texts, over the distinct runs that they are cut from.
+
+    Occurrences of run ``r`` are words ``word[starts[r]:starts[r] + counts[r]]``.
+    """
+
+    words: pa.Array       # distinct, binary
+    word: np.ndarray      # words of all distinct runs
+    starts: np.ndarray
+    counts: np.ndarray
+    parts: list[tuple[np.ndarray, np.ndarray]]  # per batch: its runs, and the first of each text
+
+    @staticmethod
+    def of(texts: Iterator[pa.Array]) -> ChunkWords:
+        cut = [runs(t) for t in texts]
+        coded = pa.chunked_array([r for r, _ in cut], pa.string()).dictionary_encode()
+        run = np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.indices) for c in coded.chunks)])
+        parts = list(zip(np.split(run, np.cumsum([len(r) for r, _ in cut])[:-1]), (first for _, first in cut)))
+        distinct = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        one = np.asarray(pc.match_substring_regex(distinct, _ONE_MATCH))
+        both = pc.extract_regex(distinct, _TWO_MATCHES)
+        two = np.asarray(both.is_valid())
+        pairs = both.drop_null().flatten()
+        found = [_MATCH.findall(r) for r in listed(distinct.filter(pa.array(~one & ~two)))]
+        counts = np.where(two, 2, 1)
+        counts[~one & ~two] = [len(m) for m in found]
+        # Words lie by form of their run: one match, two, others.
+        form = np.argsort(np.where(one, 0, np.where(two, 1, 2)), kind="stable")
+        starts = np.empty(len(distinct), np.int64)
+        starts[form] = np.cumsum(counts[form]) - counts[form]
+        words = pa.chunked_array([
+            distinct.filter(pa.array(one)),
+            pa.concat_arrays(pairs).take(pa.array(np.arange(2 * len(pairs[0])).reshape(2, -1).T.ravel())),
+            pa.array([w for m in found for w in m], pa.string())])
+        named = words.combine_chunks().cast(pa.binary()).dictionary_encode()
+        return ChunkWords(named.dictionary, np.asarray(named.indices), starts, counts, parts)
 
 
 def packed(rows: pa.Table | pa.RecordBatch) -> bytes:
@@ -85,11 +169,6 @@ def dealt_out(rows: pa.RecordBatch, places: np.ndarray) -> tuple[list[int], list
     return found.tolist(), [packed(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(places)])]
 
 
-def split(rows: pa.RecordBatch) -> list[list[str]]:
-    """The runs of every text; null is an empty text."""
-    return [runs(t or "") for t in rows.column("text").to_pylist()]
-
-
 def given(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -222,6 +301,7 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
     # Both are fixed by the rank file, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.pairs))
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+    token_ids = np.array(list(ranks.values()))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,26 +311,25 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pieces, pa.binary())],
                                                  ["chunk", "texts"])
 
-    def texts_of(pieces: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-        for batch in unpacked(pieces):
+    def texts_of(texts: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(texts.column("texts")):
             yield from chunks(batch, "text", STRETCH_BYTES)
 
-    def to_merge(texts: pa.Table) -> tuple[list[bytes], np.ndarray]:
-        """A chunk's distinct words that have to be merged, and their buckets.
+    def to_merge(words: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk's distinct words that have to be merged, by their bytes, and their buckets.
 
         A chunk always holds the same texts, so both times the list is the same.
         """
-        here: set[str] = set()
-        for rows in texts_of(texts.column("texts")):
-            here.update(*split(rows))
-        words = {w.encode() for r in here for w in matches(r)}
-        raw = sorted(w for w in words if len(w) <= LONG_WORD and w not in shared.value[0])
-        return raw, np.array([zlib.crc32(w) % n_buckets for w in raw], np.int64)
+        known = np.asarray(pc.is_in(words, tokens))
+        at = np.flatnonzero(~known & (np.asarray(pc.binary_length(words)) <= LONG_WORD))
+        at = at[np.asarray(pc.array_sort_indices(words.take(pa.array(at))))]
+        return at, np.array([zlib.crc32(w) % n_buckets for w in listed(words.take(pa.array(at)))], np.int64)
 
     def name_words(key: tuple, texts: pa.Table) -> pa.Table:
         """The words of a chunk that have to be merged, one list a bucket."""
-        raw, places = to_merge(texts)
-        found, lists = dealt_out(pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["word"]), places)
+        words = ChunkWords.of(b.column("text") for b in texts_of(texts)).words
+        at, places = to_merge(words, pa.array(shared.value[0], pa.binary()))
+        found, lists = dealt_out(pa.RecordBatch.from_arrays([words.take(pa.array(at))], ["word"]), places)
         chunk = key[0].as_py()
         return pa.table([pa.array(len(found) * [chunk], pa.int64()), pa.array(len(found) * [chunk // shared_chunks], pa.int64()),
                          pa.array(found, pa.int64()), pa.array(lists, pa.binary())],
@@ -260,16 +339,16 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
 
     def meet(key: tuple, lists: pa.Table) -> pa.Table:
         """A bucket's distinct words as arrays of byte ids; the last row has who asked for which."""
-        number: dict[bytes, int] = {}
-        asks = []
-        for chunk, piece in zip(lists.column("chunk").to_pylist(), lists.column("words")):
-            words = [w for batch in unpacked([piece]) for w in batch.column("word").to_pylist()]
-            numbers = np.array([number.setdefault(w, len(number)) for w in words], "<i4")
-            asks.append({"chunk": chunk, "bucket": key[1].as_py(), "numbers": numbers.tobytes()})
-        bounds = np.concatenate(([0], np.cumsum([len(w) for w in number]))).astype(np.int32)
-        flat = byte_ids[np.frombuffer(b"".join(number), np.uint8)]
+        pieces = [pa.chunked_array([b.column("word") for b in unpacked([p])], pa.binary()).combine_chunks()
+                  for p in lists.column("words")]
+        coded = pa.chunked_array(pieces, pa.binary()).dictionary_encode().unify_dictionaries()
+        asks = [{"chunk": chunk, "bucket": key[1].as_py(), "numbers": np.asarray(c.indices).astype("<i4").tobytes()}
+                for chunk, c in zip(lists.column("chunk").to_pylist(), coded.chunks, strict=True)]
+        words = coded.chunk(0).dictionary
+        bounds = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(words))))).astype(np.int32)
+        flat = byte_ids[np.frombuffer(b"".join(listed(words)), np.uint8)]
         firsts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))
-        cuts = [*range(0, len(number), ROW_WORDS), len(number)]
+        cuts = [*range(0, len(words), ROW_WORDS), len(words)]
         rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), firsts)
         return pa.table([rows, pa.array((len(rows) - 1) * [[]] + [asks], asked)], names=["firsts", "asks"])
 
@@ -292,36 +371,46 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
 
     def put_together(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, pairs = shared.value
-        known: dict[bytes, bytes] = {}
-        words, places = to_merge(texts)
+        tokens = pa.array(tokens, pa.binary())
+        batches = list(texts_of(texts))
+        here = ChunkWords.of(b.column("text") for b in batches)
+        at, places = to_merge(here.words, tokens)
+        order = np.argsort(places, kind="stable")
+        # Ids of all distinct words, one behind the other: tokens, answers, long words.
+        token = np.asarray(pc.index_in(here.words, tokens).fill_null(-1))
+        whole = np.flatnonzero(token >= 0)
+        owners, lengths, pool = [whole], [np.ones(len(whole), np.int64)], [token_ids[token[whole]]]
         for bucket, lists in zip(answers.column("bucket").to_pylist(), unpacked(answers.column("ids"))):
             ids = lists.column("ids")
-            raw = np.asarray(ids.flatten()).astype("<u4").tobytes()
-            at = np.concatenate(([0], np.cumsum(4 * np.asarray(pc.list_value_length(ids), np.int64)))).tolist()
-            known.update((words[i], raw[a:b]) for i, a, b in zip(
-                np.flatnonzero(places == bucket).tolist(), at[:-1], at[1:], strict=True))
-
-        def ids_of(word: str) -> bytes:
-            raw = word.encode()
-            token = tokens.get(raw)
-            if token is not None:
-                return token.to_bytes(4, "little")
-            if len(raw) <= LONG_WORD:
-                return known[raw]
-            return np.array(merged_long(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), pairs), "<u4").tobytes()
-
-        cache: dict[str, bytes] = {}
-        rows: list[pa.Array] = []
-        made: list[bytes] = []
-        for batch in texts_of(texts.column("texts")):
-            parts = split(batch)
-            here: set[str] = set()
-            here.update(*parts)
-            for r in here - cache.keys():
-                cache[r] = b"".join(map(ids_of, matches(r)))
-            rows.append(batch.column("id"))
-            made += [b"".join(map(cache.__getitem__, p)) for p in parts]
-        return pa.table([pa.chunked_array(rows), pa.array(made, pa.binary())], names=["id", "ids"])
+            a, b = np.searchsorted(places, [bucket, bucket + 1], sorter=order)
+            if b - a != len(ids):
+                raise ValueError(f"bucket {bucket}: {len(ids)} answers to {b - a} words")
+            owners.append(at[order[a:b]])
+            lengths.append(np.asarray(pc.list_value_length(ids), np.int64))
+            pool.append(np.asarray(ids.flatten()))
+        for i in np.flatnonzero((token < 0) & (np.asarray(pc.binary_length(here.words)) > LONG_WORD)):
+            raw = byte_ids[np.frombuffer(here.words[i].as_py(), np.uint8)].tolist()
+            pool.append(np.array(merged_long(raw, pairs)))
+            owners.append(np.array([i]))
+            lengths.append(np.array([len(pool[-1])]))
+        owner, length = np.concatenate(owners), np.concatenate(lengths)
+        if len(owner) != len(here.words):
+            raise ValueError(f"{len(here.words) - len(owner)} words without an answer")
+        word_at, word_ids = np.empty((2, len(owner)), np.int64)
+        word_at[owner], word_ids[owner] = np.cumsum(length) - length, length
+        # The same for all distinct runs, then for the texts.
+        flat = gathered(np.concatenate(pool).astype("<u4"), word_at[here.word], word_ids[here.word])
+        ends = np.concatenate(([0], np.cumsum(word_ids[here.word])))
+        run_at = ends[here.starts]
+        run_ids = ends[here.starts + here.counts] - run_at
+        made = []
+        for run, first in here.parts:
+            ids = gathered(flat, run_at[run], run_ids[run])
+            bounds = 4 * np.concatenate(([0], np.cumsum(run_ids[run])))[first]
+            made.append(pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [
+                None, pa.py_buffer(bounds), pa.py_buffer(ids)]).cast(pa.binary()))
+        return pa.table([pa.chunked_array([b.column("id") for b in batches]), pa.chunked_array(made, pa.binary())],
+                        names=["id", "ids"])
 
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks))).mapInArrow(
         pack_texts, "chunk bigint, texts binary")
@@ -343,20 +432,34 @@ def decode(tokens: DataFrame, ranks_file: str = RANKS, id_col: str = "doc_id", d
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: token for token, rank in read_ranks(ranks_file).items()}
-        decimal = {rank: str(rank) for rank in pieces}
+        ranks = read_ranks(ranks_file)
+        pieces, decimals = [b""] * (max(ranks.values()) + 1), [b"%d " % i for i in range(max(ranks.values()) + 1)]
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        pieces, decimals = pa.array(pieces, pa.large_binary()), pa.array(decimals, pa.large_binary())
+
+        def joined(parts: pa.Array, ids: pa.Array, bounds: np.ndarray, cut: int) -> Iterator[memoryview]:
+            """The parts of each text's ids, without the last ``cut`` bytes."""
+            taken = parts.take(ids)
+            raw = memoryview(taken.buffers()[2] or b"") if len(ids) else memoryview(b"")
+            at = offsets_of(taken)[bounds].tolist()
+            return (raw[a:max(a, b - cut)] for a, b in zip(at[:-1], at[1:]))
+
         for batch in (rows for b in batches for rows in chunks(b, "ids", STRETCH_BYTES)):
-            numbers = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column("ids").to_pylist()]
-            texts = [b"".join(map(pieces.__getitem__, n)) for n in numbers]
+            column = pc.fill_null(batch.column("ids"), b"")
+            bounds = offsets_of(column).astype(np.int64)
+            raw = column.buffers()[2] if bounds[-1] > bounds[0] else b""
+            ids = pa.array(np.frombuffer(raw, "<u4", (bounds[-1] - bounds[0]) // 4, bounds[0] if raw else 0))
+            bounds = (bounds - bounds[0]) // 4
+            texts = joined(pieces, ids, bounds, 0)
             if digest:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(n) for n in numbers], pa.int64()),
-                     pa.array([hashlib.sha256(" ".join(map(decimal.__getitem__, n)).encode()).hexdigest()
-                               for n in numbers]),
+                    [batch.column("id"), pa.array(np.diff(bounds)),
+                     pa.array([hashlib.sha256(t).hexdigest() for t in joined(decimals, ids, bounds, 1)]),
                      pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(bytes, texts), pa.binary())], ["id", "decoded"])
 
     rest = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "decoded binary"
     plain = tokens.select(F.col(id_col).alias("id"), "ids")

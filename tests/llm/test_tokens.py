@@ -1,15 +1,18 @@
 import hashlib
+import random
 import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from adquanta.llm.bpe import decode, encode, read_ranks
+from adquanta.llm.bpe import ChunkWords, decode, encode, read_ranks
 from adquanta.llm.packing import BITS, DIMENSIONS, Projection, hilbert_keys, pack
 from adquanta.llm.words import mix
 
@@ -38,6 +41,22 @@ def test_bpe_odd_rows(odd, empty):
     assert decode(encode(empty)).count() == 0
 
 
+def test_words_of_a_chunk_are_the_pattern_s_matches():
+    """Cut and counted in Arrow, whatever stands around the spaces, in slices and with empty batches."""
+    parts = [" ", "  ", "a", "ab", "Z", "9", "'s", "'re", "'", "!", "%%", "(.", "\n", "\t", "\x1c", "\x85", "\xa0",
+             "\u1680", "\u2003", "\u2014", "\u2028", "\u205f", "\u3000", "\u4e2d", "\u0301", "\xe9", "\U0001f600"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(20_000)] + [None, "", " ", "  "]
+    column = pa.array(texts, pa.string()).slice(5)
+    found = ChunkWords.of(iter([column.slice(0, 9000), pa.array([None, ""], pa.string()), column.slice(9000)]))
+    assert len(set(found.words.to_pylist())) == len(found.words)
+    got = [[found.words[w].as_py().decode() for r in run[a:b]
+            for w in found.word[found.starts[r]:found.starts[r] + found.counts[r]].tolist()]
+           for run, first in found.parts for a, b in zip(first[:-1], first[1:])]
+    want = [regex.findall(public_tokenizers.PATTERN, t or "") for t in texts[5:]]
+    assert got == want[:9000] + [[], []] + want[9000:]
+
+
 def check_packing(pieces, want, length=1024):
     """Every id lies in one piece, sequences have no gaps, and nearly all are full."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
