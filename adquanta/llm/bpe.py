@@ -12,6 +12,7 @@ lists of words there and back; a task holds one chunk or one bucket.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import json
@@ -67,6 +68,22 @@ def offsets_of(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], kind, n + 1 + values.offset)[values.offset:] if n else np.zeros(1, kind)
 
 
+@functools.cache
+def token_parts(name: str) -> tuple[pa.Array, pa.Array]:
+    """The bytes of every id and its decimal number with a space; made once a worker, if it has rows."""
+    ranks = read_ranks(name)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.large_binary()), pa.array([b"%d " % i for i in range(len(pieces))], pa.large_binary())
+
+
+def released(found: pa.Table) -> pa.Table:
+    """The same; what Arrow keeps for later goes back, as idle workers share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    return found
+
+
 def listed(values: pa.Array) -> list:
     """The values as Python objects, in a fraction of the time of ``to_pylist``."""
     return values.to_numpy(zero_copy_only=False).tolist()
@@ -175,7 +192,7 @@ def given(value: Column, then) -> Column:
 
 
 class RankMap:
-    """Ranks of pairs of ids, for Spark as a literal and for long words as a dictionary.
+    """Ranks of pairs of ids, for Spark as a literal.
 
     Lookups in a Spark map read it from the front, so the map is dealt into
     buckets: lists of key, rank, key, rank, … after a first entry that an
@@ -183,14 +200,14 @@ class RankMap:
     """
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = 1 << 16):
-        self.pairs = {}
+        pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
+                    pairs[left, right] = rank
         table = [[NONE] for _ in range(buckets)]
-        for (left, right), rank in self.pairs.items():
+        for (left, right), rank in pairs.items():
             table[(left * 31 + right) % buckets] += [self.key(left, right), rank]
         self.buckets = buckets
         self.literal = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
@@ -251,8 +268,11 @@ class RankMap:
         return given(F.concat(mark, ids, mark), fold)
 
 
-def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
-    """The same for one long word, in time that grows little faster than its length."""
+def merged_long(ids: list[int], pieces: dict[int, bytes], ranks: dict[bytes, int]) -> list[int]:
+    """The same for one long word, in time that grows little faster than its length.
+
+    A pair's rank is that of the token that its pieces form.
+    """
     after = list(range(1, len(ids) + 1))
     before = list(range(-1, len(ids) - 1))
     ids, alive = list(ids), [True] * len(ids)
@@ -260,7 +280,7 @@ def merged_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
     def offer(i: int) -> None:
         if i >= 0 and after[i] < len(ids):
-            rank = pairs.get((ids[i], ids[after[i]]))
+            rank = ranks.get(pieces[ids[i]] + pieces[ids[after[i]]])
             if rank is not None:
                 heapq.heappush(heap, (rank, i, ids[i], ids[after[i]]))
 
@@ -298,10 +318,9 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
     total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first().n
     n_chunks = (total or 0) // chunk_bytes + 1
     n_buckets = min(n_chunks, shared_chunks) // BUCKET_CHUNKS + 1
-    # Both are fixed by the rank file, whatever the corpus.
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, merges.pairs))
+    # Fixed by the rank file, whatever the corpus; an Arrow array takes little memory in every worker.
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(ranks, pa.binary()), np.array(list(ranks.values()))))
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
-    token_ids = np.array(list(ranks.values()))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +347,13 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
     def name_words(key: tuple, texts: pa.Table) -> pa.Table:
         """The words of a chunk that have to be merged, one list a bucket."""
         words = ChunkWords.of(b.column("text") for b in texts_of(texts)).words
-        at, places = to_merge(words, pa.array(shared.value[0], pa.binary()))
+        at, places = to_merge(words, shared.value[0])
         found, lists = dealt_out(pa.RecordBatch.from_arrays([words.take(pa.array(at))], ["word"]), places)
         chunk = key[0].as_py()
-        return pa.table([pa.array(len(found) * [chunk], pa.int64()), pa.array(len(found) * [chunk // shared_chunks], pa.int64()),
-                         pa.array(found, pa.int64()), pa.array(lists, pa.binary())],
-                        names=["chunk", "part", "bucket", "words"])
+        del words
+        return released(pa.table(
+            [pa.array(len(found) * [chunk], pa.int64()), pa.array(len(found) * [chunk // shared_chunks], pa.int64()),
+             pa.array(found, pa.int64()), pa.array(lists, pa.binary())], names=["chunk", "part", "bucket", "words"]))
 
     asked = pa.list_(pa.struct([("chunk", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary())]))
 
@@ -370,8 +390,7 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
                         ["chunk", "bucket", "ids"])
 
     def put_together(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, pairs = shared.value
-        tokens = pa.array(tokens, pa.binary())
+        tokens, token_ids = shared.value
         batches = list(texts_of(texts))
         here = ChunkWords.of(b.column("text") for b in batches)
         at, places = to_merge(here.words, tokens)
@@ -388,9 +407,13 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
             owners.append(at[order[a:b]])
             lengths.append(np.asarray(pc.list_value_length(ids), np.int64))
             pool.append(np.asarray(ids.flatten()))
-        for i in np.flatnonzero((token < 0) & (np.asarray(pc.binary_length(here.words)) > LONG_WORD)):
+        long = np.flatnonzero((token < 0) & (np.asarray(pc.binary_length(here.words)) > LONG_WORD))
+        if len(long):
+            ranked = dict(zip(listed(tokens), token_ids.tolist()))
+            pieces = {rank: piece for piece, rank in ranked.items()}
+        for i in long:
             raw = byte_ids[np.frombuffer(here.words[i].as_py(), np.uint8)].tolist()
-            pool.append(np.array(merged_long(raw, pairs)))
+            pool.append(np.array(merged_long(raw, pieces, ranked)))
             owners.append(np.array([i]))
             lengths.append(np.array([len(pool[-1])]))
         owner, length = np.concatenate(owners), np.concatenate(lengths)
@@ -409,8 +432,9 @@ def encode(docs: DataFrame, ranks_file: str = RANKS, chunk_bytes: int = CHUNK_BY
             bounds = 4 * np.concatenate(([0], np.cumsum(run_ids[run])))[first]
             made.append(pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [
                 None, pa.py_buffer(bounds), pa.py_buffer(ids)]).cast(pa.binary()))
-        return pa.table([pa.chunked_array([b.column("id") for b in batches]), pa.chunked_array(made, pa.binary())],
-                        names=["id", "ids"])
+        del here, token, ids
+        return released(pa.table(
+            [pa.chunked_array([b.column("id") for b in batches]), pa.chunked_array(made, pa.binary())], names=["id", "ids"]))
 
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks))).mapInArrow(
         pack_texts, "chunk bigint, texts binary")
@@ -432,12 +456,6 @@ def decode(tokens: DataFrame, ranks_file: str = RANKS, id_col: str = "doc_id", d
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_file)
-        pieces, decimals = [b""] * (max(ranks.values()) + 1), [b"%d " % i for i in range(max(ranks.values()) + 1)]
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        pieces, decimals = pa.array(pieces, pa.large_binary()), pa.array(decimals, pa.large_binary())
-
         def joined(parts: pa.Array, ids: pa.Array, bounds: np.ndarray, cut: int) -> Iterator[memoryview]:
             """The parts of each text's ids, without the last ``cut`` bytes."""
             taken = parts.take(ids)
@@ -451,6 +469,7 @@ def decode(tokens: DataFrame, ranks_file: str = RANKS, id_col: str = "doc_id", d
             raw = column.buffers()[2] if bounds[-1] > bounds[0] else b""
             ids = pa.array(np.frombuffer(raw, "<u4", (bounds[-1] - bounds[0]) // 4, bounds[0] if raw else 0))
             bounds = (bounds - bounds[0]) // 4
+            pieces, decimals = token_parts(ranks_file)
             texts = joined(pieces, ids, bounds, 0)
             if digest:
                 yield pa.RecordBatch.from_arrays(
